@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_files, tokens
+from . import common, packing, quality, rules, simhash, suffix, token_files, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50, kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", threshold=0.7)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, end=2)
@@ -28,8 +37,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), window=4096, end=2)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2)
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality")[0]
+
+
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
+    "op9_simhash": op9_simhash,
+    "op10_rules": op10_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
