@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in one block, about; a longer document is a block by itself.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes of text for which one bucket of the exchange is planned.
 BUCKET_BYTES = 24_000_000
 
@@ -69,7 +69,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, codec: str
     """Write a table to the shared folder and read it again: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
-    w = df.write.option("compression", codec)
+    w = df.write.option("compression", codec).option("parquet.block.size", str(16 << 20))
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     release(spark)
     return spark.read.schema(schema).parquet(path), path
@@ -86,7 +86,7 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 4_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 2_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Ids and UTF-8 bytes (null text: empty), in pieces of about ``at_most`` bytes, whole documents each."""
     for b in batches:
         ids, text = b.column(0), b.column(1).cast(pa.binary())

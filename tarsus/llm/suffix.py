@@ -24,7 +24,7 @@ from . import common
 from .stats import Hashed, mix
 
 #: Bytes of distinct stretches in one suffix array, and bytes handled at once while hashing.
-SHARD_BYTES, CHUNK_BYTES = 3_000_000, 200_000
+SHARD_BYTES, CHUNK_BYTES = 1_000_000, 200_000
 LAST = np.uint64(2**64 - 1)
 BIG = np.int64(2**63 - 1)
 
@@ -110,9 +110,9 @@ def anchors(a: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 class Block:
-    """A block's documents and their anchors."""
+    """A block's documents and their anchors; ``spans``: also the hashes of the stretches that the anchors own."""
 
-    def __init__(self, row: dict, length: int):
+    def __init__(self, row: dict, length: int, spans: bool = False):
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.a = np.frombuffer(row["text"], np.uint8)
@@ -121,10 +121,11 @@ class Block:
         while lo < len(ends):  # whole documents, about CHUNK_BYTES at once
             hi = max(lo + 1, int(np.searchsorted(ends, at + CHUNK_BYTES)))
             p, h, first, last = anchors(self.a[at : ends[hi - 1]], ends[lo:hi] - at, length)
-            got.append((p + at, h, first + at, last + at))
+            span = Hashed(self.a[at : ends[hi - 1]]).of(first, last + length) if spans else h
+            got.append((p + at, h, first + at, last + at, span))
             lo, at = hi, int(ends[hi - 1])
-        self.p, self.h, self.first, self.last = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 4
-        self.h = self.h.astype(np.uint64)
+        self.p, self.h, self.first, self.last, self.span = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 5
+        self.h, self.span = self.h.astype(np.uint64), self.span.astype(np.uint64)
         self.ends = ends
         self.doc = self.ids[np.searchsorted(ends, self.p, side="right")] if len(self.p) else np.zeros(0, np.int64)
         self.length = length
@@ -148,8 +149,7 @@ class Block:
         if not len(who):
             z = np.zeros(0, np.int64)
             return z, z, z, z
-        h = Hashed(self.a)
-        key = self.h[who] ^ mix(h.of(self.first[who], self.last[who] + self.length) + (self.p[who] - self.first[who]).astype(np.uint64))
+        key = self.h[who] ^ mix(self.span[who] + (self.p[who] - self.first[who]).astype(np.uint64))
         # the anchor's hash leads, so that a stretch goes to its anchor's bucket
         order = np.lexsort((key, self.h[who]))
         hk, kk = self.h[who][order], key[order]
@@ -386,11 +386,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield struct.pack("<Q", len(keys)) + pack_bits(hit)
 
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
-    n_fine = 4 * n_buckets
+    n_fine = 8 * n_buckets
 
     def ask_stretches(row, state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
         answers = state.setdefault("a", common.Answers(shared))
-        b = Block(row, length)
+        b = Block(row, length, spans=True)
         one, least, _, _ = b.stretches(answers.of(row["grp"], row["block"]))
         cut = common.split_sorted(b.h[one], n_fine)
         for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -430,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def finish(batches):
         found, hits = common.Answers(shared), common.Answers(earlier)
         for row in common.read_rows(batches):
-            b = Block(row, length)
+            b = Block(row, length, spans=True)
             one, least, who, stretch = b.stretches(found.of(row["grp"], row["block"]))
             own = b.last[one] - b.first[one] + 1
             bits = unpack_bits(hits.of(row["grp"], row["block"]), int(own.sum()))
@@ -439,8 +439,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             flat = np.repeat(begin[stretch] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             gone = bits[flat] | np.repeat(b.doc[who] > least[stretch], n)
             start = (np.repeat(b.first[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))[gone]
-            cover = np.bincount(start, minlength=len(b.a) + 1)[: len(b.a) + 1] - np.bincount(start + length, minlength=len(b.a) + 1)[: len(b.a) + 1]
-            cut = np.cumsum(cover)[:-1] > 0
+            cut = np.zeros(len(b.a), bool)
+            if len(start):
+                start.sort()
+                run = np.flatnonzero(np.r_[True, np.diff(start) > length])
+                edge = np.zeros(len(b.a) + 1, np.int8)
+                edge[start[run]] = 1
+                edge[start[np.r_[run[1:] - 1, len(start) - 1]] + length] = -1
+                cut = np.cumsum(edge[:-1], dtype=np.int8) > 0
             out: list = [[], [], [], [], [], []]
             lo = 0
             for end in b.ends.tolist():
