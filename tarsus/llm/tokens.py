@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBER = 400_000
+#: Chunks, and words without their punctuation, that a worker remembers; others are encoded anew in each batch.
+REMEMBER = 250_000
 #: Pre-tokens broadcast with their counts, the most widespread first; the rest are joined by shuffle.
 HEAD = 300_000
 #: Distinct pre-tokens a task gathers before it hands them on.
@@ -25,11 +25,15 @@ GATHER = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+_ENDINGS = ".,;:!?"
+
+
 class WordEncoder:
     """Ids of whole texts from remembered ids of their white-space separated chunks.
 
-    Right for a tokenizer whose pre-tokens never hold white space and that drops it: each
-    chunk is then encoded by itself. Texts with U+001C to U+001F are encoded whole.
+    Right for a tokenizer that drops white space, whose pre-tokens never hold it, whose
+    letters part from punctuation and that lower-cases: each chunk is then encoded by itself,
+    and so are a Latin word and the punctuation after it. Texts with U+001C to U+001F are encoded whole.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -40,28 +44,59 @@ class WordEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.remember = remember
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, known: dict, new: dict) -> None:
+        if len(known) < self.remember:
+            known.update(new if len(known) + len(new) <= self.remember else list(new.items())[: self.remember - len(known)])
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        parts = []
+        for w in chunks:
+            c = w.rstrip(_ENDINGS)
+            if c and c[-1] < "\u0250" and c[-1].lower().isalpha():
+                parts.append((c.lower() if c.isascii() and c.isalpha() else c, w[len(c) :]))
+            else:
+                parts.append((w, ""))
+        need = list({x for p in parts for x in p if x} - self.cores.keys())
+        got = dict(zip(need, self._bytes(need)))
+        old = self.cores
+        get = lambda x: got[x] if x in got else old[x]
+        out = {w: get(c) + (get(e) if e else b"") for w, (c, e) in zip(chunks, parts)}
+        self._keep(self.cores, got)
+        return out
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """The ids of each text as little-endian integers of ``self.dtype``, with ``end`` appended."""
         split = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list(set().union(*(s for s in split if s)) - self.known.keys()) if split else []
-        if len(self.known) + len(new) > self.remember:
-            self.known = {}
-            new = list(set().union(*(s for s in split if s)))
-        self.known.update(zip(new, self._bytes(new)))
+        words = list(set().union(*(s for s in split if s)))
+        local = dict(zip(words, map(self.chunks.get, words)))
+        new = self._new([w for w, b in local.items() if b is None])
+        local.update(new)
+        self._keep(self.chunks, new)
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()
-        get = self.known.__getitem__
+        get = local.__getitem__
         return [(self._bytes([t])[0] if s is None else b"".join(map(get, s))) + tail for t, s in zip(texts, split)]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder for a tokenizer file; what it remembers outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int | None) -> Iterator[tuple[list, list[bytes], np.dtype]]:
     """(row of ids, ids as bytes, dtype) of batches of ids and texts."""
-    enc = WordEncoder(path)
+    enc = encoder(path)
     for ids, raw in common.text_batches(batches):
         yield ids, enc.encode([t.decode("utf-8", "replace") for t in raw], end), enc.dtype
 
