@@ -179,8 +179,8 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
     """Send each block's requests to buckets, and stage the answers by group.
 
     ``ask(row) -> iterator of (bucket, payload)`` for a block's row; ``answer(payloads) ->
-    list of payloads`` for all requests of one bucket, in the same order. Returns the folder
-    of the answers. Every bucket is one partition; requests are sorted by block, so answers
+    payloads`` for all requests of one bucket, in the same order, and perhaps one more, about
+    the bucket, which is kept for group -1. Returns the folder of the answers. Every bucket is one partition; requests are sorted by block, so answers
     are the same whenever a task is run again.
     """
 
@@ -197,7 +197,7 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
                 by.setdefault(k, []).append((i, g, p))
         for k, rows in sorted(by.items()):
             rows.sort(key=lambda r: r[0])
-            for (i, g, _), out in zip(rows, answer([p for _, _, p in rows])):
+            for (i, g, _), out in zip([*rows, (-1, -1, b"")], answer([p for _, _, p in rows])):
                 yield batch(grp=pa.array([g], pa.int32()), block=pa.array([i], pa.int64()), bucket=pa.array([k], pa.int32()), payload=pa.array([out], pa.binary()))
             by[k] = []
 
@@ -207,6 +207,11 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
     return stage(got.repartition(max(n_groups, n_buckets), "grp"), name, partition_by="grp")[1]
 
 
+def bucket_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(payload): what the buckets of an exchange noted about themselves."""
+    return spark.read.schema("block long, bucket int, payload binary, grp int").parquet(path).filter("grp = -1").select("payload")
+
+
 class Answers:
     """The answers of one group after another, read from the shared folder by the task that has its blocks."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, quality, rules, simhash, suffix, token_files, tokens
+from . import common, lm, packing, quality, rules, simhash, suffix, token_files, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), window=4096, end=2)
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2)
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_lm": op8_lm,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
