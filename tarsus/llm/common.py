@@ -86,6 +86,24 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_hash(text_col: str = "text"):
+    """A hash of the text, the same for null and empty: with the id it names a row when ids repeat."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def match(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """Join documents with rows of (doc_id, text_hash, ...) that an operator returned, whatever else the documents' columns are called.
+
+    Null ids match null ids. ``once``: of documents with the same id and text only one stays.
+    """
+    top = F.lit((1 << 63) - 1)
+    keys = ["__tarsus_id", "__tarsus_hash"]
+    left = docs.withColumn(keys[0], F.coalesce(F.col(id_col).cast("long"), top)).withColumn(keys[1], text_hash(text_col))
+    right = found.withColumnRenamed("text_hash", keys[1]).withColumn(keys[0], F.coalesce("doc_id", top)).drop("doc_id").dropDuplicates(keys)
+    out = left.join(right, keys, how)
+    return (out.dropDuplicates(keys) if once else out).drop(*keys)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 2_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Ids and UTF-8 bytes (null text: empty), in pieces of about ``at_most`` bytes, whole documents each."""
     for b in batches:

@@ -113,7 +113,7 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) for every whole text.
+    """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) and text_hash for every whole text.
 
     One row for each input row, repeated ids included. A null or empty text has the statistics
     of an empty text and gets their score; a null id has fold crc32('') and is never learned
@@ -126,7 +126,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
         for b in batches:
             if b.num_rows:
                 s = np.clip(model.value.score(stats.features(b)), 0, 1)
-                yield common.batch(doc_id=b.column(0), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
+                yield common.batch(doc_id=b.column(0), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)), text_hash=b.column(2))
 
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
-    return table.select("doc_id", "f").mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+    return table.select("doc_id", "f", "text_hash").mapInArrow(run, "doc_id long, score double, predicted int, text_hash long").select("doc_id", (fold == 2).alias("held_out"), "score", "predicted", "text_hash")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lm, packing, quality, rules, simhash, suffix, token_files, tokens
+from . import common, decontam, lm, packing, quality, rules, simhash, suffix, token_files, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
+    return warc.read(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50, kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", threshold=0.7)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", threshold=0.7).drop("text_hash")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +38,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(token_files.read(spark, path))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
@@ -46,21 +55,33 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2).drop("text_hash")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality")[0]
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality")[0].drop("text_hash")
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_lm": op8_lm,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+        f AS (SELECT digest, min(page_id) AS first_id FROM d WHERE n >= 100 GROUP BY digest)
+        SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN d.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id > f.first_id THEN f.first_id END AS refers_to
+        FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
+    """,
+}

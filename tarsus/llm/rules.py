@@ -150,5 +150,5 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     table, _ = common.stage(stats.table(docs, id_col, text_col), "statistics")
     rules = learn(*training(table, labels, label, most))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = table.select("doc_id", *stats.BASE, failed.alias("base_failed"), expression(rules).alias("rule"))
+    out = table.select("doc_id", "text_hash", *stats.BASE, failed.alias("base_failed"), expression(rules).alias("rule"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

@@ -243,7 +243,7 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_EDGES) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), n_near (other rows within ``budget`` bits), component_id (smallest id reachable).
+    """doc_id, fingerprint (16 hex digits), n_near (other rows within ``budget`` bits), component_id (smallest id reachable), text_hash.
 
     One row for each input row, repeated ids included (each counts as another row). A null or
     empty text has fingerprint zero and is linked like any other. A null id is kept and is never
@@ -255,10 +255,12 @@ def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", te
     rows = common.two_columns(docs, id_col, text_col)
 
     def mark(batches):
+        import xxhash
+
         for ids, raw in common.text_batches(batches):
-            yield common.batch(doc_id=ids, fp=pa.array(fingerprints(raw).view(np.int64)))
+            yield common.batch(doc_id=ids, fp=pa.array(fingerprints(raw).view(np.int64)), text_hash=pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in raw], np.uint64).view(np.int64)))
 
-    marked, _ = common.stage(rows.mapInArrow(mark, "doc_id long, fp long"), "fingerprints")
+    marked, _ = common.stage(rows.mapInArrow(mark, "doc_id long, fp long, text_hash long"), "fingerprints")
     classes, _ = common.stage(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     edges, _ = common.stage(close_pairs(classes.select("fp"), budget), "links")
     root = components(edges, small)
@@ -276,4 +278,4 @@ def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", te
     hot = classes.filter(F.col("n") >= least_hot).select("fp", F.lit(32).alias("salts"))
     salted = marked.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.hash("doc_id"), F.coalesce("salts", F.lit(1))))
     out = salted.join(spread, ["fp", "salt"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id", "text_hash")

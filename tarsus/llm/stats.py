@@ -136,16 +136,18 @@ def statistics(raw: list[bytes], window: int = 8) -> dict[str, np.ndarray]:
 
 
 def table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, BASE (long) and f (the FEATURES as an array of doubles), a row for each document."""
+    """doc_id, text_hash, BASE (long) and f (the FEATURES as an array of doubles), a row for each document."""
 
     def run(batches):
-        for ids, raw in common.text_batches(batches, 2_000_000):
+        import xxhash
+
+        for ids, raw in common.text_batches(batches):
             s = statistics(raw)
             f = np.stack([s[k] for k in FEATURES], 1).astype(np.float64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * len(FEATURES), pa.int32()), pa.array(f.ravel()))
-            yield common.batch(doc_id=ids, **{k: pa.array(s[k], pa.int64()) for k in BASE}, f=lists)
+            yield common.batch(doc_id=ids, text_hash=pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in raw], np.uint64).view(np.int64)), **{k: pa.array(s[k], pa.int64()) for k in BASE}, f=lists)
 
-    return common.two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", f array<double>")
+    return common.two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{k} long" for k in BASE) + ", f array<double>")
 
 
 def labelled(stats: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:

@@ -324,7 +324,7 @@ def seen_earlier(a: np.ndarray, lens: np.ndarray, least: np.ndarray, length: int
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """Staged blocks (grp, block, ids, lens, hashes, text). A null id counts as the largest."""
-    rows = common.two_columns(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = common.two_columns(docs, id_col, text_col).select("doc_id", "text", common.text_hash().alias("text_hash"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -359,7 +359,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes which also starts in a document with a smaller id.
 
-    Per input row: doc_id, text_hash (xxhash64 of the text), n_bytes, n_removed, n_spans
+    Per input row: doc_id, text_hash, n_bytes, n_removed, n_spans
     (maximal removed runs), spans (their starts and lengths), kept_sha256 (of the remaining
     bytes) and, if ``kept``, the remaining bytes. Strings are judged on the input and never
     cross documents. A null text is empty; texts shorter than ``length`` keep everything; rows
