@@ -106,7 +106,7 @@ def anchors(a: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
                 last[t] = np.minimum(last[t], p[o] - w)
             todo, step = todo[~less], step + 1
     keep = first <= last
-    return p[keep], hp[keep], first[keep], last[keep]
+    return p[keep], mix(hp[keep]), first[keep], last[keep]  # least hashes are small; mixed again they fill buckets evenly
 
 
 class Block:
@@ -356,6 +356,43 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
     return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary"), "text-blocks")
 
 
+def answer_anchors(payloads: list[bytes]) -> Iterator[bytes]:
+    all_keys = [common.unpack_sorted(p)[0] for p in payloads]
+    s = np.sort(np.concatenate(all_keys))
+    again = np.unique(s[1:][s[1:] == s[:-1]])
+    for keys in all_keys:
+        at = np.searchsorted(again, keys)
+        hit = (again[np.minimum(at, len(again) - 1)] == keys) if len(again) else np.zeros(len(keys), bool)
+        yield struct.pack("<Q", len(keys)) + pack_bits(hit)
+
+
+def answer_stretches(payloads: list[bytes], length: int) -> Iterator[bytes]:
+    lens, least, text = [], [], []
+    for p in payloads:
+        x, at = common.unplanes(p)
+        y, at = common.unplanes(p, at)
+        lens.append(x.astype(np.int64))
+        least.append(y.view(np.int64))
+        text.append(np.frombuffer(p, np.uint8, offset=at))
+    n_each = [len(x) for x in lens]
+    lens, least, text = np.concatenate(lens), np.concatenate(least), np.concatenate(text)
+    ends = np.cumsum(lens)
+    key = Hashed(text).of(ends - lens, ends)
+    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    low = np.full(len(first), BIG)
+    np.minimum.at(low, same, least)
+    size = lens[first]
+    where = np.repeat((ends - lens)[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    hit = seen_earlier(text[where], size, low, length)
+    # a stretch with a larger id than the smallest of its kind is all seen; others as their kind
+    starts = np.cumsum(size) - size
+    for s, e in zip(np.cumsum([0, *n_each[:-1]]), np.cumsum(n_each)):
+        own = lens[s:e] - length + 1
+        flat = np.repeat(starts[same[s:e]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        bits = hit[flat] | np.repeat(least[s:e] > low[same[s:e]], own)
+        yield struct.pack("<Q", len(bits)) + pack_bits(bits)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes which also starts in a document with a smaller id.
 
@@ -376,15 +413,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         for k in np.flatnonzero(np.diff(cut)).tolist():
             yield k, common.pack_sorted(keys[cut[k] : cut[k + 1]])
 
-    def answer_anchors(payloads: list[bytes]) -> Iterator[bytes]:
-        all_keys = [common.unpack_sorted(p)[0] for p in payloads]
-        s = np.sort(np.concatenate(all_keys))
-        again = np.unique(s[1:][s[1:] == s[:-1]])
-        for keys in all_keys:
-            at = np.searchsorted(again, keys)
-            hit = (again[np.minimum(at, len(again) - 1)] == keys) if len(again) else np.zeros(len(keys), bool)
-            yield struct.pack("<Q", len(keys)) + pack_bits(hit)
-
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
     n_fine = 8 * n_buckets
 
@@ -399,33 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             where = np.repeat(b.first[o] - (np.cumsum(lens, dtype=np.int64) - lens), lens) + np.arange(int(lens.sum(dtype=np.int64)))
             yield k, common.planes(lens) + common.planes(least[cut[k] : cut[k + 1]].view(np.uint64)) + b.a[where].tobytes()
 
-    def answer_stretches(payloads: list[bytes]) -> Iterator[bytes]:
-        lens, least, text = [], [], []
-        for p in payloads:
-            x, at = common.unplanes(p)
-            y, at = common.unplanes(p, at)
-            lens.append(x.astype(np.int64))
-            least.append(y.view(np.int64))
-            text.append(np.frombuffer(p, np.uint8, offset=at))
-        n_each = [len(x) for x in lens]
-        lens, least, text = np.concatenate(lens), np.concatenate(least), np.concatenate(text)
-        ends = np.cumsum(lens)
-        key = Hashed(text).of(ends - lens, ends)
-        _, first, same = np.unique(key, return_index=True, return_inverse=True)
-        low = np.full(len(first), BIG)
-        np.minimum.at(low, same, least)
-        size = lens[first]
-        where = np.repeat((ends - lens)[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        hit = seen_earlier(text[where], size, low, length)
-        # a stretch with a larger id than the smallest of its kind is all seen; others as their kind
-        starts = np.cumsum(size) - size
-        for s, e in zip(np.cumsum([0, *n_each[:-1]]), np.cumsum(n_each)):
-            own = lens[s:e] - length + 1
-            flat = np.repeat(starts[same[s:e]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-            bits = hit[flat] | np.repeat(least[s:e] > low[same[s:e]], own)
-            yield struct.pack("<Q", len(bits)) + pack_bits(bits)
-
-    earlier = common.exchange(staged, ask_stretches, answer_stretches, n_fine, "earlier-windows")
+    earlier = common.exchange(staged, ask_stretches, lambda p: answer_stretches(p, length), n_fine, "earlier-windows")
 
     def finish(batches):
         found, hits = common.Answers(shared), common.Answers(earlier)
