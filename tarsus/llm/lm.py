@@ -14,7 +14,7 @@ from . import common
 from .stats import WHITE, Hashed, mix
 
 #: Bytes of text in a block, context-frequency buckets of the two longer orders, EM rounds, and bins a decade of probability.
-BLOCK, CONTEXTS, ROUNDS, DECADE = 6_000_000, 16, 60, 4
+BLOCK, CONTEXTS, ROUNDS, DECADE = 8_000_000, 16, 60, 4
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -95,15 +95,15 @@ class Grams:
         first = np.cumsum(self.lens) - self.lens
         back = np.arange(len(w)) - first[doc]
         #: For each order: places of the tokens' n-grams, the n-grams' keys in ascending order.
-        self.at, self.keys = [w.astype(np.int64)], [voc]
+        self.at, self.keys, self.one = [w.astype(np.int64)], [voc], [None]
+        self.fresh = back == 0
         local, prior = w, None
         for k in range(1, order):
             # the history of k tokens, with START before the first
             prior = np.r_[np.uint64(0), local[:-1]]
             prior_key = np.r_[START, self.keys[-1][self.at[-1]][:-1]] if len(w) else keys[:0]
-            fresh = back == 0
-            prior[fresh] = np.uint64(len(self.keys[-1]))
-            prior_key[fresh] = START + np.uint64(k)
+            prior[self.fresh] = np.uint64(len(self.keys[-1]))
+            prior_key[self.fresh] = START + np.uint64(k)
             gram = prior * size + w
             u, place = np.unique(gram, return_inverse=True)
             one = np.empty(len(u), np.int64)
@@ -114,6 +114,7 @@ class Grams:
             rank[o] = np.arange(len(o))
             self.at.append(rank[place])
             self.keys.append(key[o])
+            self.one.append(one[o])
             local = self.at[-1].astype(np.uint64)
 
     def own(self, k: int) -> np.ndarray:
@@ -127,15 +128,75 @@ class Grams:
         return n[at]
 
 
-def totals(answers: dict[int, bytes], order: int) -> list[np.ndarray]:
-    """Corpus counts of the block's n-grams of each order, from the answers in the order of the buckets."""
-    parts: list[list] = [[] for _ in range(order)]
-    for _, b in sorted(answers.items()):
-        at = 0
-        for k in range(order):
-            x, at = common.unplanes(b, at)
-            parts[k].append(x.astype(np.int64))
-    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+    def elsewhere(self, k: int, more: np.ndarray) -> np.ndarray:
+        """Which n-grams of order k + 1 may occur in another block, learned from or not: those whose two parts of order k do."""
+        t = self.one[k]
+        return more[self.at[k - 1][t]] & (self.fresh[t] | more[self.at[k - 1][t - 1]])
+
+
+def request(keys: list[np.ndarray], own: list[np.ndarray], n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    cuts = [common.split_sorted(k, n_buckets) for k in keys]
+    for b in range(n_buckets):
+        if any(c[b + 1] > c[b] for c in cuts):
+            yield b, b"".join(common.pack_sorted(k[c[b] : c[b + 1]]) + common.planes(common.smallest(n[c[b] : c[b + 1]])) for k, n, c in zip(keys, own, cuts))
+
+
+def answer(payloads: list[bytes], orders: int) -> Iterator[bytes]:
+    """The sum over all requests of each key's counts, and whether several blocks asked; last, how many keys of the first order have a count."""
+    ats, out, known = [0] * len(payloads), [[] for _ in payloads], 0
+    for k in range(orders):
+        keys, counts = [], []
+        for i, p in enumerate(payloads):
+            x, at = common.unpack_sorted(p, ats[i])
+            y, ats[i] = common.unplanes(p, at)
+            keys.append(x)
+            counts.append(y.astype(np.float64))
+        sizes = np.cumsum([0, *map(len, keys)])
+        u, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(u)).astype(np.int64)
+        known = known if k else int((total > 0).sum())
+        total, several = total[place], (np.bincount(place, minlength=len(u)) > 1)[place]
+        for i in range(len(payloads)):
+            mine = slice(sizes[i], sizes[i + 1])
+            out[i].append(common.planes(common.smallest(total[mine])) + common.planes(np.packbits(several[mine])))
+    for o in out:
+        yield b"".join(o)
+    yield struct.pack("<q", known)
+
+
+class Counts:
+    """Corpus counts of a block's n-grams, from the answers of the exchanges (orders 1 and 2, then one order each)."""
+
+    def __init__(self, paths: list[str]):
+        self.found = [common.Answers(p) for p in paths]
+
+    def of(self, row: dict, g: Grams) -> tuple[list[np.ndarray], np.ndarray]:
+        """Counts of each order, and which n-grams of the last one other blocks have."""
+        out: list[np.ndarray] = []
+        more = np.zeros(0, bool)
+        for i, f in enumerate(self.found):
+            parts: list[list] = [[] for _ in range(1 if i else 2)]
+            bits: list[list] = [[] for _ in parts]
+            for _, b in sorted(f.of(row["grp"], row["block"]).items()):
+                at = 0
+                for p, q in zip(parts, bits):
+                    x, at = common.unplanes(b, at)
+                    y, at = common.unplanes(b, at)
+                    p.append(x.astype(np.int64))
+                    q.append(np.unpackbits(y, count=len(x)).astype(bool))
+            got = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+            asked = np.concatenate(bits[-1]) if bits[-1] else np.zeros(0, bool)
+            if i:
+                k = len(out)
+                c, may = g.own(k), g.elsewhere(k, more)
+                c[may] = got[0]
+                got = [c]
+                may[may] = asked
+                more = may
+            else:
+                more = asked
+            out += got
+        return out, more
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -215,6 +276,8 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
 
     The counts cover every n-gram of every training text. Each block of text asks the bucket of
     each distinct n-gram for its count in the whole corpus, so a frequent one is sent once a block.
+    Beyond order 2 it asks only for n-grams both of whose parts occur in other blocks; the
+    others can't, and their count is the block's own.
     """
     if not 2 <= order <= 4:
         raise ValueError("order must be 2, 3 or 4")
@@ -223,48 +286,33 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     n, n_docs, n_bytes = (int(x or 0) for x in staged.agg(F.sum("n_train"), F.sum("train_docs"), F.sum(F.octet_length("tokens") * 3)).first())
     n_buckets = 2 * common.buckets_for(n_bytes, 6)
 
-    def ask(row) -> Iterator[tuple[int, bytes]]:
-        g = Grams(row, order)
-        own = [common.smallest(g.own(k)) for k in range(order)]
-        cuts = [common.split_sorted(k, n_buckets) for k in g.keys]
-        for b in range(n_buckets):
-            yield b, b"".join(common.pack_sorted(g.keys[k][c[b] : c[b + 1]]) + common.planes(own[k][c[b] : c[b + 1]]) for k, c in enumerate(cuts))
-
-    def answer(payloads: list[bytes]) -> Iterator[bytes]:
-        ats, out, known = [0] * len(payloads), [[] for _ in payloads], 0
-        for k in range(order):
-            keys, counts = [], []
-            for i, p in enumerate(payloads):
-                x, at = common.unpack_sorted(p, ats[i])
-                y, ats[i] = common.unplanes(p, at)
-                keys.append(x)
-                counts.append(y)
-            sizes = np.cumsum([0, *map(len, keys)])
-            _, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, np.concatenate([c.astype(np.float64) for c in counts])).astype(np.int64) if len(place) else np.zeros(0, np.int64)
-            if k == 0:
-                known = int((total > 0).sum())
-            total = total[place]
-            for i in range(len(payloads)):
-                out[i].append(common.planes(common.smallest(total[sizes[i] : sizes[i + 1]])))
-        for o in out:
-            yield b"".join(o)
-        yield struct.pack("<q", known)
-
-    counted = common.exchange(staged, ask, answer, n_buckets, "ngram-counts")
+    def first(row) -> Iterator[tuple[int, bytes]]:
+        g = Grams(row, 2)
+        return request(g.keys, [g.own(0), g.own(1)], n_buckets)
+
+    paths = [common.exchange(staged, first, lambda p: answer(p, 2), n_buckets, "ngram-counts")]
+    for k in range(2, order):
+
+        def more(row, k=k, known=tuple(paths), state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
+            counts = state.setdefault("c", Counts(list(known)))
+            g = Grams(row, k + 1)
+            may = g.elsewhere(k, counts.of(row, g)[1])
+            return request([g.keys[k][may]], [g.own(k)[may]], n_buckets)
+
+        paths.append(common.exchange(staged, more, lambda p: answer(p, 1), n_buckets, "ngram-counts"))
 
     def notes(batches):
         for b in batches:
             yield common.batch(v=pa.array([struct.unpack("<q", x)[0] for x in b.column(0).to_pylist()], pa.int64()))
 
-    v = int(common.bucket_notes(spark, counted).mapInArrow(notes, "v long").agg(F.sum("v")).first()[0] or 0)
+    v = int(common.bucket_notes(spark, paths[0]).mapInArrow(notes, "v long").agg(F.sum("v")).first()[0] or 0)
     p0 = 1 / (v + 1)
 
     def cells(batches):
-        found = common.Answers(counted)
+        counts = Counts(paths)
         for row in common.read_rows(batches):
             g = Grams(row, order)
-            p, b = estimates(g, totals(found.of(row["grp"], row["block"]), order), n, n_docs, delete=True)
+            p, b = estimates(g, counts.of(row, g)[0], n, n_docs, delete=True)
             key = np.zeros(len(g.doc), np.int64)
             for x in reversed(b):
                 key = key << 4 | x
@@ -277,10 +325,10 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     lam = learn(held["cell"].to_numpy(), held["n"].to_numpy(), order, p0)
 
     def finish(batches):
-        found = common.Answers(counted)
+        counts = Counts(paths)
         for row in common.read_rows(batches):
             g = Grams(row, order)
-            c = totals(found.of(row["grp"], row["block"]), order)
+            c = counts.of(row, g)[0]
             p, b = estimates(g, c, n, n_docs, delete=False)
             k = len(g.lens)
             lp = np.bincount(g.doc, np.log10(interpolate(p, b, lam, p0)), k)
