@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks, and words without their punctuation, that a worker remembers; others are encoded anew in each batch.
-REMEMBER = 250_000
+#: Chunks that a worker remembers; others are encoded anew in each batch.
+REMEMBER = 400_000
 #: Pre-tokens broadcast with their counts, the most widespread first; the rest are joined by shuffle.
 HEAD = 300_000
 #: Distinct pre-tokens a task gathers before it hands them on.
@@ -25,7 +25,26 @@ GATHER = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-_ENDINGS = ".,;:!?"
+_ALNUM, _ENDING, _BLANK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz0123456789", b".,;:!?", b" \t\n\r"))
+
+
+def part_punctuation(raw: list[bytes]) -> list[bytes]:
+    """Texts with a space before each single punctuation mark that follows an ASCII letter or digit and ends a chunk."""
+    lens = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(lens)
+    a = np.frombuffer(b"".join(raw), np.uint8)
+    if len(a) < 2:
+        return raw
+    last = np.zeros(len(a) + 1, bool)
+    last[ends - 1] = True  # of a text (an empty first one sets the spare place)
+    last = last[:-1]
+    mark = np.zeros(len(a), bool)
+    mark[1:] = _ENDING[a[1:]] & _ALNUM[a[:-1]] & ~last[:-1]
+    mark &= last | np.r_[_BLANK[a[1:]], True]
+    at = np.flatnonzero(mark)
+    out = np.insert(a, at, 32).tobytes()
+    ends = ends + np.searchsorted(at, ends)
+    return [out[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 class WordEncoder:
@@ -33,7 +52,8 @@ class WordEncoder:
 
     Right for a tokenizer that drops white space, whose pre-tokens never hold it, whose
     letters part from punctuation and that lower-cases: each chunk is then encoded by itself,
-    and so are a Latin word and the punctuation after it. Texts with U+001C to U+001F are encoded whole.
+    in lower case, and so is a punctuation mark after it. Texts with U+001C to U+001F, or with
+    the beginning of a special token, are encoded whole.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -44,44 +64,27 @@ class WordEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.remember = remember
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, known: dict, new: dict) -> None:
-        if len(known) < self.remember:
-            known.update(new if len(known) + len(new) <= self.remember else list(new.items())[: self.remember - len(known)])
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        parts = []
-        for w in chunks:
-            c = w.rstrip(_ENDINGS)
-            if c and c[-1] < "\u0250" and c[-1].lower().isalpha():
-                parts.append((c.lower() if c.isascii() and c.isalpha() else c, w[len(c) :]))
-            else:
-                parts.append((w, ""))
-        need = list({x for p in parts for x in p if x} - self.cores.keys())
-        got = dict(zip(need, self._bytes(need)))
-        old = self.cores
-        get = lambda x: got[x] if x in got else old[x]
-        out = {w: get(c) + (get(e) if e else b"") for w, (c, e) in zip(chunks, parts)}
-        self._keep(self.cores, got)
-        return out
-
-    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``self.dtype``, with ``end`` appended."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+    def encode(self, raw: list[bytes], end: int | None = None) -> list[bytes]:
+        """The ids of each UTF-8 text as little-endian integers of ``self.dtype``, with ``end`` appended."""
+        odd = [b"<|" in t for t in raw]
+        texts = [t.decode("utf-8", "replace") for t in part_punctuation([t if o else t.lower() for t, o in zip(raw, odd)])]
+        split = [None if o or _ODD.search(t) else t.split() for t, o in zip(texts, odd)]
         words = list(set().union(*(s for s in split if s)))
-        local = dict(zip(words, map(self.chunks.get, words)))
-        new = self._new([w for w, b in local.items() if b is None])
+        local = dict(zip(words, map(self.known.get, words)))
+        fresh = [w for w, b in local.items() if b is None]
+        new = dict(zip(fresh, self._bytes(fresh)))
         local.update(new)
-        self._keep(self.chunks, new)
+        if len(self.known) < self.remember:
+            self.known.update(list(new.items())[: self.remember - len(self.known)])
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()
         get = local.__getitem__
-        return [(self._bytes([t])[0] if s is None else b"".join(map(get, s))) + tail for t, s in zip(texts, split)]
+        return [(self._bytes([raw[i].decode("utf-8", "replace")])[0] if s is None else b"".join(map(get, s))) + tail for i, s in enumerate(split)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -98,7 +101,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int | None) -> It
     """(row of ids, ids as bytes, dtype) of batches of ids and texts."""
     enc = encoder(path)
     for ids, raw in common.text_batches(batches):
-        yield ids, enc.encode([t.decode("utf-8", "replace") for t in raw], end), enc.dtype
+        yield ids, enc.encode(raw, end), enc.dtype
 
 
 # ---- operator 7 ------------------------------------------------------------------------

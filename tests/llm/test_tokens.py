@@ -5,7 +5,7 @@ import pytest
 
 from tarsus.llm import queries, token_files, tokens
 
-PIECES = ["a", "Be", "it's", "don'T", "İ", "é", "é", "ﬁ", "Σ", "ΟΔΟΣ", "1", "42", ".", ",", "!?", "...", "%", "<|endoftext|>", "<|ENDOFTEXT|>", "<s>", "▁", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", "\x0b", "́", "漢字", "🙂", "x.y", "\r\n", "क़", "​"]
+PIECES = ["a", "Be", "word. ", "A, ", "B;", "9. ", "x!\n", "it's", "don'T", "İ", "é", "é", "ﬁ", "Σ", "ΟΔΟΣ", "1", "42", ".", ",", "!?", "...", "%", "<|endoftext|>", "<|ENDOFTEXT|>", "<s>", "▁", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", "\x0b", "́", "漢字", "🙂", "x.y", "\r\n", "क़", "​"]
 
 
 def texts(n=3000, seed=3):
@@ -19,7 +19,7 @@ def test_word_encoder():
     for lo in range(0, len(all_), 100):
         part = all_[lo : lo + 100]
         want = [np.array(e.ids, t.dtype).tobytes() for e in t.t.encode_batch(part, add_special_tokens=False)]
-        assert t.encode(part) == want
+        assert t.encode([x.encode() for x in part]) == want
 
 
 def test_pre_tokens_add_up():
