@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 #: White space as Python's str.strip and split see it.
 WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
-DIACRITICS = "[ً-ٰٟـ]"
-CJK = "[぀-ヿ㐀-䶿一-鿿가-힯]"
+DIACRITICS = "[\u064B-\u065F\u0670\u0640]"
+CJK = "[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF]"
 PROCLITICS = "وفبكل"
 REASONS = ("generation_error", "empty_answer", "foreign_script_heavy", "role_marker", "code_fence", "heavy_repetition")
 
@@ -153,16 +153,20 @@ def cosine(a: Column, b: Column) -> Column:
     same = F.assert_true(F.coalesce(F.size(a) == F.size(b), F.lit(True)), "vectors of different length")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.when(same.isNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when(same.isNull() & value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def parse_scores(text: Column, names: tuple[str, ...] = ("quality", "fluency", "coherence", "understandability")) -> Column:
     """struct of the first number on the last line that begins with each name; null unless all are there."""
     lines = F.split(text, "\n")
+
+    def of(name: str) -> Column:
+        return F.filter(lines, lambda x: F.lower(ws_trim(x)).startswith(name) & x.rlike(r"\d"))
+
     got = []
     for n in names:
-        mine = F.filter(lines, lambda x, n=n: F.lower(ws_trim(x)).startswith(n) & x.rlike(r"\d"))
-        got.append(F.regexp_extract(F.element_at(mine, -1), r"(\d+(?:\.\d+)?)", 1).try_cast("double").alias(n))
+        mine = of(n)
+        got.append(F.regexp_extract(F.try_element_at(mine, F.lit(-1)), r"(\d+(?:\.\d+)?)", 1).try_cast("double").alias(n))
     every = got[0].isNotNull()
     for g in got[1:]:
         every = every & g.isNotNull()

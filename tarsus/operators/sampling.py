@@ -79,17 +79,15 @@ def first_rows(df: DataFrame, by: Sequence[str], seq: str, n: int) -> DataFrame:
 def grouped_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """(group, fold): groups never cross folds, label counts are balanced.
 
-    Groups are ordered by size with a seeded tie break and dealt in a serpentine, separately
-    for groups richer and poorer in positives; a ranking of groups, not of rows.
+    Groups are ordered by their share of positives and by size with a seeded tie break, and
+    dealt in a serpentine; a ranking of groups, not of rows.
     """
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    rate = F.avg("pos").over(W.partitionBy()) / F.avg("n").over(W.partitionBy())
-    g = g.withColumn("rich", (F.col("pos") / F.col("n")) >= rate)
-    r = F.row_number().over(W.partitionBy("rich").orderBy(F.desc("pos"), F.desc("n"), shuffled(seed, group))) - 1
+    r = F.row_number().over(W.orderBy(F.desc(F.col("pos") / F.col("n")), F.desc("n"), shuffled(seed, group))) - 1
     g = g.withColumn("r", r)
     at = F.pmod("r", F.lit(folds))
     lap = F.pmod(F.floor(F.col("r") / folds), F.lit(2))
-    turn = F.when(F.col("rich"), F.when(lap == 0, at).otherwise(folds - 1 - at)).otherwise(F.when(lap == 0, folds - 1 - at).otherwise(at))
+    turn = F.when(lap == 0, at).otherwise(folds - 1 - at)
     return g.select(group, turn.cast("int").alias("fold"))
 
 

@@ -47,8 +47,11 @@ def metric_column(df: DataFrame, metric: TextMetric, left: str, right: str, name
 def char_grams(c, low: int = 3, high: int = 5):
     """Character n-grams inside words padded with a space, as an array column."""
     padded = F.transform(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = [F.flatten(F.transform(padded, lambda w, n=n: F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))))) for n in range(low, high + 1)]
-    return F.concat(*grams)
+
+    def of(n: int):
+        return F.flatten(F.transform(padded, lambda w: F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n))))))
+
+    return F.concat(*map(of, range(low, high + 1)))
 
 
 def tfidf_pipeline(min_df: int = 2, size: int = 60_000):

@@ -70,12 +70,13 @@ def benchmark(seed: DataFrame | None, arms: dict[str, DataFrame | None], limit:
 
 def exemplars(rows: DataFrame, seq: str, least: int = 1) -> tuple[DataFrame, str]:
     """Pairs with both sides, and the first stated sub-variety; an error below ``least`` pairs."""
-    full = rows.filter((text.ws_trim(text.text_or_empty("msa_question")) != "") & (text.ws_trim(text.text_or_empty("dialect_question")) != ""))
+    msa, dialect = (text.ws_trim(text.text_or_empty(c)).alias(c) for c in ("msa_question", "dialect_question"))
+    both = (msa != "") & (dialect != "")
     sub = text.ws_trim(text.text_or_empty("sub_variety")) if "sub_variety" in rows.columns else F.lit("")
-    got = full.agg(F.count("*").alias("n"), F.min_by(sub, F.when(sub != "", F.col(seq))).alias("sub")).first()
+    got = rows.agg(F.count_if(both).alias("n"), F.min_by(sub, F.when(sub != "", F.col(seq))).alias("sub")).first()
     if got["n"] < least:
         raise ValueError(f"{got['n']} exemplars; at least {least} are needed")
-    return full.select("msa_question", "dialect_question"), got["sub"] or ""
+    return rows.filter(both).select(msa, dialect), got["sub"] or ""
 
 
 def annotation(rows: DataFrame, parse, column: str = "human_label", seq: str | None = None) -> DataFrame:
