@@ -222,7 +222,10 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
     asked = blocks.mapInArrow(asks, ASK).repartitionById(n_buckets, "bucket")
     got = asked.mapInArrow(answers, ANSWER)
     n_groups = max(1, blocks.sparkSession.sparkContext.defaultParallelism)
-    return stage(got.repartition(max(n_groups, n_buckets), "grp"), name, partition_by="grp")[1]
+    path = stage(got.repartition(max(n_groups, n_buckets), "grp"), name, partition_by="grp")[1]
+    del asked, got
+    release(blocks.sparkSession)
+    return path
 
 
 def bucket_notes(spark: SparkSession, path: str) -> DataFrame:
