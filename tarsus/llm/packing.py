@@ -191,5 +191,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, id_c
                 q, o = place(runs.value, c["length"].to_numpy(), c["k"].to_numpy() + c["before"].to_numpy())
                 yield common.batch(**{n: c[n] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}, sequence_id=pa.array(q, pa.int64()), offset=pa.array(o, pa.int64()))
 
-    ranked = pieces.join(before.select("part", "length", "before"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "before")
+    # the counts grow with the number of tasks: never broadcast them
+    ranked = pieces.join(before.select("part", "length", "before").hint("merge"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "before")
     return ranked.mapInArrow(put, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
