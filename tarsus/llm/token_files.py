@@ -22,7 +22,7 @@ FORMAT = {
     "parquet.dictionary.page.size": str(1 << 20),
 }
 #: Text bytes planned for one file.
-FILE_BYTES = 32_000_000
+FILE_BYTES = 24_000_000
 SCHEMA = "bucket int, doc_id long, start long, n_tokens long, ids array<int>"
 
 
