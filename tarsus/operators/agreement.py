@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
+from . import ranks
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -113,16 +114,16 @@ def ranked_counts(df: DataFrame, label: str, score: str, keys: Sequence[str] = (
 
 def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with half credit for ties."""
-    below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    c = ranked_counts(df, label, score, keys).withColumn("__below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    c = ranks.running(ranked_counts(df, label, score, keys), keys, score, {"__below": F.col("neg")})
     return c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision at distinct scores, highest first."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = ranked_counts(df, label, score, keys).withColumns({"__tp": F.sum("pos").over(w), "__all": F.sum(F.col("pos") + F.col("neg")).over(w)})
-    return c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * F.col("__tp") / F.col("__all")), F.sum("pos")).alias("average_precision"))
+    n = F.col("pos") + F.col("neg")
+    c = ranks.running(ranked_counts(df, label, score, keys), keys, score, {"__tp": F.col("pos"), "__all": n}, descending=True)
+    share = (F.col("__tp") + F.col("pos")) / (F.col("__all") + n)
+    return c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * share), F.sum("pos")).alias("average_precision"))
 
 
 def tag_recall(df: DataFrame, tags: Sequence[str], predicted: Column) -> DataFrame:

@@ -28,9 +28,9 @@ def canonical(log: DataFrame, success: Column, seq: str, keys: Sequence[str] = K
 
 
 def group_ordinals(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """``group_id``: the ordinal of each key's first appearance, from 0. Keys are ranked, not rows."""
-    from pyspark.sql import Window as W
+    """``group_id``: the ordinal of each key's first appearance (``seq`` is a number), from 0. Keys are ranked, not rows."""
+    from .ranks import ranked
 
     first = df.groupBy(key).agg(F.min(seq).alias("__first"))
-    ids = first.select(F.col(key), (F.row_number().over(W.orderBy("__first", key)) - 1).cast("int").alias("group_id"))
+    ids = ranked(first, "__first", [F.col(key)], name="group_id").select(key, F.col("group_id").cast("int").alias("group_id"))
     return df.join(ids, key)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def shuffled(seed: int, *cols: str) -> Column:
     """A reproducible random order that doesn't depend on partitions."""
@@ -42,16 +44,9 @@ def layer3_allocation(strata: DataFrame, size: int, keys: Sequence[str] = ("mode
 
 
 def take_allocated(rows: DataFrame, allocation: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """The first ``allocated`` rows of each stratum in the given order.
-
-    Each partition first keeps its own best rows of a stratum, so a hot stratum is never sorted
-    in one task: at most ``allocated`` rows a partition go on.
-    """
-    j = rows.join(F.broadcast(allocation.select(*keys, "allocated")), list(keys)).withColumn("__o", order).withColumn("__part", F.spark_partition_id())
-    local = F.row_number().over(W.partitionBy(*keys, "__part").orderBy("__o"))
-    final = F.row_number().over(W.partitionBy(*keys).orderBy("__o"))
-    out = j.withColumn("__r", local).filter(F.col("__r") <= F.col("allocated"))
-    return out.withColumn("__r", final).filter(F.col("__r") <= F.col("allocated")).drop("__o", "__part", "__r", "allocated")
+    """The first ``allocated`` rows of each stratum in the given order. The allocation has at most as many rows as the sample."""
+    j = rows.join(F.broadcast(allocation.select(*keys, "allocated")), list(keys)).withColumn("__o", order)
+    return ranks.first_rows(j, keys, [F.col("__o")], F.col("allocated")).drop("__o", "allocated")
 
 
 def sample_ids(rows: DataFrame, prefix: str | Column, order: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +68,7 @@ def first_groups(df: DataFrame, key: str, seq: str, n: int) -> DataFrame:
 
 
 def first_rows(df: DataFrame, by: Sequence[str], seq: str, n: int) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(seq))).filter(F.col("__r") <= n).drop("__r")
+    return ranks.first_rows(df, by, [F.col(seq)], n)
 
 
 def grouped_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -83,8 +78,7 @@ def grouped_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: i
     dealt in a serpentine; a ranking of groups, not of rows.
     """
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    r = F.row_number().over(W.orderBy(F.desc(F.col("pos") / F.col("n")), F.desc("n"), shuffled(seed, group))) - 1
-    g = g.withColumn("r", r)
+    g = ranks.ranked(g.withColumn("share", F.col("pos") / F.col("n")), "share", [F.desc("n"), shuffled(seed, group)], name="r", descending=True)
     at = F.pmod("r", F.lit(folds))
     lap = F.pmod(F.floor(F.col("r") / folds), F.lit(2))
     turn = F.when(lap == 0, at).otherwise(folds - 1 - at)
@@ -100,8 +94,12 @@ def grouped_train_validation_test(df: DataFrame, group: str, label: str, seed: i
     return d.join(inner, group, "left").withColumn("split", split).drop("__outer", "__inner")
 
 
-def stratified_rows(df: DataFrame, label: str, order: Column, share: float = 0.8) -> DataFrame:
-    """Rows with ``split``: the first ``share`` of each label's rows in the given order are for training. Rows of a group may part."""
-    w = W.partitionBy(label)
-    d = df.withColumns({"__r": F.row_number().over(w.orderBy(order)), "__n": F.count("*").over(w)})
-    return d.withColumn("split", F.when(F.col("__r") <= F.round(F.col("__n") * share), "train").otherwise("validation")).drop("__r", "__n")
+def stratified_rows(df: DataFrame, label: str, order: Column, tie: str, share: float = 0.8) -> DataFrame:
+    """Rows with ``split``: the first ``share`` of each label's rows are for training. Rows of a group may part.
+
+    ``order`` is a hexadecimal hash; its first digits, as a number, are ranked by bucket.
+    """
+    d = df.withColumn("__h", order).withColumn("__o", F.conv(F.substring("__h", 1, 12), 16, 10).cast("long"))
+    d = ranks.ranked(d, "__o", [F.col("__h"), F.col(tie)], [label], "__r")
+    n = df.groupBy(label).agg(F.count("*").alias("__n"))
+    return d.join(n, label).withColumn("split", F.when(F.col("__r") < F.round(F.col("__n") * share), "train").otherwise("validation")).drop("__r", "__n", "__h", "__o")

@@ -223,7 +223,7 @@ def layer3_sample(spark, d):
 
 def stratified_split(spark, d):
     t = A.table(spark, d, "labels").filter("quality is not null")
-    s = sampling.stratified_rows(t, "quality", F.struct(F.md5(F.col("doc_id").cast("string")), F.col("doc_id")))
+    s = sampling.stratified_rows(t, "quality", F.md5(F.col("doc_id").cast("string")), "doc_id")
     return s.groupBy("quality", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
