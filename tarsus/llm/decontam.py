@@ -139,14 +139,12 @@ def search(x: Index, texts: list[list[bytes]], threshold: float, overlap: float,
     key = np.unique(np.concatenate([one * size + t[at], (two * size + t[at])[two >= 0]]))
     p, item, s = retrieve(x, key // size, key % size, threshold)
     best: dict[tuple, tuple] = {}
-    for a, j, v in zip(p.tolist(), item.tolist(), s.tolist()):
+    for a, j, v in zip(p.tolist(), item.tolist(), np.round(s, 6).tolist()):
         d = int(np.searchsorted(p0, a, side="right")) - 1
         lo = (a - p0[d]) * x.half
         w = texts[d][lo : lo + 2 * x.half]
         have = shingles(w, shingle)
         q, an = x.parts[j]
-        if have and len(w) < shingle:
-            have = {tuple(w)}
         qo = len(q & have) / len(q) if q else 1.0
         ao = len(an & have) / len(an) if an else 1.0
         if qo >= overlap and ao >= overlap and (v, -lo) > best.get((d, j), (-1.0, 0))[:2]:
@@ -155,7 +153,7 @@ def search(x: Index, texts: list[list[bytes]], threshold: float, overlap: float,
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, indexed: int = INDEXED) -> DataFrame:
-    """Documents that hold test items: doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words, text_hash.
+    """Documents that hold test items: doc_id, item_id, score (6 places), question_overlap, answer_overlap, first_word, n_words, text_hash.
 
     Every passage of every whole text (halves of at least HALF words and as long as the longest
     item, two at a time) is a query against the items; every item whose BM25 score reaches

@@ -75,6 +75,26 @@ QUERIES = {
     "op10_rules": op10_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": r"""
+        WITH bag AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+        it AS (SELECT item_id, w, len(w) AS n, len(w) - len(w) // 3 AS cut FROM bag WHERE len(w) > 0),
+        c AS (SELECT count(*) AS items, avg(n) AS mean, greatest(48, max(n)) AS half FROM it),
+        tf AS (SELECT item_id, n, term, count(*) AS tf FROM (SELECT item_id, n, unnest(w) AS term FROM it) GROUP BY item_id, n, term),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        s AS (SELECT item_id, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS s FROM tf JOIN df USING (term), c),
+        post AS (SELECT item_id, term, s / sum(s) OVER (PARTITION BY item_id) AS weight FROM s),
+        part AS (SELECT item_id, CASE WHEN len(w[1:cut]) >= 3 THEN list_distinct(list_transform(range(1, len(w[1:cut]) - 1), lambda i: w[1:cut][i] || chr(1) || w[1:cut][i + 1] || chr(1) || w[1:cut][i + 2])) WHEN len(w[1:cut]) > 0 THEN [array_to_string(w[1:cut], chr(1))] ELSE [] END AS q, CASE WHEN cut < n THEN CASE WHEN len(w[greatest(0, cut - 2) + 1:]) >= 3 THEN list_distinct(list_transform(range(1, len(w[greatest(0, cut - 2) + 1:]) - 1), lambda i: w[greatest(0, cut - 2) + 1:][i] || chr(1) || w[greatest(0, cut - 2) + 1:][i + 1] || chr(1) || w[greatest(0, cut - 2) + 1:][i + 2])) WHEN len(w[greatest(0, cut - 2) + 1:]) > 0 THEN [array_to_string(w[greatest(0, cut - 2) + 1:], chr(1))] ELSE [] END ELSE [] END AS a FROM it),
+        doc AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+        word AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM doc),
+        known AS (SELECT doc_id, term, pos // half AS k FROM word, c WHERE term IN (SELECT term FROM df)),
+        pas AS (SELECT doc_id, term, k FROM known UNION SELECT doc_id, term, k - 1 FROM known WHERE k > 0),
+        hit AS (SELECT doc_id, k, item_id, sum(weight) AS v FROM pas JOIN post USING (term) GROUP BY doc_id, k, item_id HAVING sum(weight) >= 0.6 - 1e-9),
+        cand AS (SELECT h.doc_id, h.item_id, round(h.v, 6) AS score, h.k * half AS first_word, d.w[h.k * half + 1:(h.k + 2) * half] AS w FROM hit h JOIN doc d ON d.doc_id = h.doc_id, c),
+        sh AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END AS have FROM cand),
+        o AS (SELECT doc_id, sh.item_id, score, CASE WHEN len(q) > 0 THEN len(list_intersect(q, have)) / len(q) ELSE 1.0 END AS question_overlap, CASE WHEN len(a) > 0 THEN len(list_intersect(a, have)) / len(a) ELSE 1.0 END AS answer_overlap, first_word, len(w) AS n_words FROM sh JOIN part ON part.item_id = sh.item_id)
+        SELECT doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words FROM o WHERE question_overlap >= 0.6 AND answer_overlap >= 0.6
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first_word) = 1
+    """,
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
@@ -84,4 +104,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN d.page_id > f.first_id THEN f.first_id END AS refers_to
         FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
     """,
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+        hit AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE f.m < w.doc_id),
+        edge AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS e FROM hit),
+        grp AS (SELECT doc_id, i, sum(e) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edge),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM grp GROUP BY doc_id, g),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+        cut AS (SELECT d.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS k, sum(b - a) AS removed, count(*) AS spans FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY d.doc_id)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+    """,
 }
