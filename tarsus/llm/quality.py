@@ -57,12 +57,12 @@ def isotonic(x: np.ndarray, total: np.ndarray, ones: np.ndarray) -> tuple[np.nda
 def fit(table: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", seed: int = 7) -> Model:
     """Learn from the labelled rows of a table of statistics whose fold (crc32 of the id as text, mod 4) is in FOLDS.
 
-    All of them count: tasks sum their normal equations, a fixed number of which reach the
-    driver. Scores for calibration come from equations without the scored fold; they are
+    All of them count: tasks sum their normal equations, PARTIALS tasks sum those sums, and
+    only these reach the driver. Scores for calibration come from equations without the scored fold; they are
     counted in BINS bins before they are collected.
     """
     rows = stats.labelled(table, labels, label, id_col).withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)).cast("int")).filter(F.col("fold").isin(*FOLDS)).select("fold", "f", "y")
-    rows, _ = common.stage(rows.repartition(PARTIALS), "labelled")
+    rows, _ = common.stage(rows, "labelled")
     n_f = len(stats.FEATURES)
     m = rows.select(F.count("*"), *(g(F.col("f")[k]) for g in (F.avg, F.stddev_pop) for k in range(n_f))).first()
     mean, scale = (np.array([v or 0.0 for v in m[1 + s * n_f : 1 + (s + 1) * n_f]]) for s in (0, 1))
@@ -84,7 +84,17 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     size = N_RANDOM + n_f + 1
     per = {k: [np.zeros((size, size)), np.zeros(size)] for k in FOLDS}
-    for row in rows.mapInArrow(sums, "fold int, payload binary").collect():  # PARTIALS rows a fold
+
+    def add(batches):
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                acc[k] = acc.get(k, 0) + np.frombuffer(p)
+        for k, v in acc.items():
+            yield common.batch(fold=pa.array([k], pa.int32()), payload=pa.array([v.tobytes()], pa.binary()))
+
+    partial = rows.mapInArrow(sums, "fold int, payload binary").repartition(PARTIALS).mapInArrow(add, "fold int, payload binary")
+    for row in partial.collect():  # at most PARTIALS rows a fold
         v = np.frombuffer(row.payload)
         per[row.fold][0] += v[: size * size].reshape(size, size)
         per[row.fold][1] += v[size * size :]
