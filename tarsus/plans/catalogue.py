@@ -393,6 +393,8 @@ _LAYER1 = f"""WITH n AS (SELECT doc_id, text, list_filter(string_split({_norm("t
     CASE WHEN {_REPEAT.format(k=1)} OR {_REPEAT.format(k=2)} OR {_REPEAT.format(k=3)} THEN 'heavy_repetition' END], lambda x: x IS NOT NULL) AS reasons FROM n)"""
 _BIN = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r"
 _CONF = "count(*) FILTER (label = 0 AND NOT s) AS tn, count(*) FILTER (label = 0 AND s) AS fp, count(*) FILTER (label = 1 AND NOT s) AS fn, count(*) FILTER (label = 1 AND s) AS tp"
+_AUC = """au AS (SELECT p.lang, round(sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) / count(*), 6) AS roc_auc FROM sc p JOIN sc q ON p.lang = q.lang AND p.label = 1 AND q.label = 0 GROUP BY p.lang),
+auc AS (SELECT lang, roc_auc FROM (SELECT DISTINCT lang FROM sc) LEFT JOIN au USING (lang))"""
 _KAPPA3 = "(SELECT sum(a.c * b.c) FROM (SELECT truth AS k, count(*) / (SELECT count(*) FROM cls) AS c FROM cls GROUP BY 1) a JOIN (SELECT pred AS k, count(*) / (SELECT count(*) FROM cls) AS c FROM cls GROUP BY 1) b USING (k))"
 
 ORACLE_SQL = {
@@ -423,7 +425,7 @@ ORACLE_SQL = {
         SELECT *, round(n_double / n_keyed, 6) AS coverage, round(n_agree / n_double, 6) AS raw_agreement, round(n_right / n_consensus, 6) AS consensus_accuracy FROM x""",
     "threshold_sweep": f"WITH {SWEEP} SELECT threshold, tn, fp, fn, tp, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f",
     "best_threshold": f"WITH {SWEEP} SELECT threshold, round(f1, 6) AS f1 FROM f ORDER BY round(f1, 12) DESC, round(abs(threshold - 0.5), 9), threshold LIMIT 1",
-    "roc_auc": f"WITH {SC} SELECT p.lang, round(sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) / count(*), 6) AS roc_auc FROM sc p JOIN sc q ON p.lang = q.lang AND p.label = 1 AND q.label = 0 GROUP BY p.lang",
+    "roc_auc": f"WITH {SC}, {_AUC} SELECT lang, roc_auc FROM auc",
     "average_precision": f"WITH {SC}, c AS (SELECT lang, score, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM sc GROUP BY lang, score), w AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY score DESC) AS k FROM c) SELECT lang, round(sum(pos * tp / k) / sum(pos), 6) AS average_precision FROM w GROUP BY lang",
     "binary_metrics": f"WITH {SC}, c AS (SELECT lang, {_CONF} FROM (SELECT *, score >= 0.5 AS s FROM sc) GROUP BY lang), m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS a, {_BIN} FROM c) SELECT lang, tn, fp, fn, tp, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM m",
     "tag_recall": f"WITH {SC} SELECT 'low_quality' AS tag, count(*) FILTER (label = 0) AS n, round(count(*) FILTER (label = 0 AND score >= 0.5) / count(*) FILTER (label = 0), 6) AS recall FROM sc UNION ALL SELECT 'toxic', count(*) FILTER (toxic = 1), round(count(*) FILTER (toxic = 1 AND score >= 0.5) / count(*) FILTER (toxic = 1), 6) FROM sc",
@@ -448,7 +450,7 @@ ORACLE_SQL = {
     "todo_plan": f"WITH {GEN}, p AS (SELECT CAST(c_custkey AS VARCHAR) AS qid, v.variety, m.model, c.condition FROM customer, (VALUES ('msa'), ('gulf')) v(variety), (VALUES ('m0'), ('m1')) m(model), (VALUES ('direct'), ('msa_answer')) c(condition) WHERE NOT (v.variety = 'msa' AND c.condition = 'msa_answer')) SELECT qid, variety, model, condition FROM p WHERE NOT EXISTS (SELECT 1 FROM gen g WHERE g.ok AND g.qid = p.qid AND g.variety = p.variety AND g.model = p.model AND g.condition = p.condition)",
     "first_per_variety": f"WITH {GEN} SELECT variety, seq, qid, model FROM (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY seq) AS r FROM canon) WHERE r <= 10",
     "first_groups": "SELECT source, doc_id FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY min(doc_id) LIMIT 3)",
-    "variant_ranking": f"WITH {SC}, a AS (SELECT p.lang AS variant, round(sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) / count(*), 6) AS validation_roc_auc FROM sc p JOIN sc q ON p.lang = q.lang AND p.label = 1 AND q.label = 0 GROUP BY p.lang), c AS (SELECT lang, {_CONF} FROM (SELECT *, score >= 0.5 AS s FROM sc) GROUP BY lang), m AS (SELECT lang AS variant, {_BIN} FROM c), f AS (SELECT variant, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS validation_f1 FROM m) SELECT variant, validation_roc_auc, validation_f1, CAST(row_number() OVER (ORDER BY validation_roc_auc DESC, validation_f1 DESC, variant DESC) AS INT) AS rank, row_number() OVER (ORDER BY validation_roc_auc DESC, validation_f1 DESC, variant DESC) = 1 AS selected FROM a JOIN f USING (variant)",
+    "variant_ranking": f"WITH {SC}, {_AUC}, a AS (SELECT lang AS variant, roc_auc AS validation_roc_auc FROM auc), c AS (SELECT lang, {_CONF} FROM (SELECT *, score >= 0.5 AS s FROM sc) GROUP BY lang), m AS (SELECT lang AS variant, {_BIN} FROM c), f AS (SELECT variant, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS validation_f1 FROM m) SELECT variant, validation_roc_auc, validation_f1, CAST(row_number() OVER (ORDER BY validation_roc_auc DESC, validation_f1 DESC, variant DESC) AS INT) AS rank, row_number() OVER (ORDER BY validation_roc_auc DESC, validation_f1 DESC, variant DESC) = 1 AS selected FROM a JOIN f USING (variant)",
     "epoch_upsert": "WITH e AS (SELECT event_id, (event_id % 40) / 10.0::DOUBLE + CASE WHEN event_id % 3 = 0 THEN 0.01::DOUBLE ELSE 0 END AS ep, CASE WHEN event_type = 'view' THEN value END AS loss, CASE WHEN event_type = 'click' THEN value END AS eval_loss FROM events), s AS (SELECT *, CASE WHEN abs(ep - round_even(ep, 0)) < 0.02 THEN round_even(ep, 0) ELSE round(ep, 6) END AS epoch FROM e) SELECT epoch, round(arg_max(loss, event_id) FILTER (loss IS NOT NULL), 6) AS train_loss, round(arg_max(eval_loss, event_id) FILTER (eval_loss IS NOT NULL), 6) AS validation_loss FROM s GROUP BY epoch",
     "arm_seeds": f"WITH {GEN} SELECT DISTINCT model, variety, condition, substr(sha256('42|' || model || '|' || variety || '|' || condition), 1, 16) AS seed_hex FROM canon WHERE variety <> 'msa'",
     "run_completeness": f"WITH {GEN} SELECT variety, count(*) AS n, count(*) FILTER (NOT ok) AS n_failed, count(*) = 300 AND count(*) FILTER (NOT ok) = 0 AS ok FROM canon GROUP BY variety",
