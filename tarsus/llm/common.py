@@ -3,8 +3,8 @@
 The block exchange is how an operator asks a question about every distinct key of the corpus
 without shuffling text. Text is staged once as *blocks* (rows of a few MB, all in one *group*
 per written partition). Each block sends its distinct keys, packed, to key buckets; a bucket
-sees all blocks that asked about its keys and answers each of them; the answers are written by
-group, so the task that reads a group's blocks again finds its answers beside them. A key that
+sees all blocks that asked about its keys and answers each of them; requests and answers of many
+blocks travel in one row; the answers are written by group, so the task that reads a group's blocks again finds its answers beside them. A key that
 a third of all documents hold is sent once a block.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2_000_000
 #: Bytes of text for which one bucket of the exchange is planned.
 BUCKET_BYTES = 24_000_000
+#: Buckets at most: beyond, they grow with the text, and so must executors. Bytes of requests a task gathers before it sends them.
+MOST_BUCKETS, SEND_BYTES = 1 << 16, 24_000_000
 
 _made: list[str] = []
 
@@ -175,9 +177,9 @@ def smallest(a: np.ndarray) -> np.ndarray:
 
 
 def buckets_for(n_bytes: int, least: int = 12) -> int:
-    """A power of two, so that a bucket is a run of key prefixes."""
+    """A power of two, so that a bucket is a run of key prefixes; at most MOST_BUCKETS."""
     want = max(least, -(-n_bytes // BUCKET_BYTES))
-    return 1 << max(0, (want - 1).bit_length())
+    return min(MOST_BUCKETS, 1 << max(0, (want - 1).bit_length()))
 
 
 def split_sorted(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -189,8 +191,20 @@ def split_sorted(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, marks), len(keys)]
 
 
-ASK = "bucket int, grp int, block long, payload binary"
-ANSWER = "grp int, block long, bucket int, payload binary"
+ASK = "bucket int, grp int, payload binary"
+ANSWER = "grp int, bucket int, payload binary"
+
+
+def framed(parts: list[tuple[int, bytes]]) -> bytes:
+    return b"".join(x for n, p in parts for x in (struct.pack("<qQ", n, len(p)), p))
+
+
+def unframed(b: bytes) -> Iterator[tuple[int, bytes]]:
+    at = 0
+    while at < len(b):
+        n, size = struct.unpack_from("<qQ", b, at)
+        yield n, b[at + 16 : at + 16 + size]
+        at += 16 + size
 
 
 def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int, name: str) -> str:
@@ -203,21 +217,36 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
     """
 
     def asks(batches):
+        held: dict[int, list] = {}
+        grp, size = None, 0
+
+        def send():
+            k = sorted(held)
+            return batch(bucket=pa.array(k, pa.int32()), grp=pa.array([grp] * len(k), pa.int32()), payload=pa.array([framed(held[x]) for x in k], pa.binary()))
+
         for row in read_rows(batches):
-            got = list(ask(row))
-            if got:
-                yield batch(bucket=pa.array([k for k, _ in got], pa.int32()), grp=pa.array([row["grp"]] * len(got), pa.int32()), block=pa.array([row["block"]] * len(got), pa.int64()), payload=pa.array([p for _, p in got], pa.binary()))
+            if held and (row["grp"] != grp or size > SEND_BYTES):
+                yield send()
+                held, size = {}, 0
+            grp = row["grp"]
+            for k, p in ask(row):
+                held.setdefault(k, []).append((row["block"], p))
+                size += len(p) + 100
+        if held:
+            yield send()
 
     def answers(batches):
         by: dict[int, list] = {}
         for b in batches:
-            for k, g, i, p in zip(*(c.to_pylist() for c in b.columns)):
-                by.setdefault(k, []).append((i, g, p))
-        for k, rows in sorted(by.items()):
-            rows.sort(key=lambda r: r[0])
-            for (i, g, _), out in zip([*rows, (-1, -1, b"")], answer([p for _, _, p in rows])):
-                yield batch(grp=pa.array([g], pa.int32()), block=pa.array([i], pa.int64()), bucket=pa.array([k], pa.int32()), payload=pa.array([out], pa.binary()))
-            by[k] = []
+            for k, g, p in zip(*(c.to_pylist() for c in b.columns)):
+                by.setdefault(k, []).extend((i, g, x) for i, x in unframed(p))
+        for k in sorted(by):
+            rows = sorted(by.pop(k), key=lambda r: r[0])
+            out: dict[int, list] = {}
+            for (i, g, _), x in zip([*rows, (-1, -1, b"")], answer([p for _, _, p in rows])):
+                out.setdefault(g, []).append((i, x))
+            g = list(out)
+            yield batch(grp=pa.array(g, pa.int32()), bucket=pa.array([k] * len(g), pa.int32()), payload=pa.array([framed(out[x]) for x in g], pa.binary()))
 
     asked = blocks.mapInArrow(asks, ASK).repartitionById(n_buckets, "bucket")
     got = asked.mapInArrow(answers, ANSWER)
@@ -230,7 +259,7 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
 
 def bucket_notes(spark: SparkSession, path: str) -> DataFrame:
     """(payload): what the buckets of an exchange noted about themselves."""
-    return spark.read.schema("block long, bucket int, payload binary, grp int").parquet(path).filter("grp = -1").select("payload")
+    return spark.read.schema("bucket int, payload binary, grp int").parquet(path).filter("grp = -1").select("payload")
 
 
 class Answers:
@@ -246,7 +275,8 @@ class Answers:
             if fs.get_file_info(bare).type == pafs.FileType.Directory:
                 for f in fs.get_file_info(pafs.FileSelector(bare)):
                     if f.path.endswith(".parquet"):
-                        t = pq.ParquetFile(fs.open_input_file(f.path)).read(columns=["block", "bucket", "payload"])
-                        for i, k, p in zip(*(c.to_pylist() for c in t.columns)):
-                            self.by.setdefault(i, {})[k] = p
+                        t = pq.ParquetFile(fs.open_input_file(f.path)).read(columns=["bucket", "payload"])
+                        for k, x in zip(*(c.to_pylist() for c in t.columns)):
+                            for i, p in unframed(x):
+                                self.by.setdefault(i, {})[k] = p
         return self.by.get(block, {})

@@ -303,7 +303,7 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
 
     def notes(batches):
         for b in batches:
-            yield common.batch(v=pa.array([struct.unpack("<q", x)[0] for x in b.column(0).to_pylist()], pa.int64()))
+            yield common.batch(v=pa.array([struct.unpack("<q", y)[0] for x in b.column(0).to_pylist() for _, y in common.unframed(x)], pa.int64()))
 
     v = int(common.bucket_notes(spark, paths[0]).mapInArrow(notes, "v long").agg(F.sum("v")).first()[0] or 0)
     p0 = 1 / (v + 1)
