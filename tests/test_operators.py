@@ -8,31 +8,31 @@ from pyspark.sql import functions as F
 from tarsus.operators import agreement, dedupe, generation, paired, routing, sampling, training, translation
 from tarsus.sources import readers, sinks
 
-GOLDEN = """allam|egyptian|149|45|42|60|0.344595|0.35473|0.010135|0.408163|0.830373|1.0
-allam|gulf|162|30|30|72|0.346939|0.346939|0.0|0.545455|1.0|1.0
-allam|levantine|153|40|39|62|0.343537|0.346939|0.003401|0.439716|1.0|1.0
-allam|sudanese|135|59|29|73|0.344595|0.445946|0.101351|0.453416|0.001824|0.026664
-fanar|egyptian|28|59|43|149|0.688172|0.74552|0.057348|0.593625|0.137099|0.329038
-fanar|gulf|49|37|40|146|0.683824|0.672794|-0.011029|0.654709|0.819893|1.0
-fanar|levantine|43|42|49|141|0.690909|0.665455|-0.025455|0.607759|0.529602|0.847363
-fanar|sudanese|21|55|28|152|0.703125|0.808594|0.105469|0.646809|0.004039|0.026664
-fanar_instruct|egyptian|131|22|23|124|0.49|0.486667|-0.003333|0.733728|1.0|1.0
-fanar_instruct|gulf|135|18|11|136|0.49|0.513333|0.023333|0.824242|0.264931|0.529862
-fanar_instruct|levantine|130|23|12|135|0.49|0.526667|0.036667|0.794118|0.089531|0.306963
-fanar_instruct|sudanese|123|30|18|129|0.49|0.53|0.04|0.728814|0.111403|0.329038
-gpt55|egyptian|123|32|26|119|0.483333|0.503333|0.02|0.672316|0.511842|0.847363
-gpt55|gulf|123|32|21|123|0.481605|0.518395|0.036789|0.698864|0.168978|0.368679
-gpt55|levantine|123|32|20|125|0.483333|0.523333|0.04|0.706215|0.126347|0.329038
-gpt55|sudanese|113|42|19|126|0.483333|0.56|0.076667|0.673797|0.004444|0.026664
-jais|egyptian|87|49|44|120|0.546667|0.563333|0.016667|0.56338|0.678532|1.0
-jais|gulf|106|30|39|125|0.546667|0.516667|-0.03|0.64433|0.335558|0.619492
-jais|levantine|99|37|35|129|0.546667|0.553333|0.006667|0.641791|0.906294|1.0
-jais|sudanese|94|42|42|122|0.546667|0.546667|0.0|0.592233|1.0|1.0
-qwen3_8b|egyptian|39|16|13|224|0.811644|0.821918|0.010274|0.885375|0.711071|1.0
-qwen3_8b|gulf|34|23|10|227|0.806122|0.85034|0.044218|0.873077|0.035082|0.140328
-qwen3_8b|levantine|27|30|11|225|0.805461|0.870307|0.064846|0.845865|0.004324|0.026664
-qwen3_8b|sudanese|33|24|10|227|0.806122|0.853741|0.047619|0.869732|0.024307|0.116674"""
-INTERVALS = {("allam", "sudanese"): (0.040541, 0.162162), ("fanar", "sudanese"): (0.039062, 0.171973), ("gpt55", "gulf"): (-0.010033, 0.083612), ("qwen3_8b", "levantine"): (0.023891, 0.109215)}
+GOLDEN = """ma|egyptian|149|45|42|60|0.344595|0.35473|0.010135|0.408163|0.830373|1.0
+ma|gulf|162|30|30|72|0.346939|0.346939|0.0|0.545455|1.0|1.0
+ma|levantine|153|40|39|62|0.343537|0.346939|0.003401|0.439716|1.0|1.0
+ma|sudanese|135|59|29|73|0.344595|0.445946|0.101351|0.453416|0.001824|0.026664
+mb|egyptian|28|59|43|149|0.688172|0.74552|0.057348|0.593625|0.137099|0.329038
+mb|gulf|49|37|40|146|0.683824|0.672794|-0.011029|0.654709|0.819893|1.0
+mb|levantine|43|42|49|141|0.690909|0.665455|-0.025455|0.607759|0.529602|0.847363
+mb|sudanese|21|55|28|152|0.703125|0.808594|0.105469|0.646809|0.004039|0.026664
+mc|egyptian|131|22|23|124|0.49|0.486667|-0.003333|0.733728|1.0|1.0
+mc|gulf|135|18|11|136|0.49|0.513333|0.023333|0.824242|0.264931|0.529862
+mc|levantine|130|23|12|135|0.49|0.526667|0.036667|0.794118|0.089531|0.306963
+mc|sudanese|123|30|18|129|0.49|0.53|0.04|0.728814|0.111403|0.329038
+md|egyptian|123|32|26|119|0.483333|0.503333|0.02|0.672316|0.511842|0.847363
+md|gulf|123|32|21|123|0.481605|0.518395|0.036789|0.698864|0.168978|0.368679
+md|levantine|123|32|20|125|0.483333|0.523333|0.04|0.706215|0.126347|0.329038
+md|sudanese|113|42|19|126|0.483333|0.56|0.076667|0.673797|0.004444|0.026664
+me|egyptian|87|49|44|120|0.546667|0.563333|0.016667|0.56338|0.678532|1.0
+me|gulf|106|30|39|125|0.546667|0.516667|-0.03|0.64433|0.335558|0.619492
+me|levantine|99|37|35|129|0.546667|0.553333|0.006667|0.641791|0.906294|1.0
+me|sudanese|94|42|42|122|0.546667|0.546667|0.0|0.592233|1.0|1.0
+mf|egyptian|39|16|13|224|0.811644|0.821918|0.010274|0.885375|0.711071|1.0
+mf|gulf|34|23|10|227|0.806122|0.85034|0.044218|0.873077|0.035082|0.140328
+mf|levantine|27|30|11|225|0.805461|0.870307|0.064846|0.845865|0.004324|0.026664
+mf|sudanese|33|24|10|227|0.806122|0.853741|0.047619|0.869732|0.024307|0.116674"""
+INTERVALS = {("ma", "sudanese"): (0.040541, 0.162162), ("mb", "sudanese"): (0.039062, 0.171973), ("md", "gulf"): (-0.010033, 0.083612), ("mf", "levantine"): (0.023891, 0.109215)}
 
 
 @pytest.fixture(scope="module")
@@ -257,10 +257,10 @@ def test_folds_summary(spark):
 
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    (tmp_path / "a/generations.csv").write_bytes('﻿qid,answer\n1,"two\nlines, ""quoted"""\n2,\n'.encode())
+    (tmp_path / "a/log.csv").write_bytes('﻿qid,answer\n1,"two\nlines, ""quoted"""\n2,\n'.encode())
     (tmp_path / "b").mkdir()
-    (tmp_path / "b/generations.csv").write_text("qid,answer,extra\n3,x,y\n")
-    paths = readers.find(spark, str(tmp_path), "generations.csv")
+    (tmp_path / "b/log.csv").write_text("qid,answer,extra\n3,x,y\n")
+    paths = readers.find(spark, str(tmp_path), "log.csv")
     got = {r.qid: (r.answer, r.extra, r.analysis_run) for r in readers.many(spark, paths).collect()}
     assert got == {"1": ('two\nlines, "quoted"', "", "a"), "2": ("", "", "a"), "3": ("x", "y", "b")}
     m = readers.manifest(spark, str(tmp_path)).cache()
