@@ -30,10 +30,7 @@ BLOCK_BYTES = 2_000_000
 #: Bytes of text for which one bucket of the exchange is planned.
 BUCKET_BYTES = 24_000_000
 #: Buckets at most: beyond, they grow with the text, and so must executors. Bytes of requests a task gathers before it sends them.
-MOST_BUCKETS, SEND_BYTES = 1 << 16, 24_000_000
-
-_made: list[str] = []
-
+MOST_BUCKETS, SEND_BYTES = 1 << 16, 8_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; in local mode without it, a temporary one."""
@@ -120,10 +117,6 @@ def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 2_000_000) ->
             yield ids.slice(lo, hi - lo), [t or b"" for t in text.slice(lo, hi - lo).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def batch(**columns) -> pa.RecordBatch:
     """A record batch from named arrays, in order."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))

@@ -14,7 +14,7 @@ from . import common
 from .stats import WHITE, Hashed, mix
 
 #: Bytes of text in a block, context-frequency buckets of the two longer orders, EM rounds, and bins a decade of probability.
-BLOCK, CONTEXTS, ROUNDS, DECADE = 8_000_000, 16, 60, 4
+BLOCK, CONTEXTS, ROUNDS, DECADE = 4_000_000, 16, 60, 4
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 

@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield k, common.pack_sorted(keys[cut[k] : cut[k + 1]])
 
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
-    n_fine = 8 * n_buckets
+    n_fine = common.buckets_for(8 * n_bytes)
 
     def ask_stretches(row, state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
         answers = state.setdefault("a", common.Answers(shared))
