@@ -58,3 +58,8 @@ def packet(key: DataFrame, shown: Sequence[str], blank: Sequence[str], folder: s
     for k, seed in enumerate(seeds):
         csv(blinded(key, shown, blank, seed).coalesce(1), f"{folder}/validator_{'abcdefgh'[k]}")
     Path(folder, "README.md").write_text(note, encoding="utf-8")
+
+
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

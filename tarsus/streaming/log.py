@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from ..operators.dedupe import KEY, canonical
 
 
+#: The column that keeps whether an attempt succeeded.
+OK = "__ok"
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -22,26 +26,25 @@ def attempts(stream: DataFrame, success: Column, ts: str, keys: Sequence[str] =
 
 
 def merge_canonical(stream: DataFrame, success: Column, seq: str, target: str, checkpoint: str, keys: Sequence[str] = KEY, once: bool = True):
-    """Keep ``target`` at one row a key. A batch rewrites the table under a new version and then points to it, so a batch that runs again changes nothing.
+    """Append each batch's canonical rows to ``target`` as a version of its own; returns the query.
 
-    Returns the query. ``read_canonical`` reads what it keeps.
+    The canonical row of a union is that of the parts' canonical rows, so a batch costs its own
+    size only, and one that runs again overwrites its version. ``read_canonical`` merges versions.
     """
-    flag = "__ok"
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn(flag, success)
-        old = read_version(spark, target, epoch - 1)
-        both = new if old is None else old.unionByName(new, allowMissingColumns=True)
-        canonical(both, F.col(flag), seq, keys).write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        ok = batch.withColumn(OK, success)
+        canonical(ok, F.col(OK), seq, keys).write.mode("overwrite").parquet(f"{target}/version={epoch}")
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def read_version(spark: SparkSession, target: str, version: int) -> DataFrame | None:
-    return spark.read.parquet(f"{target}/version={version}") if version >= 0 else None
+def read_canonical(spark: SparkSession, target: str, seq: str, keys: Sequence[str] = KEY) -> DataFrame:
+    """One row a key over all versions."""
+    return canonical(spark.read.parquet(target).drop("version"), F.col(OK), seq, keys).drop(OK)
 
 
-def read_canonical(spark: SparkSession, target: str, version: int) -> DataFrame:
-    return read_version(spark, target, version).drop("__ok")
+def compact(spark: SparkSession, target: str, into: str, seq: str, keys: Sequence[str] = KEY) -> None:
+    """Write all versions as one into another folder, which may then take the place of the first."""
+    canonical(spark.read.parquet(target).drop("version"), F.col(OK), seq, keys).write.parquet(f"{into}/version=0")

@@ -294,9 +294,10 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(*r, None)], schema).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
     q = log.merge_canonical(log.read_log(spark, str(tmp_path / "in"), schema, 1), F.col("ok"), "seq", str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = q.lastProgress["batchId"]
-    (r,) = log.read_canonical(spark, str(tmp_path / "out"), last).collect()
+    (r,) = log.read_canonical(spark, str(tmp_path / "out"), "seq").collect()
     assert r.seq == 2
+    log.compact(spark, str(tmp_path / "out"), str(tmp_path / "one"), "seq")
+    assert log.read_canonical(spark, str(tmp_path / "one"), "seq").collect() == [r]
     w = log.attempts(log.read_log(spark, str(tmp_path / "in"), schema), F.col("ok"), "ts")
     assert w.isStreaming
 
