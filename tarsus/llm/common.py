@@ -103,6 +103,17 @@ def match(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", t
     return (out.dropDuplicates(keys) if once else out).drop(*keys)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process waits for its next task beside its executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 2_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Ids and UTF-8 bytes (null text: empty), in pieces of about ``at_most`` bytes, whole documents each."""
     for b in batches:
@@ -115,6 +126,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], at_most: int = 2_000_000) ->
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), n]
         for lo, hi in zip(cuts, cuts[1:]):
             yield ids.slice(lo, hi - lo), [t or b"" for t in text.slice(lo, hi - lo).to_pylist()]
+    trim()
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -126,6 +138,7 @@ def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+    trim()
 
 
 # ---- packed arrays ---------------------------------------------------------------------
@@ -240,6 +253,7 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
                 out.setdefault(g, []).append((i, x))
             g = list(out)
             yield batch(grp=pa.array(g, pa.int32()), bucket=pa.array([k] * len(g), pa.int32()), payload=pa.array([framed(out[x]) for x in g], pa.binary()))
+        trim()
 
     asked = blocks.mapInArrow(asks, ASK).repartitionById(n_buckets, "bucket")
     got = asked.mapInArrow(answers, ANSWER)
