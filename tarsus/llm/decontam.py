@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75
 #: Items in a block of the index, words in half a passage at least, and test items indexed at once.
 BLOCK_ITEMS, HALF, INDEXED = 8, 48, 20_000
 #: Share of an item's own score that a passage must reach; share of shingles of question and of answer; shingle width.
-THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.6, 3
+THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.5, 3
 #: The last part of an item's words that counts as its answer, where items have no answer column.
 ANSWER = 1 / 3
 
