@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2_000_000
 #: Bytes of text for which one bucket of the exchange is planned.
 BUCKET_BYTES = 24_000_000
+#: Bytes of an Arrow batch of texts.
+ARROW_BYTES = 16 << 20
 #: Buckets at most: beyond, they grow with the text, and so must executors. Bytes of requests a task gathers before it sends them.
 MOST_BUCKETS, SEND_BYTES = 1 << 16, 8_000_000
 
@@ -81,7 +83,13 @@ def release(spark: SparkSession) -> None:
 
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id (as long) and the text, renamed: other columns can't clash with an operator's own."""
+    """Only the id (as long) and the text, renamed: other columns can't clash with an operator's own.
+
+    Texts go to Python in batches of at most ARROW_BYTES, as both sides hold a batch at once.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b", "67108864", "64m", "64mb", "64MB"):  # the default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
