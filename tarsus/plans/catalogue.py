@@ -243,6 +243,11 @@ def edit_distance(spark, d):
     return t.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
+def edit_distance_turns(spark, d):
+    """Of whole questions and answers; no SQL, as DuckDB counts bytes."""
+    return A.turns(spark, d).select("conv_id", "turn", F.round(text.edit_distance(text.text_or_empty("question"), text.text_or_empty("answer")), 6).alias("distance"))
+
+
 def _candidates(spark, d):
     t = A.first_turns(A.turns(spark, d))
     return t.select(F.col("conv_id").alias("qid"), F.col("question").alias("question_msa"), F.col("answer").alias("dialect_candidate"), F.when(F.col("conv_id") % 3 != 0, F.concat("question", F.lit(" "), "answer")).otherwise("").alias("backtranslation_msa"), F.lit("gold").alias("gold_answer"), F.lit("").alias("sub_variety"))
@@ -376,7 +381,7 @@ def echo_generation(spark, d):
 QUERIES = {f.__name__: f for f in (
     canonical_generations, paired_hds, mcnemar_bh, headline_failure, percentile_ci, bootstrap_ci, bootstrap_ci_sequential, decision_rollup, normalize_text, token_f1_turns, token_coverage_turns, layer1_route, reason_counts, layer2_decisions,
     kappa_binary, kappa_multi, audit_metrics, agreement_summary, threshold_sweep, best_threshold, roc_auc, average_precision, binary_metrics, tag_recall, class_weights, fold_summary, router_against_labels,
-    audit_allocation, audit_sample, layer3_allocation, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
+    audit_allocation, audit_sample, layer3_allocation, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, edit_distance_turns, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
     cosine_pairs, todo_plan, first_per_variety, first_groups, variant_ranking, epoch_upsert, arm_seeds, scored_run, scored_run_checks, run_completeness, tfidf_cv, echo_generation,
 )}
 
