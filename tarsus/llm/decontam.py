@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,8 +51,18 @@ class Index:
     half: int
 
 
-def build(items: list[tuple], shingle: int = SHINGLE) -> Index:
-    """Index items (id, question, answer or None); items without words are left out."""
+@dataclass
+class Whole:
+    """Statistics of all items with words: their number, mean and largest length, and document frequencies of an index's terms at least."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def build(items: list[tuple], shingle: int = SHINGLE, whole: Whole | None = None) -> Index:
+    """Index items (id, question, answer or None); items without words are left out. Without ``whole`` these are all items."""
     ids, bags, parts = [], [], []
     for i, question, answer in items:
         q = words(question or "")
@@ -65,20 +77,18 @@ def build(items: list[tuple], shingle: int = SHINGLE) -> Index:
             ids.append(i)
             bags.append(w)
             parts.append((shingles(q, shingle), shingles(a, shingle)))
+    if whole is None:
+        whole = Whole(len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=0), Counter(t for w in bags for t in set(w)))
     terms: dict[bytes, int] = {}
-    df: list[int] = []
     for w in bags:
         for t in set(w):
-            k = terms.setdefault(t, len(terms))
-            if k == len(df):
-                df.append(0)
-            df[k] += 1
-    n, mean = len(bags), sum(map(len, bags)) / max(1, len(bags))
-    idf = np.log1p((n - np.array(df, float) + 0.5) / (np.array(df, float) + 0.5))
+            terms.setdefault(t, len(terms))
+    df = np.array([whole.df[t] for t in terms], float)
+    idf = np.log1p((whole.n - df + 0.5) / (df + 0.5))
     rows = []
     for j, w in enumerate(bags):
         t, tf = np.unique([terms[x] for x in w], return_counts=True)
-        s = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+        s = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / whole.mean))
         rows.append((t, np.full(len(t), j), s / s.sum()))
     t, item, weight = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
     o = np.lexsort((item, t))
@@ -88,7 +98,7 @@ def build(items: list[tuple], shingle: int = SHINGLE) -> Index:
     bt = t[new]
     top = np.zeros(len(terms))
     np.maximum.at(top, t, weight)
-    return Index(ids, terms, top, np.searchsorted(bt, np.arange(len(terms) + 1)), blk[new], np.maximum.reduceat(weight, new) if len(new) else weight, np.r_[new, len(t)], item, weight, parts, max([HALF, *map(len, bags)]))
+    return Index(ids, terms, top, np.searchsorted(bt, np.arange(len(terms) + 1)), blk[new], np.maximum.reduceat(weight, new) if len(new) else weight, np.r_[new, len(t)], item, weight, parts, max(HALF, whole.longest))
 
 
 def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +162,29 @@ def search(x: Index, texts: list[list[bytes]], threshold: float, overlap: float,
     return [(d, j, v, qo, ao, int(-lo), n) for (d, j), (v, lo, qo, ao, n) in sorted(best.items())]
 
 
+def statistics(items: DataFrame) -> Callable[[int], Whole]:
+    """Of items (item_id, q, a, block), all counted once: Whole by block, with the frequencies of that block's terms."""
+
+    def bags(batches):
+        for b in batches:
+            q, a, block = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("q", "a", "block"))
+            for k, w in zip(block, (words(x or "") + words(y or "") for x, y in zip(q, a))):
+                if w:
+                    t = [None, *set(w)]  # a row without a term has the length
+                    yield common.batch(block=pa.array([k] * len(t), pa.int32()), term=pa.array(t, pa.binary()), n=pa.array([len(w)] * len(t), pa.int64()))
+
+    one, _ = common.stage(items.mapInArrow(bags, "block int, term binary, n long"), "item-terms")
+    n, total, longest = one.filter("term is null").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    by_block = one.filter("term is not null").groupBy("block", "term").agg(F.count("*").alias("n"))
+    df, _ = common.stage(by_block.select("block", "term", F.sum("n").over(Window.partitionBy("term")).alias("df")), "item-frequencies")
+
+    def of(block: int) -> Whole:
+        t = df.filter(F.col("block") == block).select("term", "df").toArrow()
+        return Whole(n, (total or 0) / max(1, n), longest or 0, dict(zip(t["term"].to_pylist(), t["df"].to_pylist())))
+
+    return of
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, indexed: int = INDEXED) -> DataFrame:
     """Documents that hold test items: doc_id, item_id, score (6 places), question_overlap, answer_overlap, first_word, n_words, text_hash.
 
@@ -163,18 +196,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     without words is left out; of items, question and answer, an item without an answer column
     is parted by ANSWER. Null ids are kept. Empty tables give no rows.
 
-    The index is broadcast; it holds at most ``indexed`` items. More items are searched in
-    blocks of that many, one pass over the documents each.
+    The index is broadcast; it holds about ``indexed`` items at most. More items are searched in
+    blocks of that many, one pass over the documents each; weights and passages are of all
+    items, so the rows are the same.
     """
     rows = common.two_columns(docs, id_col, text_col)
     cols = [F.col(item_col).cast("long").alias("item_id"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
     numbered = items.select(*cols)
     n_items = numbered.count()
     n_blocks = 1 if n_items <= indexed else -(-2 * n_items // indexed)  # half full on average, as a hash fills them
+    if n_blocks > 1:
+        numbered = numbered.withColumn("block", F.pmod(F.xxhash64("item_id", "q"), F.lit(n_blocks)).cast("int"))
+        of_block = statistics(numbered)
     out = None
     for k in range(n_blocks):
-        part = numbered if n_blocks == 1 else numbered.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(n_blocks)) == k)
-        x = rows.sparkSession.sparkContext.broadcast(build(sorted(map(tuple, part.collect()), key=str), shingle))
+        part = numbered if n_blocks == 1 else numbered.filter(F.col("block") == k).drop("block")
+        x = rows.sparkSession.sparkContext.broadcast(build(sorted(map(tuple, part.collect()), key=str), shingle, of_block(k) if n_blocks > 1 else None))
 
         def run(batches, x=x):
             import xxhash
