@@ -53,7 +53,9 @@ class WordEncoder:
     Right for a tokenizer that drops white space, whose pre-tokens never hold it, whose
     letters part from punctuation and that lower-cases: each chunk is then encoded by itself,
     in lower case, and so is a punctuation mark after it. Texts with U+001C to U+001F, or with
-    the beginning of a special token, are encoded whole.
+    the beginning of a special token, are encoded whole. The tokenizer composes before it
+    lower-cases, and J, H, T, W and Y have marks that compose with the small letter alone:
+    texts with a character of U+0300 to U+037F keep their case.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -73,7 +75,7 @@ class WordEncoder:
     def encode(self, raw: list[bytes], end: int | None = None) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian integers of ``self.dtype``, with ``end`` appended."""
         odd = [b"<|" in t for t in raw]
-        texts = [t.decode("utf-8", "replace") for t in part_punctuation([t if o else t.lower() for t, o in zip(raw, odd)])]
+        texts = [t.decode("utf-8", "replace") for t in part_punctuation([t if o or b"\xcc" in t or b"\xcd" in t else t.lower() for t, o in zip(raw, odd)])]
         split = [None if o or _ODD.search(t) else t.split() for t, o in zip(texts, odd)]
         words = list(set().union(*(s for s in split if s)))
         local = dict(zip(words, map(self.known.get, words)))
