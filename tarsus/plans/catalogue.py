@@ -248,13 +248,17 @@ def edit_distance_turns(spark, d):
     return A.turns(spark, d).select("conv_id", "turn", F.round(text.edit_distance(text.text_or_empty("question"), text.text_or_empty("answer")), 6).alias("distance"))
 
 
-def _candidates(spark, d):
-    t = A.first_turns(A.turns(spark, d))
-    return t.select(F.col("conv_id").alias("qid"), F.col("question").alias("question_msa"), F.col("answer").alias("dialect_candidate"), F.when(F.col("conv_id") % 3 != 0, F.concat("question", F.lit(" "), "answer")).otherwise("").alias("backtranslation_msa"), F.lit("gold").alias("gold_answer"), F.lit("").alias("sub_variety"))
+def _candidates(spark, d, first=True):
+    """The first turn pair of each conversation, as the SQL of the older queries has it, or every one, by conv_id-turn."""
+    t = A.turns(spark, d)
+    t = A.first_turns(t).withColumn("qid", F.col("conv_id")) if first else t.withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
+    return t.select("qid", "conv_id", F.col("question").alias("question_msa"), F.col("answer").alias("dialect_candidate"), F.when(F.col("conv_id") % 3 != 0, F.concat("question", F.lit(" "), "answer")).otherwise("").alias("backtranslation_msa"), F.lit("gold").alias("gold_answer"), F.lit("").alias("sub_variety"))
 
 
 CAND = r"""turns AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
 cand AS (SELECT conv_id AS qid, question, answer, CASE WHEN conv_id % 3 <> 0 THEN question || ' ' || answer ELSE '' END AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM turns) WHERE rn = 1)"""
+CAND_TURNS = CAND.partition(",\ncand AS")[0] + """,
+cand AS (SELECT conv_id || '-' || turn AS qid, conv_id, question, answer, CASE WHEN conv_id % 3 <> 0 THEN question || ' ' || answer ELSE '' END AS back FROM turns)"""
 
 
 def _norm(x: str) -> str:
@@ -276,28 +280,31 @@ flg AS (SELECT *, list_filter([CASE WHEN bt < 0.5 THEN 'MEANING_DRIFT' END, CASE
   CASE WHEN regexp_matches(answer, '[A-Za-z]{{3,}}') THEN 'LATIN_TEXT' END], lambda w: w IS NOT NULL) AS flags FROM chk)"""
 
 
-def qc_flags(spark, d):
-    return translation.check(_candidates(spark, d)).select("qid", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), F.array_join("flags", "|").alias("flags"))
+CHECKED_TURNS = CHECKED.replace(CAND, CAND_TURNS)
 
 
-def qc_flag_counts(spark, d):
-    return translation.flag_counts(translation.check(_candidates(spark, d)))
+def qc_flags(spark, d, first=True):
+    return translation.check(_candidates(spark, d, first)).select("qid", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), F.array_join("flags", "|").alias("flags"))
 
 
-def qc_summary(spark, d):
-    t = translation.check_summary(translation.check(_candidates(spark, d)))
+def qc_flag_counts(spark, d, first=True):
+    return translation.flag_counts(translation.check(_candidates(spark, d, first)))
+
+
+def qc_summary(spark, d, first=True):
+    t = translation.check_summary(translation.check(_candidates(spark, d, first)))
     return t.select("n", F.round("mean_bt", 6).alias("mean_bt"), F.round("mean_dd", 6).alias("mean_dd"), "n_flagged")
 
 
-def _reviewed(spark, d):
-    c = _candidates(spark, d)
-    k = F.col("qid") % 5
+def _reviewed(spark, d, first=True):
+    c = _candidates(spark, d, first)
+    k = F.col("conv_id") % 5
     sheet = c.select("qid", F.when(k == 0, "approve").when(k == 1, " Rewrite").when(k == 2, "DROP").when(k == 3, "").otherwise("A").alias("APPROVE_or_REWRITE"), F.when(k == 1, F.concat(F.lit("new "), "dialect_candidate")).otherwise("").alias("your_rewrite"), F.when(k == 0, "4").when(k == 1, "x").otherwise("0").alias("fluency_1_5"))
     return translation.reviewed(c, sheet, 0.4)
 
 
-def finalize_filter(spark, d):
-    return _reviewed(spark, d).select("qid", "state", "excluded", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), "fluency")
+def finalize_filter(spark, d, first=True):
+    return _reviewed(spark, d, first).select("qid", "state", "excluded", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), "fluency")
 
 
 REVIEW = CAND + f""",
@@ -306,13 +313,36 @@ rev AS (SELECT qid, question, answer, CASE WHEN qid % 5 IN (0, 4) THEN 'approved
 fin AS (SELECT *, {_f1("question", "final")} AS dd, (coalesce(bt < 0.4, false) AND state <> 'rewritten') OR state = 'dropped' AS excluded FROM rev)"""
 
 
-def finalize_metrics(spark, d):
-    t = translation.finalize_metrics(_reviewed(spark, d))
+REVIEW_TURNS = REVIEW.replace(CAND, CAND_TURNS).replace("qid % 5", "conv_id % 5")
+
+
+def finalize_metrics(spark, d, first=True):
+    t = translation.finalize_metrics(_reviewed(spark, d, first))
     return t.drop("mean_edit_distance_on_rewrites", "mean_backtrans_similarity", "mean_dialect_distance", "min_backtrans_threshold", "acceptance_rate", "rewrite_rate")
 
 
 def finalize_means(spark, d):
-    return translation.finalize_metrics(_reviewed(spark, d))
+    return translation.finalize_metrics(_reviewed(spark, d, first=False))
+
+
+def qc_flags_turns(spark, d):
+    return qc_flags(spark, d, first=False)
+
+
+def qc_flag_counts_turns(spark, d):
+    return qc_flag_counts(spark, d, first=False)
+
+
+def qc_summary_turns(spark, d):
+    return qc_summary(spark, d, first=False)
+
+
+def finalize_filter_turns(spark, d):
+    return finalize_filter(spark, d, first=False)
+
+
+def finalize_metrics_turns(spark, d):
+    return finalize_metrics(spark, d, first=False)
 
 
 def cosine_pairs(spark, d):
@@ -374,7 +404,7 @@ def tfidf_cv(spark, d):
 
 
 def echo_generation(spark, d):
-    t = A.first_turns(A.turns(spark, d)).select(F.col("conv_id").cast("string").alias("qid"), F.lit("m0").alias("model"), generation.messages("Answer.", F.col("question")).alias("messages"))
+    t = A.turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.lit("m0").alias("model"), generation.messages("Answer.", F.col("question")).alias("messages"))
     return generation.generate(t, generation.EchoClient).select("qid", "model", "answer", "error")
 
 
@@ -382,6 +412,7 @@ QUERIES = {f.__name__: f for f in (
     canonical_generations, paired_hds, mcnemar_bh, headline_failure, percentile_ci, bootstrap_ci, bootstrap_ci_sequential, decision_rollup, normalize_text, token_f1_turns, token_coverage_turns, layer1_route, reason_counts, layer2_decisions,
     kappa_binary, kappa_multi, audit_metrics, agreement_summary, threshold_sweep, best_threshold, roc_auc, average_precision, binary_metrics, tag_recall, class_weights, fold_summary, router_against_labels,
     audit_allocation, audit_sample, layer3_allocation, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, edit_distance_turns, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
+    qc_flags_turns, qc_flag_counts_turns, qc_summary_turns, finalize_filter_turns, finalize_metrics_turns,
     cosine_pairs, todo_plan, first_per_variety, first_groups, variant_ranking, epoch_upsert, arm_seeds, scored_run, scored_run_checks, run_completeness, tfidf_cv, echo_generation,
 )}
 
@@ -460,3 +491,4 @@ ORACLE_SQL = {
     "arm_seeds": f"WITH {GEN} SELECT DISTINCT model, variety, condition, substr(sha256('42|' || model || '|' || variety || '|' || condition), 1, 16) AS seed_hex FROM canon WHERE variety <> 'msa'",
     "run_completeness": f"WITH {GEN} SELECT variety, count(*) AS n, count(*) FILTER (NOT ok) AS n_failed, count(*) = 300 AND count(*) FILTER (NOT ok) = 0 AS ok FROM canon GROUP BY variety",
 }
+ORACLE_SQL |= {f"{q}_turns": ORACLE_SQL[q].replace(CHECKED, CHECKED_TURNS).replace(REVIEW, REVIEW_TURNS) for q in ("qc_flags", "qc_flag_counts", "qc_summary", "finalize_filter", "finalize_metrics")}

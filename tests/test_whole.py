@@ -29,3 +29,24 @@ def test_edit_distance_of_whole_texts(spark, tmp_path):
     want = {i: round(levenshtein(norm(a), norm(b)) / max(1, len(norm(a)), len(norm(b))), 6) for i, (a, b) in enumerate(pairs)}
     assert {r.conv_id: r.distance for r in catalogue.QUERIES["edit_distance_turns"](spark, d).collect()} == want
     assert want[0] > 0
+
+
+def test_every_turn_pair_is_checked(spark, tmp_path):
+    from .oracle import same
+
+    d = conversations(spark, tmp_path, [(c, n, f"text {c} of turn {n} here") for c in range(7) for n in range(2 * c + 2)])
+    n = sum(c + 1 for c in range(7))
+    q = {k: catalogue.QUERIES[k](spark, d) for k in ("qc_flags_turns", "qc_summary_turns", "qc_flag_counts_turns", "finalize_filter_turns", "finalize_metrics_turns", "finalize_means", "echo_generation")}
+    for k in ("qc_flags_turns", "finalize_filter_turns", "echo_generation"):
+        got = [r.qid for r in q[k].collect()]
+        assert len(got) == n and set(got) == {f"{c}-{2 * k}" for c in range(7) for k in range(c + 1)}
+    assert q["qc_summary_turns"].first().n == n
+    for k in ("finalize_means", "finalize_metrics_turns"):
+        r = q[k].first()
+        assert r.n_reviewed + r.n_unreviewed == n
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
+    for k in set(q) & set(catalogue.ORACLE_SQL):
+        same(q[k], c, catalogue.ORACLE_SQL[k])
