@@ -16,18 +16,18 @@ def shuffled(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def _slots(strata: DataFrame, cost: Column, ties: list[Column], size: int) -> DataFrame:
-    """Allocate ``size`` rows to strata (with n) one by one, always at the least cost: the same as taking the cheapest slots.
+def _slots(strata: DataFrame, cost: Column, ties: list[Column], size: int, by: Sequence[str] = ()) -> DataFrame:
+    """Allocate ``size`` rows (in each group of ``by``) to strata (with n) one by one, always at the least cost: the same as taking the cheapest slots.
 
     A stratum has slots 0 to n - 1 (at most ``size``); ``cost`` may use i, n, target and total.
     With at least as many rows as strata, each gets its first slot beforehand.
     """
-    all_ = W.partitionBy()
+    all_ = W.partitionBy(*by)
     t = strata.withColumns({"total": F.sum("n").over(all_), "k": F.count("*").over(all_)})
     t = t.withColumn("target", F.least(F.lit(size).cast("long"), "total")).withColumn("seeded", F.col("target") >= F.col("k"))
     s = t.filter("target > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "target") - 1)))
     first = F.col("seeded") & (F.col("i") == 0)
-    rank = F.row_number().over(W.orderBy(F.when(first, 0).otherwise(1), cost, *ties, "i"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.when(first, 0).otherwise(1), cost, *ties, "i"))
     chosen = s.withColumn("r", rank).filter("r <= target")
     return chosen.groupBy(*strata.columns).agg(F.count("*").alias("allocated"))
 
@@ -38,9 +38,9 @@ def audit_allocation(strata: DataFrame, size: int, variety: str = "variety", rou
     return _slots(strata, F.round(F.col("i") / F.least("n", "target"), 12), [far, F.col(variety), F.col(route), F.col(band)], size)
 
 
-def layer3_allocation(strata: DataFrame, size: int, keys: Sequence[str] = ("model", "decision", "route"), first_seen: str | None = None) -> DataFrame:
-    """Rows for each stratum in proportion to its share: the one furthest below its share is next."""
-    return _slots(strata, -F.round(F.col("n") / F.col("total") - F.col("i") / F.col("target"), 12), [F.col(first_seen)] if first_seen else [F.col(k) for k in keys], size)
+def layer3_allocation(strata: DataFrame, size: int, keys: Sequence[str] = ("model", "decision", "route"), first_seen: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows for each stratum in proportion to its share: the one furthest below its share is next; ``size`` in each group of ``by``."""
+    return _slots(strata, -F.round(F.col("n") / F.col("total") - F.col("i") / F.col("target"), 12), [F.col(first_seen)] if first_seen else [F.col(k) for k in keys], size, by)
 
 
 def take_allocated(rows: DataFrame, allocation: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

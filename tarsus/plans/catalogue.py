@@ -213,10 +213,16 @@ def layer3_allocation(spark, d):
     return sampling.layer3_allocation(s, 60)
 
 
+def layer3_allocation_dialects(spark, d):
+    keys = ["variety", "model", "decision", "route"]
+    s = _strata(spark, d).filter("variety <> 'msa'").groupBy(*keys).agg(F.count("*").alias("n"))
+    return sampling.layer3_allocation(s, 150, by=["variety"])
+
+
 def layer3_sample(spark, d):
-    s = _strata(spark, d).filter("variety = 'gulf'")
-    keys = ["model", "decision", "route"]
-    alloc = sampling.layer3_allocation(s.groupBy(*keys).agg(F.count("*").alias("n")), 60)
+    s = _strata(spark, d).filter("variety <> 'msa'")
+    keys = ["variety", "model", "decision", "route"]
+    alloc = layer3_allocation_dialects(spark, d)
     t = sampling.take_allocated(s, alloc, keys, sampling.shuffled(42, "qid", "model"))
     return sampling.sample_ids(t, F.col("variety"), sampling.shuffled(43, "qid", "model"), ["variety"]).select("sample_id", *keys, "qid")
 
@@ -411,7 +417,7 @@ def echo_generation(spark, d):
 QUERIES = {f.__name__: f for f in (
     canonical_generations, paired_hds, mcnemar_bh, headline_failure, percentile_ci, bootstrap_ci, bootstrap_ci_sequential, decision_rollup, normalize_text, token_f1_turns, token_coverage_turns, layer1_route, reason_counts, layer2_decisions,
     kappa_binary, kappa_multi, audit_metrics, agreement_summary, threshold_sweep, best_threshold, roc_auc, average_precision, binary_metrics, tag_recall, class_weights, fold_summary, router_against_labels,
-    audit_allocation, audit_sample, layer3_allocation, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, edit_distance_turns, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
+    audit_allocation, audit_sample, layer3_allocation, layer3_allocation_dialects, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, edit_distance_turns, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
     qc_flags_turns, qc_flag_counts_turns, qc_summary_turns, finalize_filter_turns, finalize_metrics_turns,
     cosine_pairs, todo_plan, first_per_variety, first_groups, variant_ranking, epoch_upsert, arm_seeds, scored_run, scored_run_checks, run_completeness, tfidf_cv, echo_generation,
 )}
@@ -474,6 +480,9 @@ ORACLE_SQL = {
     "layer3_allocation": f"""WITH {LAYERED}, s AS (SELECT model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS k FROM s), u AS (SELECT *, CAST(least(60, total) AS BIGINT) AS target FROM t),
         e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, -round(n / total - i / target, 12), model, decision, route, i) AS rk FROM e)
         SELECT model, decision, route, n, count(*) AS allocated FROM r WHERE rk <= target GROUP BY model, decision, route, n""",
+    "layer3_allocation_dialects": f"""WITH {LAYERED}, s AS (SELECT variety, model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY variety) AS total, count(*) OVER (PARTITION BY variety) AS k FROM s), u AS (SELECT *, CAST(least(150, total) AS BIGINT) AS target FROM t),
+        e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, -round(n / total - i / target, 12), model, decision, route, i) AS rk FROM e)
+        SELECT variety, model, decision, route, n, count(*) AS allocated FROM r WHERE rk <= target GROUP BY variety, model, decision, route, n""",
     "stratified_split": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE quality IS NOT NULL), s AS (SELECT *, CASE WHEN rn <= round(n * 0.8) THEN 'train' ELSE 'validation' END AS split FROM r) SELECT quality, split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM s GROUP BY quality, split",
     "group_ids": "WITH f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY source) SELECT d.source, d.doc_id, CAST(g.group_id AS INT) AS group_id FROM documents d JOIN (SELECT source, row_number() OVER (ORDER BY first, source) - 1 AS group_id FROM f) g USING (source)",
     "edit_distance": f"WITH {CAND} SELECT conv_id, turn, levenshtein(regexp_replace(lower(substr(question, 1, 120)), '[^ -~]', '', 'g'), regexp_replace(lower(substr(answer, 1, 120)), '[^ -~]', '', 'g')) AS distance FROM turns",

@@ -1,8 +1,15 @@
 """Queries that use whole texts and all rows, on small tables of their own."""
 
+import os
 import re
 
-from tarsus.plans import catalogue
+import pytest
+
+from tarsus.plans import adapters, catalogue
+
+from .oracle import SMALL
+
+tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
 
 def conversations(spark, folder, rows):
@@ -50,3 +57,12 @@ def test_every_turn_pair_is_checked(spark, tmp_path):
     c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
     for k in set(q) & set(catalogue.ORACLE_SQL):
         same(q[k], c, catalogue.ORACLE_SQL[k])
+
+
+@tables
+def test_layer3_samples_every_dialect(spark):
+    g = {r.variety: r.n for r in adapters.canonical_generations(spark, SMALL).groupBy("variety").agg({"*": "count"}).toDF("variety", "n").collect() if r.variety not in (None, "msa")}
+    rows = catalogue.QUERIES["layer3_sample"](spark, SMALL).collect()
+    assert set(g) == {"gulf", "egyptian", "levantine", "sudanese"}
+    assert {v: sum(r.variety == v for r in rows) for v in g} == {v: min(150, n) for v, n in g.items()}
+    assert len({r.sample_id for r in rows}) == len(rows) and all(r.sample_id.startswith(r.variety + "_") for r in rows)
