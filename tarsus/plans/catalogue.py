@@ -66,7 +66,7 @@ def bootstrap_ci(spark, d):
 
 
 def bootstrap_ci_sequential(spark, d):
-    return paired.bootstrap_exact(pairs_of(spark, d), iterations=200)
+    return paired.bootstrap_exact(pairs_of(spark, d))
 
 
 def decision_rollup(spark, d):
@@ -406,7 +406,7 @@ def run_completeness(spark, d):
 
 def tfidf_cv(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", "source", "text").join(A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).filter("label is not null"), "doc_id")
-    return training.tfidf_cv(t, "source", folds=3)
+    return training.tfidf_cv(t, "source")
 
 
 def echo_generation(spark, d):

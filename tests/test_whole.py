@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tarsus.operators import paired, training
 from tarsus.plans import adapters, catalogue
 
 from .oracle import SMALL
@@ -66,3 +67,11 @@ def test_layer3_samples_every_dialect(spark):
     assert set(g) == {"gulf", "egyptian", "levantine", "sudanese"}
     assert {v: sum(r.variety == v for r in rows) for v in g} == {v: min(150, n) for v, n in g.items()}
     assert len({r.sample_id for r in rows}) == len(rows) and all(r.sample_id.startswith(r.variety + "_") for r in rows)
+
+
+@tables
+def test_all_iterations_and_folds(spark, monkeypatch):
+    want = paired.bootstrap_exact(catalogue.pairs_of(spark, SMALL), iterations=2000)
+    assert sorted(map(tuple, catalogue.QUERIES["bootstrap_ci_sequential"](spark, SMALL).collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(training, "tfidf_fold", lambda d, train, test: d.agg({"doc_id": "count"}))
+    assert [r.fold for r in catalogue.QUERIES["tfidf_cv"](spark, SMALL).collect()] == [0, 1, 2, 3, 4]
