@@ -389,7 +389,7 @@ def arm_seeds(spark, d):
 
 def scored_run(spark, d):
     """Layer 1 and Layer 2 over turns as generations, with a stand-in scorer."""
-    t = A.turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.lit("msa").alias("variety"), F.lit("direct").alias("condition"), F.lit("m0").alias("model"), "question", F.substring("question", 1, 80).alias("gold_answer"), "answer", F.lit("").alias("error"), F.col("turn").alias("seq"))
+    t = A.turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.lit("msa").alias("variety"), F.lit("direct").alias("condition"), F.lit("m0").alias("model"), "question", F.col("question").alias("gold_answer"), "answer", F.lit("").alias("error"), F.col("turn").alias("seq"))
     out = routing.layer2(routing.layer1(t, "seq"), routing.OverlapScorer(0.5))
     return out.select("qid", F.round("layer1_coverage", 6).alias("layer1_coverage"), "layer1_decision", F.round("layer2_hallucination_probability", 6).alias("probability"), "combined_decision", "combined_label", "headline_failure_label")
 

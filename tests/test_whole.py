@@ -75,3 +75,10 @@ def test_all_iterations_and_folds(spark, monkeypatch):
     assert sorted(map(tuple, catalogue.QUERIES["bootstrap_ci_sequential"](spark, SMALL).collect())) == sorted(map(tuple, want.collect()))
     monkeypatch.setattr(training, "tfidf_fold", lambda d, train, test: d.agg({"doc_id": "count"}))
     assert [r.fold for r in catalogue.QUERIES["tfidf_cv"](spark, SMALL).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_scored_run_covers_whole_questions(spark, tmp_path):
+    head, tail = " ".join(f"h{i}" for i in range(40)), " ".join(f"t{i}" for i in range(40))
+    d = conversations(spark, tmp_path, [(0, 0, f"{head} {tail}"), (0, 1, tail), (1, 0, f"{head} {tail}"), (1, 1, head)])
+    got = {r.qid: r.layer1_coverage for r in catalogue.QUERIES["scored_run"](spark, d).collect()}
+    assert got == {"0-0": 0.5, "1-0": 0.5}
