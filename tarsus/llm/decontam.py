@@ -51,6 +51,14 @@ class Index:
     half: int
 
 
+def share(part: set[tuple], passage: list[bytes], have: set[tuple], n: int) -> float:
+    """Share of a part's shingles in a passage with the shingles ``have``; a part of under ``n`` words is looked for as it is."""
+    if not part:
+        return 1.0
+    k = len(next(iter(part)))
+    return len(part & (have if k >= n else shingles(passage, k))) / len(part)
+
+
 @dataclass
 class Whole:
     """Statistics of all items with words: their number, mean and largest length, and document frequencies of an index's terms at least."""
@@ -155,8 +163,7 @@ def search(x: Index, texts: list[list[bytes]], threshold: float, overlap: float,
         w = texts[d][lo : lo + 2 * x.half]
         have = shingles(w, shingle)
         q, an = x.parts[j]
-        qo = len(q & have) / len(q) if q else 1.0
-        ao = len(an & have) / len(an) if an else 1.0
+        qo, ao = share(q, w, have, shingle), share(an, w, have, shingle)
         if qo >= overlap and ao >= overlap and (v, -lo) > best.get((d, j), (-1.0, 0))[:2]:
             best[d, j] = (v, -lo, qo, ao, len(w))
     return [(d, j, v, qo, ao, int(-lo), n) for (d, j), (v, lo, qo, ao, n) in sorted(best.items())]
@@ -191,7 +198,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Every passage of every whole text (halves of at least HALF words and as long as the longest
     item, two at a time) is a query against the items; every item whose BM25 score reaches
     ``threshold`` of the item's own is retrieved, and counts if ``overlap`` of the shingles of
-    its question and of its answer are in the passage. A row for each input row and item;
+    its question and of its answer are in the passage (a part of fewer words than a shingle
+    must be there whole, as one). A row for each input row and item;
     a row without contamination gives none. Null and empty texts match nothing; an item
     without words is left out; of items, question and answer, an item without an answer column
     is parted by ANSWER. Null ids are kept. Empty tables give no rows.

@@ -20,3 +20,11 @@ def test_blocks_of_items_give_the_rows_of_one_index(spark):
         assert len(want := rows(100)) > 20
         assert [x[:2] + x[3:] for x in rows(15)] == [x[:2] + x[3:] for x in want]
         assert max(abs(x[2] - y[2]) for x, y in zip(rows(15), want)) < 2e-6
+
+
+def test_short_questions_and_answers(spark):
+    docs = spark.createDataFrame([(1, "so alpha, and on and on"), (2, "it is Beta gamma here"), (3, "gamma beta is not it"), (4, "one two three at last"), (5, "what is the capital of France? It is Paris")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "alpha"), (11, "beta gamma"), (12, "one two three")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 10), (2, 11), (4, 12)]
+    items = spark.createDataFrame([(20, "What is the capital of France", "Paris"), (21, "What is the capital of France", "Lyon")], "item_id long, text string, answer string")
+    assert [(r.doc_id, r.item_id, r.answer_overlap) for r in decontam.contaminated(docs, items, answer_col="answer").collect()] == [(5, 20, 1.0)]
