@@ -55,7 +55,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2).drop("text_hash")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2).drop("text_hash", "component")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

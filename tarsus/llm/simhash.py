@@ -11,8 +11,10 @@ from . import common
 
 #: Edges up to which components are found in one task; above it, by distributed star contraction.
 SMALL_EDGES = 2_000_000
-#: Node pairs in hand at once, and the product of sizes below which a node pair is compared directly.
-FRONTIER, LEAF = 200_000, 64
+#: Node pairs in hand at once, and the product of sizes up to which a node pair is compared directly.
+FRONTIER, LEAF = 200_000, 4
+#: What the walks of this process did: node pairs parted into children, and pairs of keys compared at the leaves.
+walked = {"parted": 0, "compared": 0}
 
 
 def fingerprints(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
@@ -85,10 +87,12 @@ def trie_self_join(keys: np.ndarray, budget: int, exact: int = 0, halves: int |
             wide = np.repeat(y1 - y0, size)
             i, j = np.repeat(x0, size) + k // wide, np.repeat(y0, size) + k % wide
             ok = (i < j) & (popcount(keys[i] ^ keys[j]) <= budget)
+            walked["compared"] += len(i)
             found.append(np.stack([i[ok], j[ok]], 1))
         a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
+        walked["parted"] += len(a0)
         bit = np.uint64(63 - depth)
         ma, mb = _middle(keys, a0, a1, bit), _middle(keys, b0, b1, bit)
         same = a0 == b0
@@ -119,37 +123,53 @@ def rotate(x: np.ndarray, k: int) -> np.ndarray:
     return x if not k else (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
 
-#: Fingerprints in one block value from which its trie is split over tasks, and the bits of that split.
-HOT_BUCKET, HOT_BITS = 2_000_000, 8
+#: Fingerprints planned for one trie, those from which a trie is split over tasks, and the bits of that split at least.
+SHARD, HOT_SHARD, HOT_BITS = 100_000, 1_000_000, 8
+#: Fingerprints planned for one partition of the join.
+PARTITION = 300_000
 
 
-def close_pairs(fps: DataFrame, budget: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def shard_bits(total: int, budget: int, shard: int = SHARD) -> int:
+    """Leading bits of a block that name a trie, so that ``total`` fingerprints part into tries of about ``shard``."""
+    return min(64 // (budget + 1), max(0, (max(1, total // shard) - 1).bit_length()))
+
+
+def close_pairs(fps: DataFrame, budget: int, shard: int = SHARD, hot_shard: int = HOT_SHARD) -> DataFrame:
     """(a, b): pairs a < b of distinct fingerprints (column fp, long) that differ in 1 to ``budget`` bits, each once.
 
-    The bits are cut into budget + 1 blocks. Two fingerprints within the budget agree on one
-    block at least: each fingerprint is sent once a block, by the block's value, and every
-    partition joins its tries. A pair is reported at the first block it agrees on. A
-    fingerprint has at most sum of C(64, k) close ones, so no key gives unboundedly many pairs.
-    A block value with ``hot_bucket`` fingerprints or more is split into the node pairs
-    (p, q) of its trie at depth ``HOT_BITS`` that are within the budget, a task each.
+    Fingerprints that fit one trie are joined in one. More are cut into budget + 1 blocks of
+    bits; two fingerprints within the budget agree on one block at least, so each is sent once
+    a block, turned to begin with it, to the trie named by the block's first ``shard_bits``: as
+    few as make tries of about ``shard`` fingerprints. Each trie is joined with itself from
+    that node down to bit 64. A pair is reported by the first trie both are in. A fingerprint has
+    at most sum of C(64, k) close ones, so no key gives unboundedly many pairs.
+
+    A trie of ``hot_shard`` fingerprints or more is split into pairs (p, q) of its nodes
+    ``HOT_BITS`` below its root, or more the fuller the fullest trie is, that are within the budget, a task each.
     """
-    n = budget + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    spread = []
-    for k in range(n):
-        lo, wide = edges[k], edges[k + 1] - edges[k]
-        turned = f"(shiftleft(fp, {lo}) | shiftrightunsigned(fp, {64 - lo}))" if lo else "fp"
-        spread.append(F.expr(f"struct({k} as k, shiftrightunsigned({turned}, {64 - wide}) as v, cast(shiftrightunsigned(shiftleft({turned}, {wide}), {64 - HOT_BITS}) as int) as p)"))
-    sent = fps.select("fp", F.explode(F.array(*spread)).alias("s")).select("s.k", "s.v", "s.p", "fp")
     total = fps.count()
-    least = max(hot_bucket, total // 20_000)  # so at most 20,000 values a block are hot
-    hot = sent.groupBy("k", "v").count().filter(F.col("count") >= least).select("k", "v", F.lit(True).alias("hot"))
-    near = [[q for q in range(1 << HOT_BITS) if (p ^ q).bit_count() <= budget] for p in range(1 << HOT_BITS)]
-    if total >= least and hot.limit(1).count():
-        table = F.array(*(F.array(*map(F.lit, x)) for x in near))
-        qs = F.when(F.col("hot"), table[F.col("p")]).otherwise(F.array(F.lit(-1)))
-        keyed = sent.join(F.broadcast(hot), ["k", "v"], "left").select("k", "v", "fp", "p", F.explode(qs).alias("q"))
+    wide = shard_bits(total, budget, shard)
+    n = budget + 1 if wide else 1
+    edges = [64 * k // n for k in range(n + 1)]
+
+    def turned(k: int) -> str:
+        return f"(shiftleft(fp, {edges[k]}) | shiftrightunsigned(fp, {64 - edges[k]}))" if edges[k] else "fp"
+
+    spread = [F.expr(f"struct({k} as k, {f'shiftrightunsigned({turned(k)}, {64 - wide})' if wide else 'cast(0 as long)'} as v)") for k in range(n)]
+    sent = fps.select("fp", F.explode(F.array(*spread)).alias("s")).select("s.k", "s.v", "fp")
+    least = max(hot_shard, total // 20_000)  # so at most 20,000 tries a block are hot
+    hot = sent.groupBy("k", "v").count().filter(F.col("count") >= least)
+    fullest = (hot.agg(F.max("count")).first()[0] or 0) if total >= least else 0
+    deep = max(HOT_BITS, min(12, (fullest // max(1, hot_shard)).bit_length()))
+    copies = 1
+    if fullest:
+        near = [[q for q in range(1 << deep) if (p ^ q).bit_count() <= budget] for p in range(1 << deep)]
+        table = F.array(*(F.lit(",".join(map(str, x))) for x in near))
+        p = F.coalesce(*(F.when(F.col("k") == k, F.expr(f"cast(shiftrightunsigned(shiftleft({turned(k)}, {wide}), {64 - deep}) as int)")) for k in range(n)))
+        qs = F.when(F.col("hot"), F.split(table[F.col("p")], ",").cast("array<int>")).otherwise(F.array(F.lit(-1)))
+        keyed = sent.withColumn("p", p).join(F.broadcast(hot.select("k", "v", F.lit(True).alias("hot"))), ["k", "v"], "left").select("k", "v", "fp", "p", F.explode(qs).alias("q"))
         sent = keyed.select("k", "v", "fp", F.when(F.col("q") < 0, -1).otherwise(F.least("p", "q")).alias("lo"), F.when(F.col("q") < 0, -1).otherwise(F.greatest("p", "q")).alias("hi"))
+        copies = len(near[0])
     else:
         sent = sent.select("k", "v", "fp", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
 
@@ -157,31 +177,33 @@ def close_pairs(fps: DataFrame, budget: int, hot_bucket: int = HOT_BUCKET) -> Da
         got = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
         if not got:
             return
-        ks, fs, lows, highs = (np.concatenate(x) for x in zip(*got))
-        fs = fs.view(np.uint64)
-        for k, low, high in np.unique(np.stack([ks, lows, highs], 1), axis=0).tolist():
-            lo, wide = edges[k], edges[k + 1] - edges[k]
-            keys = np.sort(rotate(fs[(ks == k) & (lows == low) & (highs == high)], lo))
+        ks, vs, fs, lows, highs = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((highs, lows, vs, ks))
+        ks, vs, fs, lows, highs = (x[order] for x in (ks, vs, fs.view(np.uint64), lows, highs))
+        cuts = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]) | (vs[1:] != vs[:-1]) | (lows[1:] != lows[:-1]) | (highs[1:] != highs[:-1]), True])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            k, low, high = int(ks[s]), int(lows[s]), int(highs[s])
+            lo = edges[k]
+            keys = np.sort(rotate(fs[s:e], lo))
             if low == high:
-                pairs = trie_self_join(keys, budget, exact=wide + (HOT_BITS if low >= 0 else 0))
-            else:
-                found = []  # of each block value here, the node of prefix low against that of prefix high
-                cuts = np.r_[0, np.flatnonzero(np.diff(keys >> np.uint64(64 - wide))) + 1, len(keys)]
-                for s, e in zip(cuts[:-1], cuts[1:]):
-                    at = int(np.searchsorted(keys[s:e] << np.uint64(wide) >> np.uint64(64 - HOT_BITS), high))
-                    found.append(s + trie_self_join(keys[s:e], budget, exact=wide + HOT_BITS, halves=at))
-                pairs = np.concatenate(found)
+                pairs = trie_self_join(keys, budget, exact=wide + (deep if low >= 0 else 0))
+            else:  # the node of prefix low against that of prefix high
+                at = int(np.searchsorted(keys << np.uint64(wide) >> np.uint64(64 - deep), high))
+                pairs = trie_self_join(keys, budget, exact=wide + deep, halves=at)
             if not len(pairs):
                 continue
             a, b = (rotate(keys[p], (64 - lo) % 64) for p in pairs.T)
             first = np.ones(len(a), bool)
             for m in range(k):
-                mask = np.uint64(((1 << (edges[m + 1] - edges[m])) - 1) << (64 - edges[m + 1]))
+                mask = np.uint64(((1 << wide) - 1) << (64 - edges[m] - wide))
                 first &= (a ^ b) & mask != 0
             a, b = a[first].view(np.int64), b[first].view(np.int64)
             yield common.batch(a=pa.array(np.minimum(a, b)), b=pa.array(np.maximum(a, b)))
 
-    return sent.repartition("k", "v", "lo", "hi").select("k", "fp", "lo", "hi").mapInArrow(join, "a long, b long")
+    rows = total * n + (fullest * copies if fullest else 0)
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism if wide else 1, -(-rows // PARTITION))
+    return sent.repartition(parts, "k", "v", "lo", "hi").select("k", "v", "fp", "lo", "hi").mapInArrow(join, "a long, b long")
 
 
 # ---- components ------------------------------------------------------------------------
@@ -243,11 +265,12 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_EDGES) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), n_near (other rows within ``budget`` bits), component_id (smallest id reachable), text_hash.
+    """doc_id, fingerprint (16 hex digits), n_near (other rows within ``budget`` bits), component_id (smallest id reachable), component (smallest fingerprint, signed, reachable), text_hash.
 
     One row for each input row, repeated ids included (each counts as another row). A null or
     empty text has fingerprint zero and is linked like any other. A null id is kept and is never
-    a component's id unless all its ids are null. An empty table gives no rows.
+    a component's id unless all its ids are null; ``component`` names it even then. An empty
+    table gives no rows.
 
     Rows are first reduced to distinct fingerprints with their count and smallest id, so a
     group of copies is one row in the join and in the graph.
@@ -269,13 +292,13 @@ def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", te
     linked = classes.join(near, "fp").join(root.withColumnRenamed("node", "fp"), "fp")
     linked, _ = common.stage(linked, "linked")
     reach = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(reach, "root").select("fp", "m", "component_id")
-    per = classes.join(known, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"), F.coalesce("component_id", "least").alias("component_id"))
+    known = linked.join(reach, "root").select("fp", "m", "component_id", F.col("root").alias("component"))
+    per = classes.join(known, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     # A class may hold a third of all rows: its row is repeated for each salt, and its documents are spread over them.
     total = classes.agg(F.sum("n")).first()[0] or 0
     least_hot = max(1000, total // 50_000)  # so at most 50,000 classes are hot
-    spread = per.join(classes.select("fp", "n"), "fp").select("fp", "n_near", "component_id", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= least_hot, 31).otherwise(0))).alias("salt"))
+    spread = per.join(classes.select("fp", "n"), "fp").select("fp", "n_near", "component_id", "component", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= least_hot, 31).otherwise(0))).alias("salt"))
     hot = classes.filter(F.col("n") >= least_hot).select("fp", F.lit(32).alias("salts"))
-    salted = marked.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.hash("doc_id"), F.coalesce("salts", F.lit(1))))
+    salted = marked.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int"))
     out = salted.join(spread, ["fp", "salt"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id", "text_hash")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id", "component", "text_hash")

@@ -23,11 +23,22 @@ def test_trie_self_join(budget):
     assert len(got) == len(pairs) and pairs == brute(keys, budget)
 
 
-@pytest.mark.parametrize("hot", [2_000_000, 1])
-def test_close_pairs(spark, hot):
+def test_the_trie_carries_the_join():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    simhash.walked.update(parted=0, compared=0)
+    simhash.trie_self_join(keys, 2)
+    assert simhash.walked["parted"] > 10 * len(keys) and simhash.walked["compared"] < len(keys) ** 2 / 200
+
+
+def test_shard_bits():
+    assert [simhash.shard_bits(n, 2, 100) for n in (0, 100, 199, 200, 800, 801, 10**12)] == [0, 0, 0, 1, 3, 3, 21]
+
+
+@pytest.mark.parametrize("shard,hot", [(100_000, 1_000_000), (10, 1_000_000), (10, 1), (100_000, 1), (40, 30)])
+def test_close_pairs(spark, shard, hot):
     keys = cluster(300, 1)
     df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
-    rows = simhash.close_pairs(df, 2, hot_bucket=hot).collect()
+    rows = simhash.close_pairs(df, 2, shard, hot).collect()
     got = {tuple(sorted(((r.a) & (2**64 - 1), (r.b) & (2**64 - 1)))) for r in rows}
     assert len(rows) == len(got) and got == brute(keys, 2)
 
