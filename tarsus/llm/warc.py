@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Payloads shorter than this are never revisits; bytes of a split; bytes read at once.
-LEAST, SPLIT, READ = 100, 16 << 20, 1 << 20
+#: Payloads shorter than this are never revisits; bytes of a split; bytes before a split in which its task finds its step; bytes read at once.
+LEAST, SPLIT, LOOK, READ = 100, 16 << 20, 2 << 20, 1 << 20
+#: Pages of equal payload to one salt of the join that tells them which page they repeat.
+SALTED = 100_000
 MAGIC = b"\x1f\x8b\x08"
 _ID = re.compile(rb"<urn:x-page:(-?\d+|null)>")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,18 +44,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return _member(headers, http + (payload if refers_to is None else b""), level)
 
 
-def first_seen(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def first_seen(pages: DataFrame, least: int = LEAST, salted: int = SALTED) -> DataFrame:
     """(page_id, digest, refers_to) of pages whose payload an earlier page has, payloads of ``least`` bytes and more.
 
     Only ids and digests are shuffled. A payload that a third of all pages share is one group
-    that is pre-aggregated; its id then goes back over salted copies.
+    that is pre-aggregated; its id then goes back over as many salts as it has ``salted`` pages.
     """
-    salts = 16
     d = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("p")).filter(F.octet_length("p") >= least).select("page_id", F.sha2("p", 256).alias("digest"))
     d, _ = common.stage(d, "digests")
-    first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    spread = first.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    again = d.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["digest", "salt"])
+    first, _ = common.stage(d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").withColumn("salts", F.ceil(F.col("n") / salted)), "payloads")
+    spread = first.select("digest", "refers_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    hot = first.filter("salts > 1").select("digest", "salts")  # at most a row for each ``salted`` pages
+    again = d.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1)))).join(spread, ["digest", "salt"])
     return again.filter("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -65,6 +67,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST, level: int = 3) -> Da
     placeholder; a null page_id is kept and counts as the largest. Rows that repeat the
     smallest page_id with the same payload are responses too. Files are written under another
     name and renamed, so a task that runs twice leaves one file. An empty table gives no files.
+
+    What is joined to the pages is a row for each revisit, by id and digest. Spark broadcasts it
+    if it is small; else the pages, payloads included, are shuffled once.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     again, _ = common.stage(first_seen(rows, least), "revisits")
@@ -130,11 +135,7 @@ def _member_at(w: _Window, at: int) -> tuple[bytes, int] | None:
 
 
 def _next_member(w: _Window, at: int, end: int) -> int | None:
-    """The first position from ``at`` and before ``end`` where a member starts.
-
-    The gzip magic may also occur inside a member. A candidate counts if it decodes, checksum
-    included, to a WARC record, and the file ends behind it or another such header follows.
-    """
+    """The first position from ``at`` and before ``end`` where the gzip magic begins a member that decodes, checksum included, to a WARC record."""
     while at < end:
         piece = w.get(at, min(65536, end - at) + len(MAGIC) - 1)
         i = piece.find(MAGIC)
@@ -144,23 +145,29 @@ def _next_member(w: _Window, at: int, end: int) -> int | None:
         at += i
         if at >= end:
             return None
-        got = _member_at(w, at)
-        if got and (got[1] >= w.size or w.get(got[1], 3) == MAGIC):
+        if _member_at(w, at):
             return at
         at += 1
     return None
 
 
-def members(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(position, record) of the members that start in [start, end); the last may reach beyond."""
+def members(f, size: int, start: int, end: int, look: int = LOOK) -> Iterator[tuple[int, bytes]]:
+    """(position, record) of the members that start in [start, end); the last may reach beyond.
+
+    Members follow one another; between them anything that isn't one is passed over. A record
+    stored in another one isn't a member, though it decodes: to tell, a task starts ``look``
+    bytes before its range and goes from member to member into it. So what is found doesn't
+    depend on where the ranges part, but for records that lie inside one of more than ``look`` bytes.
+    """
     w = _Window(f, size)
-    at = _next_member(w, start, end) if start else (0 if size else None)
+    at = _next_member(w, max(0, start - look), end)
     while at is not None and at < end:
         got = _member_at(w, at)
         if got is None:
             at = _next_member(w, at + 1, end)
             continue
-        yield at, got[0]
+        if at >= start:
+            yield at, got[0]
         at = got[1] if got[1] < size else None
 
 
@@ -194,7 +201,9 @@ def read(files: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFram
 
     Each task owns the records that start inside its ranges, wherever they end: page_id, url,
     record_type, payload (binary, null for revisits; only if wanted), payload_bytes,
-    payload_digest, refers_to, path, position. Damaged members are passed over.
+    payload_digest, refers_to, path, position. Damaged members, and bytes between members, are
+    passed over; the records around them are read, wherever the ranges part. An empty table of
+    files gives no rows.
     """
     spark = files.sparkSession
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
