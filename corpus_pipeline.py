@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage reads whole texts of all that its predecessor kept. All but the last return the
-columns of documents. A row is named by its id and its text, so repeated ids, null ids and
-columns of any other name do no harm; empty tables give empty tables.
+columns of documents. A row is named by its id and a 64-bit hash of its text, so repeated ids,
+null ids and columns of any other name do no harm; null texts count as empty, texts of any length
+are read whole, and empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -15,21 +16,27 @@ from tarsus.llm.queries import table, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of at least 0.7)."""
+    """Documents that the quality classifier accepts (score of at least 0.7).
+
+    A null or empty text has the score of an empty text; rows with equal texts have equal
+    scores, so repeated rows stay or go together; without labels nothing reaches 0.7 and all go.
+    """
     scored = quality.score(docs, table(spark, sf_dir, "labels"), label="quality", threshold=0.7)
     return common.match(docs, scored.filter("predicted = 1").select("doc_id", "text_hash"), "left_semi")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash that with the smallest id; rows repeated exactly stay once."""
+    """Of each group of documents linked by SimHash one row: that with the smallest id (null ids last), of equal ids that with the smallest text hash, of equal rows any."""
     near = simhash.near_duplicates(docs, budget=2)
-    return common.match(docs, near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash"), "left_semi", once=True)
+    one = near.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one"))
+    return common.match(docs, one.select("one.doc_id", "one.text_hash"), "left_semi", once=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat 50 bytes of an earlier document; documents of which nothing is left go.
 
-    A character of which only some bytes remain goes too. n_chars is counted again, where there is such a column.
+    A character of which only some bytes remain goes too. n_chars is counted again, where there
+    is such a column. Null and empty texts stay as they are; rows with equal ids don't cut each other.
     """
     cut = suffix.remove_repeats(docs, length=50).filter("n_removed > 0").select("doc_id", "text_hash", F.expr("kept").alias("__tarsus_kept"))
 
@@ -50,13 +57,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items. Null and empty texts hold none and stay; an empty benchmark drops nothing."""
     hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return common.match(docs, hits.select("doc_id", "text_hash"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 ids."""
+    """Pieces of the documents in sequences of 4096 ids. A null or empty text is one id, the end; repeated rows are packed each."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), window=4096, end=2)
 
 
@@ -67,7 +74,7 @@ STAGES = [
     ("decontamination", drop_benchmark),
     ("packing", pack),
 ]
-#: SQL can't say a learned classifier, suffix arrays or a tokenizer; tests/llm compares each stage with a brute-force version.
+#: SQL can't say a learned classifier, suffix arrays or a tokenizer; tests/llm/test_pipeline.py compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
