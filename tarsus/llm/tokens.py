@@ -9,15 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Chunks that a worker remembers; others are encoded anew in each batch.
 REMEMBER = 400_000
-#: Pre-tokens broadcast with their counts, the most widespread first; the rest are joined by shuffle.
-HEAD = 300_000
+#: Pre-tokens broadcast with their counts, those of most documents first; the rest are joined by shuffle. Steps of a doubling by which they are ranked, and hash bins that part a step.
+HEAD, STEPS, BINS = 300_000, 16, 4096
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHER = 1_000_000
 
@@ -55,7 +55,7 @@ class WordEncoder:
     in lower case, and so is a punctuation mark after it. Texts with U+001C to U+001F, or with
     the beginning of a special token, are encoded whole. The tokenizer composes before it
     lower-cases, and J, H, T, W and Y have marks that compose with the small letter alone:
-    texts with a character of U+0300 to U+037F keep their case.
+    texts with a character of U+0300 to U+037F keep their case. A tokenizer that fails probes of this is refused.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -65,10 +65,21 @@ class WordEncoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        self._check()
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.remember = remember
 
+    def _check(self) -> None:
+        """Raise unless the tokenizer does on probes what encoding by chunks relies on."""
+        ids = lambda x: self.t.encode(x, add_special_tokens=False).ids
+        for a, b in (("Alpha9 BETA", "alpha9 beta"), ("x, y. z! w?", "x , y . z ! w ?"), ("one  two\n\nthree\tfour\r\n", "one two three four"), (" lead", "lead"), ("tail ", "tail"), ("ÉTÉ", "été")):
+            if ids(a) != ids(b):
+                raise ValueError(f"this tokenizer tells {a!r} from {b!r}, so its texts can't be encoded by chunks")
+        for w in ("alpha9 beta gamma-delta , . x.y it's 漢字 🙂 12345", "a b c d e f", "the theatre , the end ."):
+            if ids(w) != [i for c in w.split() for i in ids(c)]:
+                raise ValueError(f"tokens of this tokenizer cross white space in {w!r}")
+
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -144,27 +155,51 @@ class PieceCounter:
 
 
 def pre_token_table(docs: DataFrame, path: str) -> DataFrame:
-    """(pre, spread, pieces): every distinct pre-token of the texts, in how many gatherings it was seen, and its pieces, counted once."""
+    """(pre, spread, pieces): every distinct pre-token of the texts, how many documents hold it, and its pieces, counted once."""
 
     def gather(batches):
-        seen: set[str] = set()
+        seen: Counter[str] = Counter()
+
+        def send():
+            return common.batch(pre=pa.array(list(seen), pa.string()), n=pa.array(list(seen.values()), pa.int64()))
+
         for _, raw in common.text_batches(batches):
             for t in raw:
-                seen.update(pre_tokens(t.decode("utf-8", "replace")))
+                seen.update(set(pre_tokens(t.decode("utf-8", "replace"))))
             if len(seen) > GATHER:
-                yield common.batch(pre=pa.array(list(seen), pa.string()))
-                seen = set()
-        yield common.batch(pre=pa.array(list(seen), pa.string()))
+                yield send()
+                seen.clear()
+        yield send()
 
     def count(batches):
         c = PieceCounter(path)
         for b in batches:
             yield common.batch(pre=b.column(0), spread=b.column(1), pieces=pa.array(c.count(b.column(0).to_pylist()), pa.int64()))
 
-    distinct = docs.mapInArrow(gather, "pre string").groupBy("pre").agg(F.count("*").alias("spread"))
+    distinct = docs.mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("spread"))
     return distinct.mapInArrow(count, "pre string, spread long, pieces long")
 
 
+def most_spread(table: DataFrame, head: int) -> Column:
+    """A condition that about ``head`` rows meet, and no more: those of the largest ``spread``, of about equal ones those of small hash.
+
+    ``head`` of them or fewer by one bin are met, however many share a spread, so a row that isn't met has at
+    most a ``head``-th of all spreads, up to a step.
+    """
+    step, bin_ = F.floor(F.log2(F.col("spread")) * STEPS), F.pmod(F.xxhash64("pre"), F.lit(BINS))
+    least, left = 1 << 20, head
+    for s, n in sorted(map(tuple, table.groupBy(step).count().collect()), reverse=True):  # at most 64 * STEPS rows
+        if n > left:
+            cut = -1
+            for b, m in sorted(map(tuple, table.filter(step == s).groupBy(bin_).count().collect())):  # at most BINS rows
+                if m > left:
+                    break
+                cut, left = b, left - m
+            return (step >= least) | ((step == s) & (bin_ <= cut))
+        least, left = s, left - n
+    return step >= least
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -172,20 +207,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     text has 0 bytes and 0 tokens. Only the id and the text column are read, so other columns
     may have any name. An empty table gives no rows.
 
-    Pieces are counted once for each distinct pre-token. The ``head`` most widespread
-    pre-tokens are broadcast (their number is the bound); a document sums those at once and
-    sends only the others, with their frequencies, to a join by pre-token.
+    Pieces are counted once for each distinct pre-token. The ``head`` pre-tokens of most
+    documents are broadcast (their number is the bound); a document sums those at once and
+    sends only the others, with their frequencies, to a join by pre-token, where none has more
+    than about a ``head``-th of all rows.
     """
     spark = docs.sparkSession
     rows = common.two_columns(docs, id_col, text_col)
     table, _ = common.stage(pre_token_table(rows, path), "pretokens")
-    spreads = sorted(table.groupBy(F.least("spread", F.lit(10_000)).alias("s")).count().collect(), key=lambda r: -r[0])
-    least, total = 10_001, 0
-    for s, n in spreads:
-        if total + n > head:
-            break
-        least, total = s, total + n
-    top = table.filter(F.col("spread") >= least).select("pre", "pieces").toArrow()
+    wide = most_spread(table, head)
+    top = table.filter(wide).select("pre", "pieces").toArrow()
     known = spark.sparkContext.broadcast(top)
 
     def sums(batches):
@@ -209,7 +240,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                     yield common.batch(uid=pa.array(u, pa.int64()), doc_id=pa.nulls(len(u), pa.int64()), n_bytes=pa.nulls(len(u), pa.int64()), pre=pa.array(p, pa.string()), n=pa.array(k, pa.int64()))
 
     per, _ = common.stage(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(sums, "uid long, doc_id long, n_bytes long, pre string, n long"), "pretoken-sums")
-    tail = per.filter("pre is not null").join(table.filter(F.col("spread") < least), "pre").select("uid", per.doc_id, "n_bytes", (F.col("n") * F.col("pieces")).alias("n"))
+    tail = per.filter("pre is not null").join(table.filter(~wide), "pre").select("uid", per.doc_id, "n_bytes", (F.col("n") * F.col("pieces")).alias("n"))
     both = per.filter("pre is null").select("uid", "doc_id", "n_bytes", "n").unionByName(tail)
     out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,13 +22,42 @@ def test_word_encoder():
         assert t.encode([x.encode() for x in part]) == want
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    for normalizer, pre in ((None, pre_tokenizers.Whitespace()), (normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()), (normalizers.Lowercase(), pre_tokenizers.Metaspace())):
+        t = Tokenizer(models.WordLevel({"[UNK]": 0, "alpha9": 1, "beta": 2, "x": 3, ",": 4, "x,": 5, "▁x": 6, "ALPHA9": 7, "Alpha9": 8, "▁alpha9": 9}, unk_token="[UNK]"))
+        if normalizer:
+            t.normalizer = normalizer
+        t.pre_tokenizer = pre
+        t.save(str(tmp_path / "t.json"))
+        with pytest.raises(ValueError):
+            tokens.WordEncoder(str(tmp_path / "t.json"))
+
+
+def test_head_is_filled_however_many_tie(spark):
+    flat = spark.createDataFrame([(f"t{i}", 1, 1) for i in range(5000)], "pre string, spread long, pieces long")
+    assert 2900 < flat.filter(tokens.most_spread(flat, 3000)).count() <= 3000
+    steep = spark.createDataFrame([(f"t{i}", 10**9 // (i + 1), 1) for i in range(3000)], "pre string, spread long, pieces long")
+    met = steep.filter(tokens.most_spread(steep, 1000)).collect()
+    assert 990 <= len(met) <= 1000 and {f"t{i}" for i in range(900)} <= {r.pre for r in met}
+    assert steep.filter(tokens.most_spread(steep, 0)).count() == 0 and steep.filter(tokens.most_spread(steep, 9999)).count() == 3000
+    assert steep.limit(0).filter(tokens.most_spread(steep.limit(0), 5)).count() == 0
+
+
+def test_spread_counts_documents(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "a"), (3, None), (4, "b a\nc")], "doc_id long, text string")
+    got = {r.pre: r.spread for r in tokens.pre_token_table(docs, queries.vocabulary("piece_bpe_32k.model")).collect()}
+    assert got == {"a": 3, "b": 2, "\nc": 1}
+
+
 def test_pre_tokens_add_up():
     c = tokens.PieceCounter(queries.vocabulary("piece_bpe_32k.model"))
     for t in texts():
         assert c.count(tokens.pre_tokens(t)).sum() == len(c.sp.encode(t)), repr(t)
 
 
-@pytest.mark.parametrize("head", [300_000, 0])
+@pytest.mark.parametrize("head", [300_000, 3, 0])
 def test_count_tokens(spark, head):
     import sentencepiece
 
