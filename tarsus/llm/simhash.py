@@ -124,9 +124,9 @@ def rotate(x: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Fingerprints planned for one trie, those from which a trie is split over tasks, and the bits of that split at least.
-SHARD, HOT_SHARD, HOT_BITS = 100_000, 1_000_000, 8
+SHARD, HOT_SHARD, HOT_BITS = 30_000, 1_000_000, 8
 #: Fingerprints planned for one partition of the join.
-PARTITION = 300_000
+PARTITION = 100_000
 
 
 def shard_bits(total: int, budget: int, shard: int = SHARD) -> int:
