@@ -71,6 +71,45 @@ def test_count_tokens(spark, head):
     assert tokens.count_tokens(df.limit(0), path, head=head).collect() == []
 
 
+@pytest.mark.parametrize("step", [500, 7])
+def test_bounds_part_skewed_ids_evenly(spark, step):
+    r = np.random.default_rng(2)
+    ids = np.concatenate([np.full(4000, -5), r.integers(0, 50, 2000), (2.0 ** r.uniform(0, 60, 6000)).astype(np.int64)])
+    df = spark.createDataFrame([(int(i),) for i in ids] + [(None,)] * 3000, "doc_id long").repartition(5)
+    cuts = token_files.bounds(df, 40, step)
+    assert (np.diff(cuts) >= 0).all() and 39 <= len(cuts) <= 45
+    n = len(ids) + 3000
+    at = np.bincount(np.searchsorted(cuts, ids), minlength=len(cuts) + 1)
+    u, times = np.unique(cuts, return_counts=True)
+    assert all(c <= n / 40 * 2 * max(1, times[u == i].sum()) for i, c in zip([*cuts, 0], at))
+    assert (cuts == token_files.FIRST).sum() >= 6 and (cuts == -5).sum() >= 6
+
+
+def test_planning_many_files_makes_no_large_expression(spark):
+    cuts = token_files.bounds(spark.range(20_000).selectExpr("id as doc_id"), 20_000)
+    assert len(cuts) >= 19_999 and len(np.unique(cuts)) > 15_000
+
+
+def test_an_id_of_many_rows_has_many_files(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(None, "")] * 300 + [(None, f"text {i}") for i in range(300)] + [(4, f"word {i % 40}") for i in range(400)] + [(i, "x") for i in range(5, 105)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    token_files.write(df, path, str(tmp_path / "f"), n_files=11)
+    per = [r[1] for r in spark.read.schema(token_files.SCHEMA).parquet(str(tmp_path / "f")).groupBy("bucket").count().collect()]
+    assert len(per) >= 9 and max(per) <= 250
+    got = sorted(token_files.with_crc(token_files.read(spark, str(tmp_path / "f"))).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == (np.cumsum([r.n_tokens for r in got]) - [r.n_tokens for r in got]).tolist()
+    keys = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(keys)
+    want = sorted((str(d), zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, x in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
+
+
 @pytest.mark.parametrize("n_files", [1, 3])
 def test_token_files_round_trip(spark, tmp_path, n_files):
     import zlib
