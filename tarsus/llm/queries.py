@@ -92,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
         cand AS (SELECT h.doc_id, h.item_id, round(h.v, 6) AS score, h.k * half AS first_word, d.w[h.k * half + 1:(h.k + 2) * half] AS w FROM hit h JOIN doc d ON d.doc_id = h.doc_id, c),
         sh AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END AS have FROM cand),
         o AS (SELECT doc_id, sh.item_id, score, CASE WHEN len(q) > 0 THEN len(list_intersect(q, have)) / len(q) ELSE 1.0 END AS question_overlap, CASE WHEN len(a) > 0 THEN len(list_intersect(a, have)) / len(a) ELSE 1.0 END AS answer_overlap, first_word, len(w) AS n_words FROM sh JOIN part ON part.item_id = sh.item_id)
-        SELECT doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words FROM o WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5
+        SELECT doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words FROM o WHERE question_overlap >= 0.4 AND answer_overlap >= 0.4
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first_word) = 1
     """,
     "op1_warc": """
