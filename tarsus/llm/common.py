@@ -16,7 +16,7 @@ import shutil
 import struct
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ BLOCK_BYTES = 2_000_000
 BUCKET_BYTES = 24_000_000
 #: Bytes of an Arrow batch of texts.
 ARROW_BYTES = 16 << 20
-#: Buckets at most: beyond, they grow with the text, and so must executors. Bytes of requests a task gathers before it sends them.
-MOST_BUCKETS, SEND_BYTES = 1 << 16, 8_000_000
+#: Partitions of an exchange at most: beyond, a partition has several buckets, one after another. Bytes of requests a task gathers before it sends them.
+MOST_PARTITIONS, SEND_BYTES = 1 << 14, 8_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; in local mode without it, a temporary one."""
@@ -47,8 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+_paths: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder for this application only: it is deleted at its end, or by ``drop_staged``."""
+    if not _paths:
+        atexit.register(drop_staged)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _paths.add(path)
+    return path
+
+
+def drop_staged(but: Iterable[str] = ()) -> None:
+    """Delete what was staged so far, but for some folders. Tables that read it can't be used any more."""
+    for path in [p for p in _paths if p not in set(but)]:
+        _paths.discard(path)
+        drop_path(path)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -191,9 +206,9 @@ def smallest(a: np.ndarray) -> np.ndarray:
 
 
 def buckets_for(n_bytes: int, least: int = 12) -> int:
-    """A power of two, so that a bucket is a run of key prefixes; at most MOST_BUCKETS."""
+    """A power of two, so that a bucket is a run of key prefixes; in proportion to the bytes."""
     want = max(least, -(-n_bytes // BUCKET_BYTES))
-    return min(MOST_BUCKETS, 1 << max(0, (want - 1).bit_length()))
+    return 1 << max(0, (want - 1).bit_length())
 
 
 def split_sorted(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -226,8 +241,9 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
 
     ``ask(row) -> iterator of (bucket, payload)`` for a block's row; ``answer(payloads) ->
     payloads`` for all requests of one bucket, in the same order, and perhaps one more, about
-    the bucket, which is kept for group -1. Returns the folder of the answers. Every bucket is one partition; requests are sorted by block, so answers
-    are the same whenever a task is run again.
+    the bucket, which is kept for group -1. Returns the folder of the answers. A task holds one
+    bucket at a time: a partition has one, or beyond MOST_PARTITIONS a run of them, sorted.
+    Requests are sorted by block, so answers are the same whenever a task is run again.
     """
 
     def asks(batches):
@@ -249,24 +265,33 @@ def exchange(blocks: DataFrame, ask: Callable, answer: Callable, n_buckets: int,
         if held:
             yield send()
 
+    def answered(k: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[0])
+        out: dict[int, list] = {}
+        for (i, g, _), x in zip([*rows, (-1, -1, b"")], answer([p for _, _, p in rows])):
+            out.setdefault(g, []).append((i, x))
+        return batch(grp=pa.array(list(out), pa.int32()), bucket=pa.array([k] * len(out), pa.int32()), payload=pa.array([framed(x) for x in out.values()], pa.binary()))
+
     def answers(batches):
-        by: dict[int, list] = {}
+        now, rows = None, []
         for b in batches:
             for k, g, p in zip(*(c.to_pylist() for c in b.columns)):
-                by.setdefault(k, []).extend((i, g, x) for i, x in unframed(p))
-        for k in sorted(by):
-            rows = sorted(by.pop(k), key=lambda r: r[0])
-            out: dict[int, list] = {}
-            for (i, g, _), x in zip([*rows, (-1, -1, b"")], answer([p for _, _, p in rows])):
-                out.setdefault(g, []).append((i, x))
-            g = list(out)
-            yield batch(grp=pa.array(g, pa.int32()), bucket=pa.array([k] * len(g), pa.int32()), payload=pa.array([framed(out[x]) for x in g], pa.binary()))
+                if k != now and rows:
+                    yield answered(now, rows)
+                    rows = []
+                now = k
+                rows.extend((i, g, x) for i, x in unframed(p))
+        if rows:
+            yield answered(now, rows)
         trim()
 
-    asked = blocks.mapInArrow(asks, ASK).repartitionById(n_buckets, "bucket")
+    n_parts = min(n_buckets, MOST_PARTITIONS)
+    asked = blocks.mapInArrow(asks, ASK).withColumn("part", F.shiftright("bucket", (n_buckets // n_parts).bit_length() - 1)).repartitionById(n_parts, "part").drop("part")
+    if n_parts < n_buckets:
+        asked = asked.sortWithinPartitions("bucket")
     got = asked.mapInArrow(answers, ANSWER)
     n_groups = max(1, blocks.sparkSession.sparkContext.defaultParallelism)
-    path = stage(got.repartition(max(n_groups, n_buckets), "grp"), name, partition_by="grp")[1]
+    path = stage(got.repartition(max(n_groups, n_parts), "grp"), name, partition_by="grp")[1]
     del asked, got
     release(blocks.sparkSession)
     return path

@@ -1,12 +1,13 @@
 """Exact repeated-substring removal (operator 2) with suffix arrays.
 
-A repeated string can sit in any two documents, so shards can't be compared pair by pair.
-Instead *anchors* bring possible repeats together: the k-gram of least hash in every window of
-``length`` bytes. Equal windows have equal anchors at equal offsets, so a window whose anchor
-occurs in one document only occurs nowhere else. Anchors that occur in several documents send
-the windows they own, as one stretch of bytes, to a bucket; there suffix arrays of the
-stretches are sorted shard by shard by Larsson-Sadakane refinement, Kasai's common prefixes
-part them into equal windows, and shards are merged by binary search.
+A block of a few MB of whole documents is a shard: its suffix array, by Larsson-Sadakane
+refinement, and Kasai's common prefixes part its windows of ``length`` bytes into equal ones,
+and those that a smaller id of the shard has are settled. The others may be in any other shard.
+Shards can't be compared pair by pair, so *anchors* bring possible repeats together: the k-gram
+of least hash in every window. Equal windows have equal anchors at equal offsets, so a window
+whose anchor no other shard has occurs nowhere else. Where shards share anchors, the stretches of
+bytes that those own go to the anchor's bucket. There they form shards again, with suffix arrays,
+whose sorted windows are merged by binary search. Hashes choose buckets; only bytes decide what is equal.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 from .stats import Hashed, mix
 
-#: Bytes of distinct stretches in one suffix array, and bytes handled at once while hashing.
-SHARD_BYTES, CHUNK_BYTES = 1_000_000, 200_000
+#: Bytes of stretches in one suffix array of a bucket, and bytes handled at once while hashing.
+SHARD_BYTES, CHUNK_BYTES = 500_000, 200_000
+#: Blocks that hold an anchor from which on its stretches are parted by the bytes around it, too.
+HOT_BLOCKS = 500
 LAST = np.uint64(2**64 - 1)
 BIG = np.int64(2**63 - 1)
 
@@ -110,71 +114,78 @@ def anchors(a: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 class Block:
-    """A block's documents and their anchors; ``spans``: also the hashes of the stretches that the anchors own."""
+    """A block's documents, their anchors, and the windows that no smaller id of the block has."""
 
-    def __init__(self, row: dict, length: int, spans: bool = False):
+    def __init__(self, row: dict, length: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.a = np.frombuffer(row["text"], np.uint8)
-        ends = np.cumsum(self.lens)
+        self.ends = ends = np.cumsum(self.lens)
         got, lo, at = [], 0, 0
         while lo < len(ends):  # whole documents, about CHUNK_BYTES at once
             hi = max(lo + 1, int(np.searchsorted(ends, at + CHUNK_BYTES)))
             p, h, first, last = anchors(self.a[at : ends[hi - 1]], ends[lo:hi] - at, length)
-            span = Hashed(self.a[at : ends[hi - 1]]).of(first, last + length) if spans else h
-            got.append((p + at, h, first + at, last + at, span))
+            got.append((p + at, h, first + at, last + at))
             lo, at = hi, int(ends[hi - 1])
-        self.p, self.h, self.first, self.last, self.span = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 5
-        self.h, self.span = self.h.astype(np.uint64), self.span.astype(np.uint64)
-        self.ends = ends
-        self.doc = self.ids[np.searchsorted(ends, self.p, side="right")] if len(self.p) else np.zeros(0, np.int64)
+        self.p, self.h, self.first, self.last = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 4
+        self.h = self.h.astype(np.uint64)
         self.length = length
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, each anchor's place among them, and whether several ids have it here."""
-        keys, at = np.unique(self.h, return_inverse=True)
-        low, high = np.full(len(keys), BIG), np.full(len(keys), -BIG)
-        np.minimum.at(low, at, self.doc)
-        np.maximum.at(high, at, self.doc)
-        return keys, at, low < high
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchor hashes, and each anchor's place among them."""
+        return np.unique(self.h, return_inverse=True)
 
-    def stretches(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of anchors that several documents have: the distinct stretches of bytes they own.
+    def stretches(self, answers: dict[int, bytes], settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, first, last, id) of the runs of windows to ask about, in ascending order of key, then of first.
 
-        Returns (one anchor of each stretch, its smallest id, the anchors, their stretch), stretches in ascending order of their hash.
+        They are what anchors own that other blocks have, less the windows settled here at their ends.
         """
-        keys, at, shared = self.distinct()
-        shared = shared | unpack_bits(answers, len(keys))
-        who = np.flatnonzero(shared[at])
-        if not len(who):
-            z = np.zeros(0, np.int64)
-            return z, z, z, z
-        key = self.h[who] ^ mix(self.span[who] + (self.p[who] - self.first[who]).astype(np.uint64))
-        # the anchor's hash leads, so that a stretch goes to its anchor's bucket
-        order = np.lexsort((key, self.h[who]))
-        hk, kk = self.h[who][order], key[order]
-        new = np.r_[True, (hk[1:] != hk[:-1]) | (kk[1:] != kk[:-1])]
-        stretch = np.empty(len(who), np.int64)
-        stretch[order] = np.cumsum(new) - 1
-        one = who[order[new]]
-        least = np.full(len(one), BIG)
-        np.minimum.at(least, stretch, self.doc[who])
-        return one, least, who, stretch
+        keys, at = self.keys()
+        level = unpack_levels(answers, len(keys))[at]
+        k, w = self.length // 2, self.length - self.length // 2 + 1
+        one, hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
+        key, first, last = [self.h[one]], [self.first[one]], [self.last[one]]
+        if len(hot):
+            # a window has its anchor at one of w offsets: at w // 2 or more it has as many bytes before it, else w - w // 2 behind it
+            h, p, c = Hashed(self.a), self.p[hot], w // 2
+            f, l = self.first[hot], np.minimum(self.last[hot], p - c)
+            sel = f <= l
+            key.append(mix(h.of(p[sel] - c, p[sel] + k) ^ self.h[hot][sel]))
+            first.append(f[sel])
+            last.append(l[sel])
+            f, l = np.maximum(self.first[hot], p - c + 1), self.last[hot]
+            sel = f <= l
+            key.append(mix(h.of(p[sel], p[sel] + k + w - c) ^ self.h[hot][sel] ^ np.uint64(1)))
+            first.append(f[sel])
+            last.append(l[sel])
+        key, first, last = np.concatenate(key), np.concatenate(first), np.concatenate(last)
+        open_ = np.flatnonzero(~settled)
+        i, j = np.searchsorted(open_, first), np.searchsorted(open_, last, side="right")
+        sel = i < j
+        key, first, last = key[sel], open_[i[sel]], open_[j[sel] - 1]
+        order = np.lexsort((first, key))
+        key, first, last = key[order], first[order], last[order]
+        return key, first, last, self.ids[np.searchsorted(self.ends, first, side="right")]
 
 
 def pack_bits(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def unpack_bits(answers: dict[int, bytes], n: int) -> np.ndarray:
-    """Answers of all buckets in order, each with its number of bits in front."""
-    out = [np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=struct.unpack_from("<Q", b)[0]).astype(bool) for _, b in sorted(answers.items())]
+def unpack_bits(answers: dict[int, bytes], n: int, each: int = 1) -> np.ndarray:
+    """Answers of all buckets in order, each with its number of keys in front, ``each`` bits a key."""
+    out = [np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=each * struct.unpack_from("<Q", b)[0]).astype(bool) for _, b in sorted(answers.items())]
     out = np.concatenate(out) if out else np.zeros(0, bool)
-    if len(out) != n:
-        raise RuntimeError(f"a block has {n} keys, but {len(out)} answers")
+    if len(out) != each * n:
+        raise RuntimeError(f"a block has {n} keys, but {len(out) // each} answers")
     return out
 
 
+def unpack_levels(answers: dict[int, bytes], n: int) -> np.ndarray:
+    """0 for keys of one block, 1 for those of several, 2 for those of HOT_BLOCKS and more."""
+    return unpack_bits(answers, n, 2).reshape(-1, 2).sum(1)
+
+
 # ---- suffix arrays ---------------------------------------------------------------------
 
 
@@ -187,29 +198,55 @@ def packed_words(a: np.ndarray) -> np.ndarray:
     return w
 
 
-def suffix_array(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the eight-byte words.
+def rooms(lens: np.ndarray) -> np.ndarray:
+    """Bytes from each position to the end of its string, for strings that are joined."""
+    return np.repeat(np.cumsum(lens), lens) - np.arange(int(lens.sum()))
+
+
+def suffix_array(a: np.ndarray, lens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the strings of ``lens`` bytes joined in ``a`` (one string by default) in order, and the eight-byte words.
 
-    Larsson-Sadakane: sort by eight bytes; then groups of equal suffixes, and only those, are
-    sorted by the rank of the suffix that follows what is known, which doubles what is known.
-    The order is complete, as Kasai's bound needs it.
+    A suffix ends with its string; what is a prefix of another comes before it, and equal ones
+    are in the order of their strings. Larsson-Sadakane: sort by eight bytes; then groups of equal
+    suffixes, and only those, are sorted by the rank of the suffix that follows what is known, which
+    doubles what is known. The order is complete, as Kasai's bound needs it.
     """
     n = len(a)
-    words = packed_words(a)
-    sa = np.argsort(words)
-    s = words[sa]
+    lens = np.array([n]) if lens is None else lens
+    words, room = packed_words(a), rooms(lens)
+    key = words
+    short = np.flatnonzero(room < 8)
+    if len(short):
+        key = words.copy()
+        cut = (np.uint64(8) * (np.uint64(8) - room[short].astype(np.uint64))).astype(np.uint64)
+        key[short] = key[short] >> cut << cut
+    sa = np.argsort(key)
+    s = key[sa]
     head = np.r_[True, s[1:] != s[:-1]] if n else np.zeros(0, bool)
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    rank = np.empty(n, np.int64)
     known = 8
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    while known < n:
-        open_ = ~head | ~np.r_[head[1:], True]
+    if len(short) and not a.all():  # a zero byte isn't the end of a string
+        at = np.flatnonzero(~head | ~np.r_[head[1:], True])
+        i = sa[at]
+        key = (rank[i].astype(np.uint64) << np.uint64(32)) | np.minimum(room[i], 8).astype(np.uint64)
+        o = np.argsort(key)
+        key = key[o]
+        sa[at] = i[o]
+        head[at] = np.r_[True, key[1:] != key[:-1]] if len(at) else head[at]
+        rank[sa[at]] = np.maximum.accumulate(np.where(head[at], at, 0))
+    strings = len(lens)
+    owner = np.repeat(np.arange(strings, dtype=np.int64), lens) if strings > 1 else None
+    while True:
+        open_ = ~head | ~np.r_[head[1:], True] if n else head
         at = np.flatnonzero(open_)
         if not len(at):
             break
         i = sa[at]
-        key = (rank[i].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(i + known, n)] + 1).astype(np.uint64)
+        # beyond the end of a string ranks are those of the strings, below all others
+        inside = room[i] > known
+        follows = np.where(inside, rank[np.where(inside, i + known, 0)] + strings, owner[i] if owner is not None else 0)
+        key = (rank[i].astype(np.uint64) << np.uint64(32)) | follows.astype(np.uint64)
         o = np.argsort(key)
         key = key[o]
         sa[at] = i[o]
@@ -219,24 +256,26 @@ def suffix_array(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, words
 
 
-def common_prefixes(sa: np.ndarray, words: np.ndarray, at_most: int, stride: int = 8) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in order, up to ``at_most``.
+def common_prefixes(sa: np.ndarray, words: np.ndarray, at_most: int, stride: int = 8, lens: np.ndarray | None = None) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in order, up to ``at_most``, within their strings.
 
-    Kasai: if a suffix shares l bytes with its predecessor, the next suffix in the text shares
+    Kasai: if a suffix shares l bytes with its predecessor, the next suffix in the string shares
     at least l - 1 with its own. Positions are taken ``stride`` apart at a time, all those of
     one residue together, each starting from what its left neighbour implies.
     """
     n = len(sa)
+    room = rooms(np.array([n]) if lens is None else lens)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     plcp = np.zeros(n, np.int64)
     pad = np.concatenate([words, np.zeros(at_most + 8, np.uint64)])
+    most = np.minimum(room, at_most)
     for r in range(min(stride, n)):
         i = np.arange(r, n, stride)
-        known = np.maximum(plcp[i - 1] - 1, 0) if r else np.zeros(len(i), np.int64)
         j = before[i]
-        known[j < 0] = 0
-        live = np.flatnonzero((j >= 0) & (known < at_most))
+        top = np.where(j >= 0, np.minimum(most[i], most[np.maximum(j, 0)]), 0)
+        known = np.minimum(np.maximum(plcp[i - 1] - 1, 0), top) if r else np.zeros(len(i), np.int64)
+        live = np.flatnonzero(known < top)
         while len(live):
             x = pad[i[live] + known[live]] ^ pad[j[live] + known[live]]
             same = x == 0
@@ -250,46 +289,79 @@ def common_prefixes(sa: np.ndarray, words: np.ndarray, at_most: int, stride: int
                 known[part] += lead
             live = live[same]
             known[live] += 8
-            live = live[known[live] < at_most]
-        plcp[i] = np.minimum(known, at_most)
+            live = live[known[live] < top[live]]
+        plcp[i] = np.minimum(known, top)
     return plcp[sa]
 
 
-class Shard:
-    """The windows of some stretches, sorted: distinct windows with their smallest id."""
-
-    def __init__(self, a: np.ndarray, lens: np.ndarray, least: np.ndarray, length: int):
-        sa, words = suffix_array(a)
-        lcp = common_prefixes(sa, words, length)
-        ends = np.cumsum(lens)
-        owner = np.repeat(np.arange(len(lens)), lens)
-        room = np.repeat(ends, lens) - np.arange(len(a)) >= length
-        # suffixes that aren't windows stand between equal windows: a class ends where the prefix gets short
-        cls = np.cumsum(lcp < length) - 1 if len(sa) else np.zeros(0, np.int64)
-        use = room[sa]
-        sa, cls = sa[use], cls[use]
-        _, first, cls = np.unique(cls, return_index=True, return_inverse=True)
-        self.at = sa[first] if len(sa) else sa
-        self.least = np.full(len(self.at), BIG)
-        np.minimum.at(self.least, cls, least[owner[sa]])
-        self.where, self.cls = sa, cls
-        padded = np.concatenate([words, np.zeros(length, np.uint64)])
-        n_words = -(-length // 8)
-        self.keys = np.stack([padded[self.at + min(8 * k, length - 8)] for k in range(n_words)], 1)
+def classes(a: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, class, words): the starts of all windows in the order of their bytes, and equal classes for equal ones, from 0."""
+    sa, words = suffix_array(a, lens)
+    lcp = common_prefixes(sa, words, length, lens=lens)
+    cls = np.cumsum(lcp < length)
+    # suffixes that aren't windows, being too short, may stand among windows: a class ends where a prefix gets short
+    use = rooms(lens)[sa] >= length
+    sa, cls = sa[use], cls[use]
+    new = np.r_[True, cls[1:] != cls[:-1]] if len(cls) else np.zeros(0, bool)
+    return sa, np.cumsum(new) - 1, words
+
+
+def in_shard(a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of a shard's documents: whether the window from it on occurs in one of a smaller id."""
+    out = np.zeros(len(a), bool)
+    sa, cls, _ = classes(a, lens, length)
+    if len(sa):
+        who = np.repeat(ids, lens)[sa]
+        least = np.minimum.reduceat(who, np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]))
+        out[sa] = least[cls] < who
+    return out
 
-    def merge(self, other: Shard) -> None:
-        """Give both shards the smaller id of the windows they share, found by binary search."""
-        lo, hi = np.zeros(len(other.keys), np.int64), np.full(len(other.keys), len(self.keys))
+
+@dataclass
+class Windows:
+    """Distinct windows in the order of their bytes, as words, with their smallest ids."""
+
+    keys: np.ndarray
+    least: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By binary search: where each window is or would be, and whether it is there."""
+        lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.keys))
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) // 2
-            less = lexicographic_less(self.keys[mid], other.keys[live])
+            less = lexicographic_less(self.keys[mid], keys[live])
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
-        i = np.flatnonzero(lo < len(self.keys))
-        i = i[(self.keys[lo[i]] == other.keys[i]).all(1)]
-        both = np.minimum(self.least[lo[i]], other.least[i])
-        self.least[lo[i]] = both
-        other.least[i] = both
+        there = lo < len(self.keys)
+        there[there] = (self.keys[lo[there]] == keys[there]).all(1)
+        return lo, there
+
+    def merge(self, other: Windows) -> Windows:
+        """The windows of both, each with its smallest id."""
+        at, there = self.find(other.keys)
+        least = self.least.copy()
+        np.minimum.at(least, at[there], other.least[there])
+        new = ~there
+        return Windows(np.insert(self.keys, at[new], other.keys[new], 0), np.insert(least, at[new], other.least[new]))
+
+
+class Shard:
+    """The windows of some strings with ids, sorted by a suffix array: where they start, their classes, and the distinct ones."""
+
+    def __init__(self, a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int):
+        sa, cls, words = classes(a, lens, length)
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else cls
+        padded = np.concatenate([words, np.zeros(length, np.uint64)])
+        at = sa[first]
+        keys = np.stack([padded[at + max(0, min(8 * k, length - 8))] for k in range(-(-length // 8))], 1)
+        if length < 8:
+            keys = keys >> np.uint64(64 - 8 * length)
+        self.where, self.cls = sa.astype(np.int32), cls.astype(np.int32)
+        self.own = Windows(keys, np.minimum.reduceat(np.repeat(ids, lens)[sa], first) if len(first) else np.zeros(0, np.int64))
+
+
+#: What this process's buckets did: windows in shards, shards, and windows looked up in other shards.
+merged = {"windows": 0, "shards": 0, "looked_up": 0}
 
 
 def lexicographic_less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -300,30 +372,39 @@ def lexicographic_less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return less
 
 
-def seen_earlier(a: np.ndarray, lens: np.ndarray, least: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """For each byte of distinct stretches: whether the window from it on occurs with a smaller id than its stretch's."""
+def seen_earlier(a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """For each byte of strings with ids: whether the window from it on occurs with a smaller id than its own.
+
+    Shards are merged two by two, so every window is looked up once a level; then each shard
+    finds its windows in what all have.
+    """
     ends = np.cumsum(lens)
     shards, lo = [], 0
     while lo < len(lens):
         base = int(ends[lo - 1]) if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, base + shard_bytes)))
-        shards.append((base, lo, hi, Shard(a[base : ends[hi - 1]], lens[lo:hi], least[lo:hi], length)))
+        shards.append((base, Shard(a[base : ends[hi - 1]], lens[lo:hi], ids[lo:hi], length)))
         lo = hi
-    for i, x in enumerate(shards):  # the last shard with a window learns its smallest id from the first, and all between from the last
-        for y in shards[i + 1 :]:
-            x[3].merge(y[3])
+    level = [s.own for _, s in shards]
+    while len(level) > 1:
+        merged["looked_up"] += sum(len(y.keys) for y in level[1::2])
+        level = [x.merge(y) for x, y in zip(level[::2], level[1::2])] + level[len(level) // 2 * 2 :]
     out = np.zeros(len(a), bool)
-    owner = np.repeat(np.arange(len(lens)), lens)
-    for base, _, _, s in shards:
-        out[base + s.where] = s.least[s.cls] < least[owner[base + s.where]]
+    who = np.repeat(ids, lens)
+    for base, s in shards:
+        least = level[0].least[level[0].find(s.own.keys)[0]] if len(shards) > 1 else s.own.least
+        where = base + s.where.astype(np.int64)
+        out[where] = least[s.cls] < who[where]
+        merged["windows"] += len(where)
+    merged["shards"] += len(shards)
     return out
 
 
 # ---- the operator ----------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """Staged blocks (grp, block, ids, lens, hashes, text). A null id counts as the largest."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, str]:
+    """Staged blocks (grp, block, ids, lens, hashes, text) with the windows settled in them (packed bits by start). A null id counts as the largest."""
     rows = common.two_columns(docs, id_col, text_col).select("doc_id", "text", common.text_hash().alias("text_hash"))
 
     def run(batches):
@@ -336,7 +417,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
         def flush():
             nonlocal n, held, size
             ids, hashes, raw = held
-            row = common.batch(grp=pa.array([grp], pa.int32()), block=pa.array([(grp << 24) + n], pa.int64()), ids=pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), lens=pa.array([np.array(list(map(len, raw)), np.int64).tobytes()], pa.binary()), hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([b"".join(raw)], pa.binary()))
+            lens = np.array(list(map(len, raw)), np.int64)
+            text = b"".join(raw)
+            settled = in_shard(np.frombuffer(text, np.uint8), lens, np.array(ids, np.int64), length)
+            row = common.batch(
+                grp=pa.array([grp], pa.int32()), block=pa.array([(grp << 24) + n], pa.int64()), ids=pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), lens=pa.array([lens.tobytes()], pa.binary()),
+                hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([text], pa.binary()), settled=pa.array([pack_bits(settled)], pa.binary()),
+            )
             n, held, size = n + 1, [[], [], []], 0
             return row
 
@@ -353,43 +440,38 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
         if held[0]:
             yield flush()
 
-    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary"), "text-blocks")
+    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary, settled binary"), "text-blocks")
 
 
-def answer_anchors(payloads: list[bytes]) -> Iterator[bytes]:
+def answer_anchors(payloads: list[bytes], hot: int = HOT_BLOCKS) -> Iterator[bytes]:
+    """Two bits a key: whether several blocks asked about it, and whether ``hot`` did."""
     all_keys = [common.unpack_sorted(p)[0] for p in payloads]
     s = np.sort(np.concatenate(all_keys))
-    again = np.unique(s[1:][s[1:] == s[:-1]])
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    n = np.diff(np.r_[begin, len(s)])
+    again, n = s[begin][n > 1], n[n > 1]
     for keys in all_keys:
-        at = np.searchsorted(again, keys)
-        hit = (again[np.minimum(at, len(again) - 1)] == keys) if len(again) else np.zeros(len(keys), bool)
-        yield struct.pack("<Q", len(keys)) + pack_bits(hit)
+        at = np.minimum(np.searchsorted(again, keys), max(0, len(again) - 1))
+        hit = (again[at] == keys) if len(again) else np.zeros(len(keys), bool)
+        yield struct.pack("<Q", len(keys)) + pack_bits(np.stack([hit, hit & (n[at] >= hot) if len(again) else hit], 1).ravel())
 
 
 def answer_stretches(payloads: list[bytes], length: int) -> Iterator[bytes]:
-    lens, least, text = [], [], []
+    """A bit for each window of the stretches that each block sent: whether it occurs with a smaller id."""
+    lens, ids, text = [], [], []
     for p in payloads:
         x, at = common.unplanes(p)
         y, at = common.unplanes(p, at)
         lens.append(x.astype(np.int64))
-        least.append(y.view(np.int64))
+        ids.append(y.view(np.int64))
         text.append(np.frombuffer(p, np.uint8, offset=at))
-    n_each = [len(x) for x in lens]
-    lens, least, text = np.concatenate(lens), np.concatenate(least), np.concatenate(text)
-    ends = np.cumsum(lens)
-    key = Hashed(text).of(ends - lens, ends)
-    _, first, same = np.unique(key, return_index=True, return_inverse=True)
-    low = np.full(len(first), BIG)
-    np.minimum.at(low, same, least)
-    size = lens[first]
-    where = np.repeat((ends - lens)[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    hit = seen_earlier(text[where], size, low, length)
-    # a stretch with a larger id than the smallest of its kind is all seen; others as their kind
-    starts = np.cumsum(size) - size
-    for s, e in zip(np.cumsum([0, *n_each[:-1]]), np.cumsum(n_each)):
-        own = lens[s:e] - length + 1
-        flat = np.repeat(starts[same[s:e]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-        bits = hit[flat] | np.repeat(least[s:e] > low[same[s:e]], own)
+    hit = seen_earlier(np.concatenate(text), np.concatenate(lens), np.concatenate(ids), length)
+    base = 0
+    for x in lens:
+        own, size = x - length + 1, int(x.sum())
+        begin = base + np.cumsum(x) - x
+        bits = hit[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        base += size
         yield struct.pack("<Q", len(bits)) + pack_bits(bits)
 
 
@@ -403,12 +485,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     with equal ids don't remove from each other; a null id is larger than all others. Only the
     id and the text column are read. Whole texts count, however long; an empty table gives no rows.
     """
-    staged, _ = blocks(docs, id_col, text_col)
+    staged, _ = blocks(docs, id_col, text_col, length)
     n_bytes = int(staged.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = common.buckets_for(n_bytes)
 
     def ask_anchors(row) -> Iterator[tuple[int, bytes]]:
-        keys, _, _ = Block(row, length).distinct()
+        keys, _ = Block(row, length).keys()
         cut = common.split_sorted(keys, n_buckets)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             yield k, common.pack_sorted(keys[cut[k] : cut[k + 1]])
@@ -416,34 +498,33 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
     n_fine = common.buckets_for(8 * n_bytes)
 
+    def runs(row, answers: common.Answers):
+        b = Block(row, length)
+        settled = np.unpackbits(np.frombuffer(row["settled"], np.uint8), count=len(b.a)).astype(bool)
+        return b, settled, *b.stretches(answers.of(row["grp"], row["block"]), settled)
+
     def ask_stretches(row, state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
-        answers = state.setdefault("a", common.Answers(shared))
-        b = Block(row, length, spans=True)
-        one, least, _, _ = b.stretches(answers.of(row["grp"], row["block"]))
-        cut = common.split_sorted(b.h[one], n_fine)
+        b, _, key, first, last, ids = runs(row, state.setdefault("a", common.Answers(shared)))
+        cut = common.split_sorted(key, n_fine)
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            o = one[cut[k] : cut[k + 1]]
-            lens = (b.last[o] - b.first[o] + length).astype(np.uint16)
-            where = np.repeat(b.first[o] - (np.cumsum(lens, dtype=np.int64) - lens), lens) + np.arange(int(lens.sum(dtype=np.int64)))
-            yield k, common.planes(lens) + common.planes(least[cut[k] : cut[k + 1]].view(np.uint64)) + b.a[where].tobytes()
+            own = slice(cut[k], cut[k + 1])
+            lens = last[own] - first[own] + length
+            where = np.repeat(first[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+            yield k, common.planes(common.smallest(lens)) + common.planes(ids[own].view(np.uint64)) + b.a[where].tobytes()
 
     earlier = common.exchange(staged, ask_stretches, lambda p: answer_stretches(p, length), n_fine, "earlier-windows")
 
     def finish(batches):
         found, hits = common.Answers(shared), common.Answers(earlier)
         for row in common.read_rows(batches):
-            b = Block(row, length, spans=True)
-            one, least, who, stretch = b.stretches(found.of(row["grp"], row["block"]))
-            own = b.last[one] - b.first[one] + 1
+            b, gone, _, first, last, _ = runs(row, found)
+            own = last - first + 1
             bits = unpack_bits(hits.of(row["grp"], row["block"]), int(own.sum()))
-            begin = np.cumsum(own) - own
-            n = own[stretch]
-            flat = np.repeat(begin[stretch] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            gone = bits[flat] | np.repeat(b.doc[who] > least[stretch], n)
-            start = (np.repeat(b.first[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))[gone]
+            asked = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            gone[asked[bits]] = True
+            start = np.flatnonzero(gone)
             cut = np.zeros(len(b.a), bool)
             if len(start):
-                start.sort()
                 run = np.flatnonzero(np.r_[True, np.diff(start) > length])
                 edge = np.zeros(len(b.a) + 1, np.int8)
                 edge[start[run]] = 1

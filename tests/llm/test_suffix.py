@@ -38,10 +38,40 @@ def test_suffix_array_and_prefixes():
                 assert lcp[i] == min(m, 50)
 
 
+def test_suffix_array_of_strings():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        k = r.integers(1, 4)
+        s = [bytes(r.integers(0, k, r.integers(0, 40)).astype(np.uint8)) for _ in range(r.integers(1, 9))]
+        s += s[: r.integers(0, 3)]
+        a, lens = np.frombuffer(b"".join(s), np.uint8), np.array(list(map(len, s)))
+        sa, words = suffix.suffix_array(a, lens)
+        at = [(i, j) for i, x in enumerate(s) for j in range(len(x))]
+        order = sorted(range(len(at)), key=lambda q: (s[at[q][0]][at[q][1] :], at[q][0]))
+        assert sa.tolist() == order
+        lcp = suffix.common_prefixes(sa, words, 20, lens=lens)
+        for q in range(1, len(order)):
+            x, y = (s[at[o][0]][at[o][1] :] for o in order[q - 1 : q + 1])
+            assert lcp[q] == min(20, next((j for j, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y))))
+
+
+def test_settled_in_a_shard():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        docs = [(int(r.integers(0, 9)), bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8))) for _ in range(r.integers(1, 12))]
+        low = {}
+        for d, t in docs:
+            for i in range(len(t) - 11):
+                low[t[i : i + 12]] = min(low.get(t[i : i + 12], 99), d)
+        got = suffix.in_shard(np.frombuffer(b"".join(t for _, t in docs), np.uint8), np.array([len(t) for _, t in docs]), np.array([d for d, _ in docs]), 12)
+        assert got.tolist() == [i + 12 <= len(t) and low[t[i : i + 12]] < d for d, t in docs for i in range(len(t))]
+
+
 def test_shards_merge():
     r = np.random.default_rng(3)
+    suffix.merged.update(shards=0, looked_up=0)
     for _ in range(80):
-        length = 20
+        length = int(r.choice([20, 5]))
         s = list(dict.fromkeys(bytes(r.integers(97, 97 + r.integers(1, 3), r.integers(length, 2 * length)).astype(np.uint8)) for _ in range(r.integers(1, 30))))
         least = r.integers(0, 9, len(s))
         got = suffix.seen_earlier(np.frombuffer(b"".join(s), np.uint8), np.array(list(map(len, s))), least, length, shard_bytes=int(r.integers(30, 400)))
@@ -72,9 +102,12 @@ def brute(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 400])
-def test_remove_repeats(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,partitions,hot", [(2_000_000, 1 << 14, 500), (400, 1 << 14, 500), (400, 2, 2), (2000, 4, 1)])
+def test_remove_repeats(spark, block, partitions, hot, monkeypatch):
     monkeypatch.setattr(common, "BLOCK_BYTES", block)
+    monkeypatch.setattr(common, "MOST_PARTITIONS", partitions)
+    real = suffix.answer_anchors
+    monkeypatch.setattr(suffix, "answer_anchors", lambda p: real(p, hot))
     r = np.random.default_rng(4)
     words = ["alpha", "beta", "gamma", "delta", "été", "漢字", "x"]
     passage = " ".join(r.choice(words, 30))
@@ -86,5 +119,19 @@ def test_remove_repeats(spark, block, monkeypatch):
     assert got == brute(rows, 50)
 
 
+def test_hot_anchors_keep_every_window(spark, monkeypatch):
+    """Windows around one anchor that most blocks hold are the same whether it is parted by its context or not."""
+    monkeypatch.setattr(common, "BLOCK_BYTES", 300)
+    r = np.random.default_rng(5)
+    core = "the very same twenty-five characters, or a few more"
+    rows = [(i, "".join(r.choice(list("ab"), int(r.integers(0, 30)))) + core + "".join(r.choice(list("ab"), int(r.integers(0, 30))))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real = suffix.answer_anchors
+    for hot in (2, 10**6):
+        monkeypatch.setattr(suffix, "answer_anchors", lambda p, hot=hot: real(p, hot))
+        got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in suffix.remove_repeats(df, length=50).collect())
+        assert got == brute(rows, 50)
+
+
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
