@@ -1,13 +1,13 @@
 """Exact repeated-substring removal (operator 2) with suffix arrays.
 
-A block of a few MB of whole documents is a shard: its suffix array, by Larsson-Sadakane
-refinement, and Kasai's common prefixes part its windows of ``length`` bytes into equal ones,
-and those that a smaller id of the shard has are settled. The others may be in any other shard.
-Shards can't be compared pair by pair, so *anchors* bring possible repeats together: the k-gram
-of least hash in every window. Equal windows have equal anchors at equal offsets, so a window
-whose anchor no other shard has occurs nowhere else. Where shards share anchors, the stretches of
-bytes that those own go to the anchor's bucket. There they form shards again, with suffix arrays,
-whose sorted windows are merged by binary search. Hashes choose buckets; only bytes decide what is equal.
+A repeated string can sit in any two documents, so shards of text can't be compared pair by pair.
+Instead *anchors* bring possible repeats together: the k-gram of least hash in every window of
+``length`` bytes. Equal windows have equal anchors at equal offsets, so a window whose anchor
+occurs in one document only occurs nowhere else. The stretches of bytes that shared anchors own
+go to the anchor's bucket, copies within a block once. There they form shards: each is sorted by
+a suffix array (Larsson-Sadakane), Kasai's common prefixes part its windows into equal ones, and
+the sorted windows of shards are merged by binary search. Hashes choose where stretches go; bytes decide
+what is equal.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from . import common
 from .stats import Hashed, mix
 
 #: Bytes of stretches in one suffix array of a bucket, and bytes handled at once while hashing.
-SHARD_BYTES, CHUNK_BYTES = 500_000, 200_000
+SHARD_BYTES, CHUNK_BYTES = 250_000, 200_000
 #: Blocks that hold an anchor from which on its stretches are parted by the bytes around it, too.
 HOT_BLOCKS = 500
 LAST = np.uint64(2**64 - 1)
@@ -113,8 +113,22 @@ def anchors(a: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     return p[keep], mix(hp[keep]), first[keep], last[keep]  # least hashes are small; mixed again they fill buckets evenly
 
 
+@dataclass
+class Stretches:
+    """Runs of windows to ask about: the distinct ones in ascending order of key, and all of them with their place among those."""
+
+    key: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    least: np.ndarray  #: smallest id
+    all_first: np.ndarray
+    all_last: np.ndarray
+    all_ids: np.ndarray
+    place: np.ndarray
+
+
 class Block:
-    """A block's documents, their anchors, and the windows that no smaller id of the block has."""
+    """A block's documents and their anchors."""
 
     def __init__(self, row: dict, length: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
@@ -131,41 +145,61 @@ class Block:
         self.h = self.h.astype(np.uint64)
         self.length = length
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, and each anchor's place among them."""
-        return np.unique(self.h, return_inverse=True)
-
-    def stretches(self, answers: dict[int, bytes], settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, first, last, id) of the runs of windows to ask about, in ascending order of key, then of first.
-
-        They are what anchors own that other blocks have, less the windows settled here at their ends.
-        """
-        keys, at = self.keys()
-        level = unpack_levels(answers, len(keys))[at]
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchor hashes, each anchor's place among them, and whether several ids have it here."""
+        keys, at = np.unique(self.h, return_inverse=True)
+        doc = self.ids[np.searchsorted(self.ends, self.p, side="right")] if len(self.p) else self.p
+        low, high = np.full(len(keys), BIG), np.full(len(keys), -BIG)
+        np.minimum.at(low, at, doc)
+        np.maximum.at(high, at, doc)
+        return keys, at, low < high
+
+    def stretches(self, answers: dict[int, bytes]) -> Stretches:
+        """What the anchors own that several documents have. Stretches of equal bytes here count once, with their smallest id."""
+        keys, at, here = self.keys()
+        level = np.maximum(unpack_levels(answers, len(keys)), here)[at]
         k, w = self.length // 2, self.length - self.length // 2 + 1
         one, hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
         key, first, last = [self.h[one]], [self.first[one]], [self.last[one]]
+        hashed = Hashed(self.a)
         if len(hot):
             # a window has its anchor at one of w offsets: at w // 2 or more it has as many bytes before it, else w - w // 2 behind it
-            h, p, c = Hashed(self.a), self.p[hot], w // 2
+            p, c = self.p[hot], w // 2
             f, l = self.first[hot], np.minimum(self.last[hot], p - c)
             sel = f <= l
-            key.append(mix(h.of(p[sel] - c, p[sel] + k) ^ self.h[hot][sel]))
+            key.append(mix(hashed.of(p[sel] - c, p[sel] + k) ^ self.h[hot][sel]))
             first.append(f[sel])
             last.append(l[sel])
             f, l = np.maximum(self.first[hot], p - c + 1), self.last[hot]
             sel = f <= l
-            key.append(mix(h.of(p[sel], p[sel] + k + w - c) ^ self.h[hot][sel] ^ np.uint64(1)))
+            key.append(mix(hashed.of(p[sel], p[sel] + k + w - c) ^ self.h[hot][sel] ^ np.uint64(1)))
             first.append(f[sel])
             last.append(l[sel])
         key, first, last = np.concatenate(key), np.concatenate(first), np.concatenate(last)
-        open_ = np.flatnonzero(~settled)
-        i, j = np.searchsorted(open_, first), np.searchsorted(open_, last, side="right")
-        sel = i < j
-        key, first, last = key[sel], open_[i[sel]], open_[j[sel] - 1]
-        order = np.lexsort((first, key))
+        order = np.lexsort((hashed.of(first, last + self.length), key))
         key, first, last = key[order], first[order], last[order]
-        return key, first, last, self.ids[np.searchsorted(self.ends, first, side="right")]
+        ids = self.ids[np.searchsorted(self.ends, first, side="right")] if len(first) else first
+        same = self._same(first, last) & (key[1:] == key[:-1]) if len(key) > 1 else np.zeros(0, bool)
+        new = np.flatnonzero(np.r_[True, ~same]) if len(key) else first
+        place = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(key)]))
+        return Stretches(key[new], first[new], last[new], np.minimum.reduceat(ids, new) if len(new) else ids, first, last, ids, place)
+
+    def _same(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether each stretch has the bytes of the one before it."""
+        size = last - first
+        out = size[1:] == size[:-1]
+        at = np.flatnonzero(out)
+        n = size[at] + self.length
+        words = packed_words(self.a)
+        for k in range(0, int(n.max()) if len(n) else 0, 8):
+            off = np.minimum(k, np.maximum(n - 8, 0))
+            eq = words[first[at] + off] == words[first[at + 1] + off]
+            if self.length < 8:  # words may reach beyond such stretches
+                cut = np.uint64(8) * np.maximum(8 - n, 0).astype(np.uint64)
+                eq = words[first[at] + off] >> cut == words[first[at + 1] + off] >> cut
+            out[at[~eq]] = False
+            at, n = at[eq], n[eq]
+        return out
 
 
 def pack_bits(bits: np.ndarray) -> bytes:
@@ -200,7 +234,7 @@ def packed_words(a: np.ndarray) -> np.ndarray:
 
 def rooms(lens: np.ndarray) -> np.ndarray:
     """Bytes from each position to the end of its string, for strings that are joined."""
-    return np.repeat(np.cumsum(lens), lens) - np.arange(int(lens.sum()))
+    return (np.repeat(np.cumsum(lens), lens) - np.arange(int(lens.sum()))).astype(np.int32)
 
 
 def suffix_array(a: np.ndarray, lens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +254,12 @@ def suffix_array(a: np.ndarray, lens: np.ndarray | None = None) -> tuple[np.ndar
         key = words.copy()
         cut = (np.uint64(8) * (np.uint64(8) - room[short].astype(np.uint64))).astype(np.uint64)
         key[short] = key[short] >> cut << cut
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     s = key[sa]
     head = np.r_[True, s[1:] != s[:-1]] if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     known = 8
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
     if len(short) and not a.all():  # a zero byte isn't the end of a string
         at = np.flatnonzero(~head | ~np.r_[head[1:], True])
         i = sa[at]
@@ -236,7 +270,7 @@ def suffix_array(a: np.ndarray, lens: np.ndarray | None = None) -> tuple[np.ndar
         head[at] = np.r_[True, key[1:] != key[:-1]] if len(at) else head[at]
         rank[sa[at]] = np.maximum.accumulate(np.where(head[at], at, 0))
     strings = len(lens)
-    owner = np.repeat(np.arange(strings, dtype=np.int64), lens) if strings > 1 else None
+    owner = np.repeat(np.arange(strings, dtype=np.int32), lens) if strings > 1 else None
     while True:
         open_ = ~head | ~np.r_[head[1:], True] if n else head
         at = np.flatnonzero(open_)
@@ -306,17 +340,6 @@ def classes(a: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, n
     return sa, np.cumsum(new) - 1, words
 
 
-def in_shard(a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For each byte of a shard's documents: whether the window from it on occurs in one of a smaller id."""
-    out = np.zeros(len(a), bool)
-    sa, cls, _ = classes(a, lens, length)
-    if len(sa):
-        who = np.repeat(ids, lens)[sa]
-        least = np.minimum.reduceat(who, np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]))
-        out[sa] = least[cls] < who
-    return out
-
-
 @dataclass
 class Windows:
     """Distinct windows in the order of their bytes, as words, with their smallest ids."""
@@ -325,8 +348,8 @@ class Windows:
     least: np.ndarray
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By binary search: where each window is or would be, and whether it is there."""
-        lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.keys))
+        """By binary search, first for the first word and then among those: where each window is or would be, and whether it is there."""
+        lo, hi = np.searchsorted(self.keys[:, 0], keys[:, 0]), np.searchsorted(self.keys[:, 0], keys[:, 0], side="right")
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) // 2
             less = lexicographic_less(self.keys[mid], keys[live])
@@ -403,8 +426,8 @@ def seen_earlier(a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int,
 # ---- the operator ----------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, str]:
-    """Staged blocks (grp, block, ids, lens, hashes, text) with the windows settled in them (packed bits by start). A null id counts as the largest."""
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Staged blocks (grp, block, ids, lens, hashes, text). A null id counts as the largest."""
     rows = common.two_columns(docs, id_col, text_col).select("doc_id", "text", common.text_hash().alias("text_hash"))
 
     def run(batches):
@@ -418,11 +441,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
             nonlocal n, held, size
             ids, hashes, raw = held
             lens = np.array(list(map(len, raw)), np.int64)
-            text = b"".join(raw)
-            settled = in_shard(np.frombuffer(text, np.uint8), lens, np.array(ids, np.int64), length)
             row = common.batch(
                 grp=pa.array([grp], pa.int32()), block=pa.array([(grp << 24) + n], pa.int64()), ids=pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), lens=pa.array([lens.tobytes()], pa.binary()),
-                hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([text], pa.binary()), settled=pa.array([pack_bits(settled)], pa.binary()),
+                hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([b"".join(raw)], pa.binary()),
             )
             n, held, size = n + 1, [[], [], []], 0
             return row
@@ -440,7 +461,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
         if held[0]:
             yield flush()
 
-    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary, settled binary"), "text-blocks")
+    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary"), "text-blocks")
 
 
 def answer_anchors(payloads: list[bytes], hot: int = HOT_BLOCKS) -> Iterator[bytes]:
@@ -485,12 +506,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     with equal ids don't remove from each other; a null id is larger than all others. Only the
     id and the text column are read. Whole texts count, however long; an empty table gives no rows.
     """
-    staged, _ = blocks(docs, id_col, text_col, length)
+    staged, _ = blocks(docs, id_col, text_col)
     n_bytes = int(staged.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = common.buckets_for(n_bytes)
 
     def ask_anchors(row) -> Iterator[tuple[int, bytes]]:
-        keys, _ = Block(row, length).keys()
+        keys, _, _ = Block(row, length).keys()
         cut = common.split_sorted(keys, n_buckets)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             yield k, common.pack_sorted(keys[cut[k] : cut[k + 1]])
@@ -498,30 +519,30 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
     n_fine = common.buckets_for(8 * n_bytes)
 
-    def runs(row, answers: common.Answers):
-        b = Block(row, length)
-        settled = np.unpackbits(np.frombuffer(row["settled"], np.uint8), count=len(b.a)).astype(bool)
-        return b, settled, *b.stretches(answers.of(row["grp"], row["block"]), settled)
-
     def ask_stretches(row, state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
-        b, _, key, first, last, ids = runs(row, state.setdefault("a", common.Answers(shared)))
-        cut = common.split_sorted(key, n_fine)
+        b = Block(row, length)
+        x = b.stretches(state.setdefault("a", common.Answers(shared)).of(row["grp"], row["block"]))
+        cut = common.split_sorted(x.key, n_fine)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             own = slice(cut[k], cut[k + 1])
-            lens = last[own] - first[own] + length
-            where = np.repeat(first[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-            yield k, common.planes(common.smallest(lens)) + common.planes(ids[own].view(np.uint64)) + b.a[where].tobytes()
+            lens = x.last[own] - x.first[own] + length
+            where = np.repeat(x.first[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+            yield k, common.planes(common.smallest(lens)) + common.planes(x.least[own].view(np.uint64)) + b.a[where].tobytes()
 
     earlier = common.exchange(staged, ask_stretches, lambda p: answer_stretches(p, length), n_fine, "earlier-windows")
 
     def finish(batches):
         found, hits = common.Answers(shared), common.Answers(earlier)
         for row in common.read_rows(batches):
-            b, gone, _, first, last, _ = runs(row, found)
-            own = last - first + 1
+            b = Block(row, length)
+            x = b.stretches(found.of(row["grp"], row["block"]))
+            own = x.last - x.first + 1
             bits = unpack_bits(hits.of(row["grp"], row["block"]), int(own.sum()))
-            asked = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-            gone[asked[bits]] = True
+            n, begin = own[x.place], (np.cumsum(own) - own)[x.place]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            seen = bits[np.repeat(begin, n) + step] | np.repeat(x.all_ids > x.least[x.place], n)
+            gone = np.zeros(len(b.a), bool)
+            gone[(np.repeat(x.all_first, n) + step)[seen]] = True
             start = np.flatnonzero(gone)
             cut = np.zeros(len(b.a), bool)
             if len(start):

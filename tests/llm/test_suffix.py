@@ -55,16 +55,21 @@ def test_suffix_array_of_strings():
             assert lcp[q] == min(20, next((j for j, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y))))
 
 
-def test_settled_in_a_shard():
+def test_stretches_of_a_block_are_parted_by_bytes(monkeypatch):
+    """Even if all spans hash alike, only stretches of equal bytes count as one."""
     r = np.random.default_rng(8)
-    for _ in range(60):
-        docs = [(int(r.integers(0, 9)), bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8))) for _ in range(r.integers(1, 12))]
-        low = {}
-        for d, t in docs:
-            for i in range(len(t) - 11):
-                low[t[i : i + 12]] = min(low.get(t[i : i + 12], 99), d)
-        got = suffix.in_shard(np.frombuffer(b"".join(t for _, t in docs), np.uint8), np.array([len(t) for _, t in docs]), np.array([d for d, _ in docs]), 12)
-        assert got.tolist() == [i + 12 <= len(t) and low[t[i : i + 12]] < d for d, t in docs for i in range(len(t))]
+    monkeypatch.setattr(suffix.Hashed, "of", lambda self, s, e: np.zeros(len(s), np.uint64))
+    for _ in range(30):
+        docs = [bytes(r.integers(97, 100, r.integers(0, 90)).astype(np.uint8)) for _ in range(12)]
+        docs += docs[:4]
+        row = {"ids": np.arange(16)[::-1].astype(np.int64).tobytes(), "lens": np.array(list(map(len, docs))).tobytes(), "text": b"".join(docs)}
+        length = int(r.choice([6, 30]))
+        b = suffix.Block(row, length)
+        n = len(b.keys()[0])
+        x = b.stretches({0: suffix.struct.pack("<Q", n) + suffix.pack_bits(np.tile([True, False], n))})
+        text = lambda f, l: b.a[f : l + length].tobytes()  # noqa: E731, B023
+        for f, l, i, p in zip(x.all_first, x.all_last, x.all_ids, x.place):
+            assert text(f, l) == text(x.first[p], x.last[p]) and x.least[p] <= i
 
 
 def test_shards_merge():
