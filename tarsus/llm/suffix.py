@@ -4,10 +4,10 @@ A repeated string can sit in any two documents, so shards of text can't be compa
 Instead *anchors* bring possible repeats together: the k-gram of least hash in every window of
 ``length`` bytes. Equal windows have equal anchors at equal offsets, so a window whose anchor
 occurs in one document only occurs nowhere else. The stretches of bytes that shared anchors own
-go to the anchor's bucket, copies within a block once. There they form shards: each is sorted by
-a suffix array (Larsson-Sadakane), Kasai's common prefixes part its windows into equal ones, and
-the sorted windows of shards are merged by binary search. Hashes choose where stretches go; bytes decide
-what is equal.
+go to the anchor's bucket. Stretches of equal bytes collapse to one with the smallest id, in the
+block and in the bucket. The distinct ones form shards: each is sorted by a suffix array
+(Larsson-Sadakane), Kasai's common prefixes part its windows into equal ones, and the sorted windows of
+shards are merged by binary search. Hashes choose where stretches go; bytes decide what is equal.
 """
 
 from __future__ import annotations
@@ -179,27 +179,25 @@ class Block:
         order = np.lexsort((hashed.of(first, last + self.length), key))
         key, first, last = key[order], first[order], last[order]
         ids = self.ids[np.searchsorted(self.ends, first, side="right")] if len(first) else first
-        same = self._same(first, last) & (key[1:] == key[:-1]) if len(key) > 1 else np.zeros(0, bool)
+        same = like_before(self.a, first, last - first + self.length) & (key[1:] == key[:-1]) if len(key) > 1 else np.zeros(0, bool)
         new = np.flatnonzero(np.r_[True, ~same]) if len(key) else first
         place = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(key)]))
         return Stretches(key[new], first[new], last[new], np.minimum.reduceat(ids, new) if len(new) else ids, first, last, ids, place)
 
-    def _same(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Whether each stretch has the bytes of the one before it."""
-        size = last - first
-        out = size[1:] == size[:-1]
-        at = np.flatnonzero(out)
-        n = size[at] + self.length
-        words = packed_words(self.a)
-        for k in range(0, int(n.max()) if len(n) else 0, 8):
-            off = np.minimum(k, np.maximum(n - 8, 0))
-            eq = words[first[at] + off] == words[first[at + 1] + off]
-            if self.length < 8:  # words may reach beyond such stretches
-                cut = np.uint64(8) * np.maximum(8 - n, 0).astype(np.uint64)
-                eq = words[first[at] + off] >> cut == words[first[at + 1] + off] >> cut
-            out[at[~eq]] = False
-            at, n = at[eq], n[eq]
-        return out
+
+def like_before(a: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a``, but the first, has the bytes of the one before it. Bytes are compared, not hashes."""
+    out = size[1:] == size[:-1]
+    at = np.flatnonzero(out)
+    n = size[at]
+    words = packed_words(a)
+    for k in range(0, int(n.max()) if len(n) else 0, 8):
+        off = np.minimum(k, np.maximum(n - 8, 0))
+        x = words[first[at] + off] ^ words[first[at + 1] + off]
+        eq = x >> (np.uint64(8) * np.maximum(8 - n, 0).astype(np.uint64)) == 0  # a word may reach beyond a short span
+        out[at[~eq]] = False
+        at, n = at[eq], n[eq]
+    return out
 
 
 def pack_bits(bits: np.ndarray) -> bytes:
@@ -486,13 +484,22 @@ def answer_stretches(payloads: list[bytes], length: int) -> Iterator[bytes]:
         lens.append(x.astype(np.int64))
         ids.append(y.view(np.int64))
         text.append(np.frombuffer(p, np.uint8, offset=at))
-    hit = seen_earlier(np.concatenate(text), np.concatenate(lens), np.concatenate(ids), length)
-    base = 0
-    for x in lens:
-        own, size = x - length + 1, int(x.sum())
-        begin = base + np.cumsum(x) - x
-        bits = hit[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
-        base += size
+    n_each = list(map(len, lens))
+    lens, ids, text = np.concatenate(lens), np.concatenate(ids), np.concatenate(text)
+    begin = np.cumsum(lens) - lens
+    order = np.argsort(Hashed(text).of(begin, begin + lens), kind="stable")
+    new = np.flatnonzero(np.r_[True, ~like_before(text, begin[order], lens[order])]) if len(order) else order
+    low = np.minimum.reduceat(ids[order], new) if len(new) else ids
+    same = np.empty(len(order), np.int64)
+    same[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+    size = lens[order][new]
+    at = np.cumsum(size) - size
+    distinct = text[np.repeat(begin[order][new] - at, size) + np.arange(int(size.sum()))]
+    hit = seen_earlier(distinct, size, low, length)
+    # a stretch with a larger id than the smallest of its kind is all seen; others as their kind
+    for s, e in zip(np.cumsum([0, *n_each[:-1]]), np.cumsum(n_each)):
+        own = lens[s:e] - length + 1
+        bits = hit[np.repeat(at[same[s:e]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] | np.repeat(ids[s:e] > low[same[s:e]], own)
         yield struct.pack("<Q", len(bits)) + pack_bits(bits)
 
 
