@@ -59,9 +59,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_staged(but: Iterable[str] = ()) -> None:
-    """Delete what was staged so far, but for some folders. Tables that read it can't be used any more."""
-    for path in [p for p in _paths if p not in set(but)]:
+def staged() -> set[str]:
+    """The folders that this application staged and hasn't deleted."""
+    return set(_paths)
+
+
+def drop_staged(since: Iterable[str] = (), but: Iterable[str] = ()) -> None:
+    """Delete what was staged, but for what there was at some point and some folders. Tables that read it can't be used any more."""
+    for path in staged() - set(since) - set(but):
         _paths.discard(path)
         drop_path(path)
 
@@ -116,14 +121,34 @@ def text_hash(text_col: str = "text"):
 def match(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
     """Join documents with rows of (doc_id, text_hash, ...) that an operator returned, whatever else the documents' columns are called.
 
-    Null ids match null ids. ``once``: of documents with the same id and text only one stays.
+    Null ids match null ids. ``once``: of documents with the same id and text only one stays;
+    partitions drop theirs before the shuffle, so a row that a third of all are is one a partition.
+    Without it such rows meet in one task.
     """
     top = F.lit((1 << 63) - 1)
     keys = ["__tarsus_id", "__tarsus_hash"]
     left = docs.withColumn(keys[0], F.coalesce(F.col(id_col).cast("long"), top)).withColumn(keys[1], text_hash(text_col))
     right = found.withColumnRenamed("text_hash", keys[1]).withColumn(keys[0], F.coalesce("doc_id", top)).drop("doc_id").dropDuplicates(keys)
-    out = left.join(right, keys, how)
-    return (out.dropDuplicates(keys) if once else out).drop(*keys)
+    return (left.dropDuplicates(keys) if once else left).join(right, keys, how).drop(*keys)
+
+
+def keep_rows(docs: DataFrame, verdict: Callable[[], Callable[[list[bytes]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """Rows of which the verdict on their text is true, in one pass and without a shuffle; all columns stay, whatever they are called.
+
+    ``verdict()`` is called once a task and gives a function from texts (null: empty) to booleans.
+    """
+    two_columns(docs.withColumn("__tarsus_id", F.lit(0)), "__tarsus_id", text_col)  # sets the size of batches
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = verdict()
+        for b in batches:
+            lo = 0
+            for ids, raw in text_batches([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], ["doc_id", "text"])]):
+                yield b.slice(lo, len(ids)).filter(pa.array(judge(raw)))
+                lo += len(ids)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def trim() -> None:

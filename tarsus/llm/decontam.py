@@ -271,6 +271,27 @@ def load(path: str, k: int) -> Index | None:
     return _held.get((path, k))
 
 
+def named(items: DataFrame, item_col: str, question_col: str, answer_col: str | None) -> DataFrame:
+    return items.select(F.col(item_col).cast("long").alias("item_id"), F.col(question_col).cast("string").alias("q"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shingle: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, indexed: int = INDEXED) -> DataFrame:
+    """The documents in which ``contaminated`` would find no item, with all their columns, in one pass and without a shuffle."""
+    path, n_indexes = indexes(named(items, item_col, question_col, answer_col), shingle, indexed)
+
+    def verdict():
+        def judge(raw: list[bytes]) -> np.ndarray:
+            out, texts = np.ones(len(raw), bool), [words(t.decode("utf-8", "replace")) for t in raw]
+            for k in range(n_indexes):
+                x = load(path, k)
+                out[[h[0] for h in search(x, texts, threshold, overlap, shingle)] if x else []] = False
+            return out
+
+        return judge
+
+    return common.keep_rows(docs, verdict, text_col)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, indexed: int = INDEXED) -> DataFrame:
     """Documents that hold test items: doc_id, item_id, score (6 places), question_overlap, answer_overlap, first_word, n_words, text_hash.
 
@@ -289,7 +310,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     so the rows are the same. Items that are repeated are each reported; columns of other names aren't read.
     """
     rows = common.two_columns(docs, id_col, text_col)
-    path, n_indexes = indexes(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(question_col).cast("string").alias("q"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a")), shingle, indexed)
+    path, n_indexes = indexes(named(items, item_col, question_col, answer_col), shingle, indexed)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -239,7 +239,9 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def learn(cells: np.ndarray, n: np.ndarray, order: int, p0: float, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Mixture weights by expectation-maximisation over counted cells of (buckets, binned estimates)."""
+    """Mixture weights by expectation-maximisation over counted cells of (buckets, binned estimates); all 0 of no cells."""
+    if not len(cells):
+        return [np.zeros(1)] + [np.zeros(CONTEXTS) for _ in range(order - 1)]
     value = np.r_[0.0, 10.0 ** (-np.arange(63) / DECADE)]
     x, p, b = cells.copy(), [], []
     for _ in range(order):
@@ -272,11 +274,12 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     over the training vocabulary and one unknown token; weights depend on how often the
     context was seen and are learned by expectation-maximisation on counts from which each
     token's document is deleted. One row for each input row; a null text is empty (one end
-    token); a null id is a training row. With no training rows N = V = 0 and every score is 0.
+    token); a null id is a training row. With no training rows N = V = 0, and every score and base score is 0.
 
     The counts cover every n-gram of every training text. Each block of text asks the bucket of
     each distinct n-gram for its count in the whole corpus, so a frequent one is sent once a block.
-    Beyond order 2 it asks only for n-grams both of whose parts occur in other blocks; the
+    Only the counted cells reach the driver, at most 63 to the power of ``order`` times 16 to that of
+    ``order`` - 1, however much text there is, and in practice those few that occur. Beyond order 2 it asks only for n-grams both of whose parts occur in other blocks; the
     others can't, and their count is the block's own.
     """
     if not 2 <= order <= 4:

@@ -140,3 +140,18 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
     return table.select("doc_id", "f", "text_hash").mapInArrow(run, "doc_id long, score double, predicted int, text_hash long").select("doc_id", (fold == 2).alias("held_out"), "score", "predicted", "text_hash")
+
+
+def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that ``score`` would predict 1 for, with all their columns. Texts are read twice, to learn and to judge, and never shuffled."""
+    table, _ = common.stage(stats.table(docs, id_col, text_col), "statistics")
+    model = table.sparkSession.sparkContext.broadcast(fit(table, labels, label, id_col))
+
+    def verdict():
+        def judge(raw: list[bytes]) -> np.ndarray:
+            s = stats.statistics(raw)
+            return np.clip(model.value.score(np.stack([s[k] for k in stats.FEATURES], 1).astype(np.float64)), 0, 1) >= threshold
+
+        return judge
+
+    return common.keep_rows(docs, verdict, text_col)

@@ -26,7 +26,7 @@ from . import common
 from .stats import Hashed, mix
 
 #: Bytes of stretches in one suffix array of a bucket, and bytes handled at once while hashing.
-SHARD_BYTES, CHUNK_BYTES = 250_000, 200_000
+SHARD_BYTES, CHUNK_BYTES = 500_000, 200_000
 #: Blocks that hold an anchor from which on its stretches are parted by the bytes around it, too.
 HOT_BLOCKS = 500
 LAST = np.uint64(2**64 - 1)
@@ -127,6 +127,19 @@ class Stretches:
     place: np.ndarray
 
 
+def pack_anchors(a: np.ndarray, lens: np.ndarray, length: int) -> bytes:
+    """Where the anchors of a block's documents are, and how far before them the windows they own begin and end."""
+    ends = np.cumsum(lens)
+    got, lo, at = [], 0, 0
+    while lo < len(ends):  # whole documents, about CHUNK_BYTES at once
+        hi = max(lo + 1, int(np.searchsorted(ends, at + CHUNK_BYTES)))
+        p, _, first, last = anchors(a[at : ends[hi - 1]], ends[lo:hi] - at, length)
+        got.append((p + at, p - first, p - last))
+        lo, at = hi, int(ends[hi - 1])
+    p, back, fore = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+    return b"".join(common.planes(common.smallest(x)) for x in (np.diff(p, prepend=0), back, fore))
+
+
 class Block:
     """A block's documents and their anchors."""
 
@@ -134,15 +147,14 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.a = np.frombuffer(row["text"], np.uint8)
-        self.ends = ends = np.cumsum(self.lens)
-        got, lo, at = [], 0, 0
-        while lo < len(ends):  # whole documents, about CHUNK_BYTES at once
-            hi = max(lo + 1, int(np.searchsorted(ends, at + CHUNK_BYTES)))
-            p, h, first, last = anchors(self.a[at : ends[hi - 1]], ends[lo:hi] - at, length)
-            got.append((p + at, h, first + at, last + at))
-            lo, at = hi, int(ends[hi - 1])
-        self.p, self.h, self.first, self.last = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 4
-        self.h = self.h.astype(np.uint64)
+        self.ends = np.cumsum(self.lens)
+        step, at = common.unplanes(row["anchors"])
+        back, at = common.unplanes(row["anchors"], at)
+        fore, _ = common.unplanes(row["anchors"], at)
+        self.p = np.cumsum(step, dtype=np.int64)
+        self.first, self.last = self.p - back.astype(np.int64), self.p - fore.astype(np.int64)
+        self.hashed = Hashed(self.a)
+        self.h = self.hashed.of(self.p, self.p + length // 2)
         self.length = length
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +173,7 @@ class Block:
         k, w = self.length // 2, self.length - self.length // 2 + 1
         one, hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
         key, first, last = [self.h[one]], [self.first[one]], [self.last[one]]
-        hashed = Hashed(self.a)
+        hashed = self.hashed
         if len(hot):
             # a window has its anchor at one of w offsets: at w // 2 or more it has as many bytes before it, else w - w // 2 behind it
             p, c = self.p[hot], w // 2
@@ -224,10 +236,7 @@ def unpack_levels(answers: dict[int, bytes], n: int) -> np.ndarray:
 def packed_words(a: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on, big-endian, zeros beyond the end."""
     b = np.concatenate([a, np.zeros(8, np.uint8)])
-    w = b[: len(a)].astype(np.uint64)
-    for k in range(1, 8):
-        w = (w << np.uint64(8)) | b[k : k + len(a)]
-    return w
+    return np.ndarray(len(a), ">u8", b, strides=(1,)).astype(np.uint64)
 
 
 def rooms(lens: np.ndarray) -> np.ndarray:
@@ -424,8 +433,8 @@ def seen_earlier(a: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int,
 # ---- the operator ----------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """Staged blocks (grp, block, ids, lens, hashes, text). A null id counts as the largest."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, str]:
+    """Staged blocks (grp, block, ids, lens, hashes, text, anchors). A null id counts as the largest."""
     rows = common.two_columns(docs, id_col, text_col).select("doc_id", "text", common.text_hash().alias("text_hash"))
 
     def run(batches):
@@ -438,10 +447,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
         def flush():
             nonlocal n, held, size
             ids, hashes, raw = held
-            lens = np.array(list(map(len, raw)), np.int64)
+            lens, text = np.array(list(map(len, raw)), np.int64), b"".join(raw)
             row = common.batch(
                 grp=pa.array([grp], pa.int32()), block=pa.array([(grp << 24) + n], pa.int64()), ids=pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), lens=pa.array([lens.tobytes()], pa.binary()),
-                hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([b"".join(raw)], pa.binary()),
+                hashes=pa.array([np.array(hashes, np.int64).tobytes()], pa.binary()), text=pa.array([text], pa.binary()), anchors=pa.array([pack_anchors(np.frombuffer(text, np.uint8), lens, length)], pa.binary()),
             )
             n, held, size = n + 1, [[], [], []], 0
             return row
@@ -459,7 +468,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
         if held[0]:
             yield flush()
 
-    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary"), "text-blocks")
+    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary, anchors binary"), "text-blocks")
 
 
 def answer_anchors(payloads: list[bytes], hot: int = HOT_BLOCKS) -> Iterator[bytes]:
@@ -513,7 +522,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     with equal ids don't remove from each other; a null id is larger than all others. Only the
     id and the text column are read. Whole texts count, however long; an empty table gives no rows.
     """
-    staged, _ = blocks(docs, id_col, text_col)
+    staged, _ = blocks(docs, id_col, text_col, length)
     n_bytes = int(staged.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = common.buckets_for(n_bytes)
 

@@ -6,6 +6,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,49 +14,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .stats import Hashed
 
-#: Chunks that a worker remembers; others are encoded anew in each batch.
-REMEMBER = 400_000
+#: Chunks that a worker remembers, about 50 bytes each; others are encoded anew in each batch.
+REMEMBER = 1_000_000
 #: Pre-tokens broadcast with their counts, those of most documents first; the rest are joined by shuffle. Steps of a doubling by which they are ranked, and hash bins that part a step.
 HEAD, STEPS, BINS = 300_000, 16, 4096
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHER = 1_000_000
 
-#: Not white space to the tokenizer, but to str.split().
-_ODD = re.compile("[\x1c-\x1f]")
+#: What must be encoded with all that is around it: the beginning of a special token.
+_ODD = re.compile(rb"<\|")
 
 
-_ALNUM, _ENDING, _BLANK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz0123456789", b".,;:!?", b" \t\n\r"))
+_ALNUM, _ENDING, _WHITE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz0123456789", b".,;:!?", b" \t\n\r\x0b\x0c"))
 
 
-def part_punctuation(raw: list[bytes]) -> list[bytes]:
-    """Texts with a space before each single punctuation mark that follows an ASCII letter or digit and ends a chunk."""
+def part_punctuation(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts joined, a space behind each, with a space before every single punctuation mark that follows an ASCII letter or digit and ends a chunk; and their ends."""
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
-    ends = np.cumsum(lens)
-    a = np.frombuffer(b"".join(raw), np.uint8)
-    if len(a) < 2:
-        return raw
-    last = np.zeros(len(a) + 1, bool)
-    last[ends - 1] = True  # of a text (an empty first one sets the spare place)
-    last = last[:-1]
+    ends = np.cumsum(lens + 1)
+    a = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    if len(a) < 3:
+        return a, ends
     mark = np.zeros(len(a), bool)
-    mark[1:] = _ENDING[a[1:]] & _ALNUM[a[:-1]] & ~last[:-1]
-    mark &= last | np.r_[_BLANK[a[1:]], True]
+    mark[1:-1] = _ENDING[a[1:-1]] & _ALNUM[a[:-2]] & _WHITE[a[2:]]
     at = np.flatnonzero(mark)
-    out = np.insert(a, at, 32).tobytes()
-    ends = ends + np.searchsorted(at, ends)
-    return [out[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return np.insert(a, at, 32), ends + np.searchsorted(at, ends)
+
+
+def same_bytes(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes from x on in ``a`` are those from y on in ``b``; no size is 0."""
+    if not len(size):
+        return np.zeros(0, bool)
+    begin = np.cumsum(size) - size
+    step = np.arange(int(size.sum()))
+    return np.logical_and.reduceat(a[np.repeat(x - begin, size) + step] == b[np.repeat(y - begin, size) + step], begin)
 
 
 class WordEncoder:
-    """Ids of whole texts from remembered ids of their white-space separated chunks.
+    """Ids of whole texts from remembered ids of their chunks, which ASCII white space separates.
 
     Right for a tokenizer that drops white space, whose pre-tokens never hold it, whose
     letters part from punctuation and that lower-cases: each chunk is then encoded by itself,
-    in lower case, and so is a punctuation mark after it. Texts with U+001C to U+001F, or with
-    the beginning of a special token, are encoded whole. The tokenizer composes before it
-    lower-cases, and J, H, T, W and Y have marks that compose with the small letter alone:
-    texts with a character of U+0300 to U+037F keep their case. A tokenizer that fails probes of this is refused.
+    in lower case, and so is a punctuation mark after it. Texts with the beginning of a special
+    token are encoded whole. The tokenizer composes before it lower-cases, and J, H, T, W and Y
+    have marks that compose with the small letter alone: texts with a character of U+0300 to
+    U+037F keep their case. A tokenizer that fails probes of this is refused.
+
+    Chunks are found by a hash and told apart by their bytes.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -67,8 +74,10 @@ class WordEncoder:
         self.t.no_padding()
         self._check()
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         self.remember = remember
+        #: Hashes of known chunks in order; for each where its bytes and its ids begin, and how many there are.
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.dtype)
 
     def _check(self) -> None:
         """Raise unless the tokenizer does on probes what encoding by chunks relies on."""
@@ -80,24 +89,65 @@ class WordEncoder:
             if ids(w) != [i for c in w.split() for i in ids(c)]:
                 raise ValueError(f"tokens of this tokenizer cross white space in {w!r}")
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, joined, and how many each has."""
+        got = [e.ids for e in self.t.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(n.sum())), n
+
+    def _chunks(self, a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks of ``a``: where their ids begin in a table of ids, how many there are, and the table."""
+        raw = a.tobytes()
+        texts = lambda at: [raw[x : x + y] for x, y in zip(begin[at].tolist(), size[at].tolist())]
+        u, first, place = np.unique(Hashed(a).of(begin, begin + size), return_index=True, return_inverse=True)
+        same = size == size[first][place]
+        same[same] = same_bytes(a, begin[same], a, begin[first][place][same], size[same])
+        at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
+        known = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
+        taken = known.copy()
+        known[known] = size[first][known] == self.at[1][at[known]]
+        known[known] = same_bytes(a, begin[first][known], self.bytes, self.at[0][at[known]], size[first][known])
+        fresh = np.flatnonzero(~known)
+        ids, count = self._encode(texts(first[fresh]))
+        start, many = np.empty(len(u), np.int64), np.empty(len(u), np.int64)
+        start[known], many[known] = self.at[2][at[known]], self.at[3][at[known]]
+        start[fresh], many[fresh] = len(self.ids) + np.cumsum(count) - count, count
+        table = np.concatenate([self.ids, ids])
+        if len(new := fresh[: max(0, self.remember - len(self.keys))]) and not taken[new].any():
+            n, m = size[first[new]], count[: len(new)]
+            rows = np.stack([len(self.bytes) + np.cumsum(n) - n, n, start[new], m])
+            to = np.searchsorted(self.keys, u[new])
+            self.keys, self.at = np.insert(self.keys, to, u[new]), np.insert(self.at, to, rows, 1)
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(texts(first[new])), np.uint8)])
+            self.ids = np.concatenate([self.ids, ids[: int(m.sum())]])
+        start, many = start[place], many[place]
+        if len(odd := np.flatnonzero(~same)):  # other bytes of the same hash
+            ids, count = self._encode(texts(odd))
+            start[odd], many[odd] = len(table) + np.cumsum(count) - count, count
+            table = np.concatenate([table, ids])
+        return start, many, table
 
     def encode(self, raw: list[bytes], end: int | None = None) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian integers of ``self.dtype``, with ``end`` appended."""
-        odd = [b"<|" in t for t in raw]
-        texts = [t.decode("utf-8", "replace") for t in part_punctuation([t if o or b"\xcc" in t or b"\xcd" in t else t.lower() for t, o in zip(raw, odd)])]
-        split = [None if o or _ODD.search(t) else t.split() for t, o in zip(texts, odd)]
-        words = list(set().union(*(s for s in split if s)))
-        local = dict(zip(words, map(self.known.get, words)))
-        fresh = [w for w, b in local.items() if b is None]
-        new = dict(zip(fresh, self._bytes(fresh)))
-        local.update(new)
-        if len(self.known) < self.remember:
-            self.known.update(list(new.items())[: self.remember - len(self.known)])
+        odd = [i for i, t in enumerate(raw) if _ODD.search(t)]
+        plain = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in raw]
+        for i in odd:
+            plain[i] = b""
+        a, ends = part_punctuation(plain)
+        dark = ~_WHITE[a]
+        begin = np.flatnonzero(dark & np.r_[True, ~dark[:-1]]) if len(a) else np.zeros(0, np.int64)
+        size = np.flatnonzero(dark & np.r_[~dark[1:], True]) + 1 - begin if len(a) else begin
+        start, many, table = self._chunks(a, begin, size)
+        stop = np.cumsum(many)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = table[np.repeat(start - (stop - many), many) + np.arange(total)]
+        cut = np.r_[0, stop][np.searchsorted(begin, ends)]  # ids before the end of each text
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()
-        get = local.__getitem__
-        return [(self._bytes([raw[i].decode("utf-8", "replace")])[0] if s is None else b"".join(map(get, s))) + tail for i, s in enumerate(split)]
+        packed, w = ids.tobytes(), self.dtype.itemsize
+        out = [packed[w * x : w * y] + tail for x, y in zip([0, *cut[:-1].tolist()], cut.tolist())]
+        for i in odd:
+            out[i] = self._encode([raw[i]])[0].tobytes() + tail
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -69,6 +69,52 @@ def test_score(spark, order, block, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-6)
 
 
+def exact_em(p, b, order, p0, rounds=lm.ROUNDS):
+    """Expectation-maximisation over the estimates themselves."""
+    lam = [{0: 0.5}] + [{k: 0.5 if k else 0.0 for k in range(lm.CONTEXTS)} for _ in range(order - 1)]
+    for _ in range(rounds):
+        top, all_ = [Counter() for _ in lam], [Counter() for _ in lam]
+        for t in range(len(p[0])):
+            at = [0] + [b[k - 1][t] for k in range(1, order)]
+            level = [lam[0][0] * p[0][t] + (1 - lam[0][0]) * p0]
+            for k in range(1, order):
+                level.append(lam[k][at[k]] * p[k][t] + (1 - lam[k][at[k]]) * level[-1])
+            w = 1.0
+            for k in range(order - 1, -1, -1):
+                share = w * lam[k][at[k]] * p[k][t] / level[k]
+                top[k][at[k]] += share
+                all_[k][at[k]] += w
+                w -= share
+        lam = [{a: min(top[k][a] / all_[k][a], 1 - 1e-6) if all_[k][a] > 0 else v for a, v in lam[k].items()} for k in range(order)]
+    return lam
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_binned_weights_score_nearly_as_those_of_the_estimates_themselves(order):
+    r = np.random.default_rng(order)
+    n, p0 = 3000, 1e-4
+    b = [r.integers(0, 8, n) for _ in range(order - 1)]
+    p = [10 ** r.uniform(-5, -1, n)] + [np.where(r.random(n) < 0.3 + 0.08 * x, 10 ** r.uniform(-3, 0, n), 0) for x in b]
+    key = np.zeros(n, np.int64)
+    for x in reversed(b):
+        key = key << 4 | x
+    for x in reversed(p):
+        key = key << 6 | lm.quantise(x)
+    u, c = np.unique(key, return_counts=True)
+    binned = lm.learn(u, c, order, p0)
+    exact = exact_em(p, b, order, p0)
+    exact = [np.array([v[k] for k in sorted(v)]) for v in exact]
+    score = lambda lam: np.log10(lm.interpolate(p, b, lam, p0)).mean()
+    assert score(exact) - score(binned) < 0.001  # log10 a token
+    assert all(abs(x - y).max() < 0.06 for x, y in zip(binned, exact))
+
+
+def test_only_held_out_rows(spark):
+    ids = [i for i in range(60) if held(i)]
+    got = lm.score(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(4, 0, 0, 0.0, 0.0)}
+
+
 def test_weights_find_the_better_estimate():
     r = np.random.default_rng(0)
     x = r.integers(1, 20, 500) | r.integers(10, 30, 500) << 6 | r.integers(1, 16, 500) << 12

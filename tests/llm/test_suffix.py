@@ -64,6 +64,7 @@ def test_stretches_of_a_block_are_parted_by_bytes(monkeypatch):
         docs += docs[:4]
         row = {"ids": np.arange(16)[::-1].astype(np.int64).tobytes(), "lens": np.array(list(map(len, docs))).tobytes(), "text": b"".join(docs)}
         length = int(r.choice([6, 30]))
+        row["anchors"] = suffix.pack_anchors(np.frombuffer(row["text"], np.uint8), np.array(list(map(len, docs))), length)
         b = suffix.Block(row, length)
         n = len(b.keys()[0])
         x = b.stretches({0: suffix.struct.pack("<Q", n) + suffix.pack_bits(np.tile([True, False], n))})

@@ -22,6 +22,15 @@ def test_word_encoder():
         assert t.encode([x.encode() for x in part]) == want
 
 
+def test_word_encoder_tells_chunks_apart_by_bytes(monkeypatch):
+    t = tokens.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens.Hashed, "of", lambda self, s, e: (e - s).astype(np.uint64) % np.uint64(3))
+    all_ = texts(300, 5)
+    for lo in range(0, len(all_), 60):
+        part = all_[lo : lo + 60]
+        assert t.encode([x.encode() for x in part]) == [np.array(e.ids, t.dtype).tobytes() for e in t.t.encode_batch(part, add_special_tokens=False)]
+
+
 def test_other_tokenizers_are_refused(tmp_path):
     from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
