@@ -21,8 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text has the score of an empty text; rows with equal texts have equal
     scores, so repeated rows stay or go together; without labels nothing reaches 0.7 and all go.
     """
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), label="quality", threshold=0.7)
-    return common.match(docs, scored.filter("predicted = 1").select("doc_id", "text_hash"), "left_semi")
+    return quality.keep(docs, table(spark, sf_dir, "labels"), label="quality", threshold=0.7)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items. Null and empty texts hold none and stay; an empty benchmark drops nothing."""
-    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return common.match(docs, hits.select("doc_id", "text_hash"), "left_anti")
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), common.staged()
     for name, stage in STAGES[:-1]:
-        docs, _ = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_staged(since=before, but=[path])  # what the stage needed, and its predecessor's rows
     return STAGES[-1][1](spark, docs, sf_dir)
