@@ -31,14 +31,26 @@ def ws_split(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS}+"), lambda x: x != "")
 
 
+#: Characters that compatibility composition leaves as they are, whatever is beside them; the Arabic marks among them are dropped anyway.
+STABLE = (
+    "\u0000-\u007f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    "\u0400-\u0482\u048a-\u052f\u0600-\u060f\u061b-\u064a\u064b-\u0652\u0660-\u0674\u0679-\u06d3\u06d5"
+    "\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039-\u203b\u3001-\u3029\u3030-\u3035\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+)
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(s):  # noqa: ANN001, ANN201
-    """Compatibility composition, which Spark lacks."""
+def _nfkc(s):  # noqa: ANN001, ANN201
     return s.str.normalize("NFKC")
 
 
-def normalize_arabic(c: Column, compatibility: bool = False, lower: bool = True) -> Column:
-    """Fold Arabic letter variants, drop diacritics, turn non-word characters to single spaces."""
+def nfkc(c: Column) -> Column:
+    """Compatibility composition, which Spark lacks. Only texts with a character outside STABLE have to go to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
+
+
+def normalize_arabic(c: Column, compatibility: bool = True, lower: bool = True) -> Column:
+    """Compatibility composition, Arabic letter variants folded, diacritics dropped, non-word characters turned to single spaces."""
     c = nfkc(c) if compatibility else c
     c = F.translate(F.regexp_replace(c, DIACRITICS, ""), "أإآىة", "ااايه")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
@@ -55,7 +67,7 @@ def overlap_f1(left: Column, right: Column) -> Column:
     return F.when(both > 0, 2.0 * both / (F.size(left) + F.size(right))).otherwise(0.0)
 
 
-def token_f1(left: Column, right: Column, compatibility: bool = False, lower: bool = True) -> Column:
+def token_f1(left: Column, right: Column, compatibility: bool = True, lower: bool = True) -> Column:
     bag = lambda c: F.array_distinct(words(normalize_arabic(text_or_empty(c), compatibility, lower)))
     return overlap_f1(bag(left), bag(right))
 
@@ -81,14 +93,18 @@ def forms(token: Column) -> Column:
 def token_coverage(answer: Column, gold: Column) -> Column:
     """The largest share of a variant's tokens of which the answer holds a form."""
     known = F.flatten(F.transform(words(normalize_arabic(answer)), forms))
-    variants = F.transform(gold_variants(gold), lambda v: F.array_distinct(words(normalize_arabic(v))))
-    shares = F.transform(F.filter(variants, lambda v: F.size(v) > 0), lambda v: F.size(F.filter(v, lambda t: F.arrays_overlap(forms(t), known))) / F.size(v))
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
+    # variants part before composition, which goes to Python and so can't be inside a lambda; nothing composes across \x02
+    composed = F.split(nfkc(F.array_join(gold_variants(gold), "\x02")), "\x02")
+    variants = F.transform(composed, lambda v: F.array_distinct(words(normalize_arabic(v, compatibility=False))))
+    # both sides go in as arguments: a lambda can't hold what comes from Python
+    share = lambda v, k: F.size(F.filter(v, lambda t: F.arrays_overlap(forms(t), k))) / F.size(v)
+    best = lambda s: F.array_max(F.transform(F.filter(s["v"], lambda v: F.size(v) > 0), lambda v: share(v, s["k"])))
+    return F.coalesce(F.transform(F.array(F.struct(known.alias("k"), variants.alias("v"))), best)[0], F.lit(0.0))
 
 
 def heavy_foreign_script(c: Column, least: int = 3, density: float = 0.1) -> Column:
     foreign, letters = F.regexp_count(c, F.lit(CJK)), F.regexp_count(c, F.lit(r"\p{L}"))
-    return (letters > 0) & (foreign >= least) & (foreign >= density * letters)
+    return c.rlike(CJK) & (letters > 0) & (foreign >= least) & (foreign >= density * letters)  # most texts have none, and aren't counted
 
 
 def heavy_repetition(normalized: Column, repeats: int = 4) -> Column:
@@ -144,8 +160,8 @@ def qc_flags(source: Column, candidate: Column, back: Column, drift_below: float
 
 
 def fixed(c: Column, places: int) -> Column:
-    """Text of a number with ties to even, as Python's format gives it."""
-    return F.format_string(f"%.{places}f", F.bround(c, places))
+    """Text of a number, rounded by its exact binary value as Python's format does; null of null."""
+    return F.replace(F.format_number(c, places), F.lit(","), F.lit(""))
 
 
 def cosine(a: Column, b: Column) -> Column:

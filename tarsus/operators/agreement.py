@@ -34,45 +34,63 @@ def confusion_counts(df: DataFrame, truth: str, predicted: str, classes: Sequenc
 def kappa_multi(df: DataFrame, left: str, right: str, classes: Sequence = CLASSES) -> DataFrame:
     t = confusion_counts(df.filter(F.col(left).isin(*classes) & F.col(right).isin(*classes)), left, right, classes)
     cell = lambda a, b: F.col(f"n_{a}__{b}")
-    total = lambda cs: sum(cs[1:], cs[0])
-    n = F.col("n")
-    po = F.try_divide(total([cell(c, c) for c in classes]), n)
-    pe = total([F.try_divide(total([cell(c, b) for b in classes]), n) * F.try_divide(total([cell(a, c) for a in classes]), n) for c in classes])
-    k = F.when(F.abs(1 - pe) < 1e-12, F.when(F.abs(po - 1) < 1e-12, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe))
-    return t.select("n", po.alias("raw_agreement"), F.when(n > 0, k).alias("kappa"))
+    right_ones = sum((cell(c, c) for c in classes[1:]), cell(classes[0], classes[0]))
+    return t.select("n", F.try_divide(right_ones, F.col("n")).alias("raw_agreement"), _kappa(cell, F.col("n"), classes).alias("kappa"))
 
 
 def class_metrics(df: DataFrame, truth: str, predicted: str, classes: Sequence = CLASSES) -> DataFrame:
-    """A row a class: support, precision, recall, f1 (0 on empty denominators); accuracy, macro_f1 and weighted_f1 over all classes."""
+    """A row a class: support, precision, recall, f1 (0 on empty denominators); accuracy, and macro and weighted means over all classes."""
     t = confusion_counts(df, truth, predicted, classes)
     cell = lambda a, b: F.col(f"n_{a}__{b}")
     total = lambda cs: sum(cs[1:], cs[0])
-    rows, f1s, supports = [], [], []
+    rows, by, supports = [], {"precision": [], "recall": [], "f1": []}, []
     for c in classes:
         support, named, hit = total([cell(c, b) for b in classes]), total([cell(a, c) for a in classes]), cell(c, c)
         p, r = _ratio(hit, named), _ratio(hit, support)
         f1 = _ratio(2 * p * r, p + r)
-        f1s.append(f1)
+        for n, v in zip(by, (p, r, f1)):
+            by[n].append(v)
         supports.append(support)
         rows.append(F.struct(F.lit(str(c)).alias("label"), support.alias("support"), p.alias("precision"), r.alias("recall"), f1.alias("f1")))
-    out = t.select("n", _ratio(total([cell(c, c) for c in classes]), F.col("n")).alias("accuracy"), (total(f1s) / len(classes)).alias("macro_f1"), _ratio(total([f * s for f, s in zip(f1s, supports)]), total(supports)).alias("weighted_f1"), F.explode(F.array(*rows)).alias("m"))
-    return out.select("m.*", "accuracy", "macro_f1", "weighted_f1")
+    means = [c for n, v in by.items() for c in ((total(v) / len(classes)).alias(f"macro_{n}"), _ratio(total([x * w for x, w in zip(v, supports)]), total(supports)).alias(f"weighted_{n}"))]
+    out = t.select("n", _ratio(total([cell(c, c) for c in classes]), F.col("n")).alias("accuracy"), *means, F.explode(F.array(*rows)).alias("m"))
+    return out.select("m.*", "accuracy", *(f"{k}_{n}" for n in by for k in ("macro", "weighted")))
+
+
+def _kappa(cell, n: Column, classes: Sequence) -> Column:
+    """Cohen's kappa of counted cells; 1 or 0 where chance alone agrees fully, null of no rows."""
+    total = lambda cs: sum(cs[1:], cs[0])
+    po = F.try_divide(total([cell(c, c) for c in classes]), n)
+    pe = total([F.try_divide(total([cell(c, b) for b in classes]), n) * F.try_divide(total([cell(a, c) for a in classes]), n) for c in classes])
+    return F.when(n > 0, F.when(F.abs(1 - pe) < 1e-12, F.when(F.abs(po - 1) < 1e-12, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe)))
 
 
-def agreement_summary(keyed: DataFrame, a: DataFrame, b: DataFrame, adjudicated: DataFrame, truth: str = "predicted") -> DataFrame:
-    """One row for a packet: coverage of double labels, agreement, adjudications, and the pipeline against the consensus.
+def agreement_summary(keyed: DataFrame, a: DataFrame, b: DataFrame, adjudicated: DataFrame | None = None, truth: str = "predicted", classes: Sequence = CLASSES) -> DataFrame:
+    """One row for a packet, from one aggregation: coverage of double labels, agreement and four kappas, and the pipeline against people.
 
-    ``keyed`` (sample_id, predicted), ``a``, ``b`` and ``adjudicated`` (sample_id, label). The
-    consensus is the common label, or the adjudicated one where there is none.
+    ``keyed`` (sample_id, predicted), ``a``, ``b`` and ``adjudicated`` (sample_id, label). Rows
+    with both labels count. What people say is the label both gave; with ``adjudicated`` it is the
+    adjudicated label of the rows that have one, and of those alone. Kappas are between the
+    raters, the pipeline and each rater, and the pipeline and the label both gave.
     """
     one = lambda d, n: d.filter("label is not null").select("sample_id", F.col("label").alias(n))
-    j = keyed.join(one(a, "label_a"), "sample_id", "left").join(one(b, "label_b"), "sample_id", "left").join(one(adjudicated, "label_j"), "sample_id", "left")
-    both = F.col("label_a").isNotNull() & F.col("label_b").isNotNull()
-    same = both & (F.col("label_a") == F.col("label_b"))
-    consensus = F.when(both, F.coalesce(F.when(same, F.col("label_a")), F.col("label_j")))
-    right = consensus.isNotNull() & (consensus == F.col(truth))
-    t = j.agg(F.count("*").alias("n_keyed"), F.count_if(both).alias("n_double"), F.count_if(same).alias("n_agree"), F.count_if(both & ~same & F.col("label_j").isNotNull()).alias("n_adjudicated"), F.count_if(consensus.isNotNull()).alias("n_consensus"), F.count_if(right).alias("n_right"))
-    return t.withColumns({"coverage": F.try_divide("n_double", "n_keyed"), "raw_agreement": F.try_divide("n_agree", "n_double"), "consensus_accuracy": F.try_divide("n_right", "n_consensus")})
+    j = keyed.join(one(a, "label_a"), "sample_id", "left").join(one(b, "label_b"), "sample_id", "left")
+    j = j.join(one(adjudicated, "label_j"), "sample_id", "left") if adjudicated is not None else j
+    x, y, said = F.col("label_a"), F.col("label_b"), F.col(truth)
+    both = x.isNotNull() & y.isNotNull()
+    same = both & (x == y)
+    human = F.when(both, F.col("label_j")) if adjudicated is not None else F.when(same, x)
+    sides = {"raters": (both, x, y), "a": (both, said, x), "b": (both, said, y), "agreed": (same, said, x)}
+    cells = [F.count_if(ok & (l == p) & (r == q)).alias(f"{n}__{p}__{q}") for n, (ok, l, r) in sides.items() for p in classes for q in classes]
+    t = j.agg(F.count("*").alias("n_keyed"), F.count_if(both).alias("n_double"), F.count_if(same).alias("n_agree"), F.count_if(human.isNotNull()).alias("n_consensus"), F.count_if(human == said).alias("n_right"), *cells)
+    kappas = {}
+    for n, name in zip(sides, ("inter_annotator_kappa", "automatic_vs_a_kappa", "automatic_vs_b_kappa", "automatic_vs_consensus_kappa")):
+        cell = lambda p, q, n=n: F.col(f"{n}__{p}__{q}")
+        kappas[name] = _kappa(cell, F.col("n_agree" if n == "agreed" else "n_double"), classes)
+    return t.select(
+        "n_keyed", "n_double", "n_agree", (F.col("n_double") - F.col("n_agree")).alias("n_requires_adjudication"), "n_consensus", "n_right",
+        F.try_divide("n_double", "n_keyed").alias("coverage"), F.try_divide("n_agree", "n_double").alias("raw_agreement"), F.try_divide("n_right", "n_consensus").alias("consensus_accuracy"), *(c.alias(n) for n, c in kappas.items()),
+    )
 
 
 def binary_metrics(df: DataFrame, label: str, predicted: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -45,17 +45,18 @@ def budgets(first: int, most: int) -> Iterator[int]:
     yield most
 
 
-def call(client: Client, model: str, turns: list[dict], first: int = 2048, most: int = 4096, retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """One answer; empty ones are asked again with a larger budget, failures after exponentially longer waits."""
+def call(client: Client, model: str, turns: list[dict], first: int = 2048, most: int = 4096, retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str]:
+    """One answer and the model that gave it; empty ones are asked again with a larger budget, failures after exponentially longer waits."""
     tokens = list(budgets(first, most))
     failure: Exception | None = None
     for k in range(retries):
         try:
             for n in tokens:
-                answer = client(model, turns, n)
+                got = client(model, turns, n)
+                answer, by = got if isinstance(got, tuple) else (got, model)
                 if answer.strip():
-                    return answer
-            return ""
+                    return answer.strip(), by
+            return "", by
         except Exception as e:  # noqa: BLE001 - any provider's error is retried
             failure = e
             if k + 1 < retries:
@@ -64,14 +65,17 @@ def call(client: Client, model: str, turns: list[dict], first: int = 2048, most:
 
 
 def generate(todo: DataFrame, client_factory: Callable[[], Client], retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """Rows of ``todo`` (with ``messages`` and, for a pivot, ``pivot_messages``) with answer, pivot_question, error and timestamp.
+    """Rows of ``todo`` (with ``messages`` and, for a pivot, ``pivot_messages``) with answer, pivot_question, resolved_model_id, pivot_model_id, error and timestamp.
 
     The client is made once for each task. A row that fails for good keeps its error text (300
     characters) and no answer, so a later run tries it again. A pivot question is asked for
-    first and takes the place of the last user turn.
+    first and takes the place of the last user turn. A client returns a text, or a text and the
+    name of the model that gave it. ``model`` is the name asked for, or ``model_id`` where there is one.
     """
     pivots = "pivot_messages" in todo.columns
-    schema = todo.drop("messages", "pivot_messages").schema.add("answer", "string").add("pivot_question", "string").add("error", "string")
+    schema = todo.drop("messages", "pivot_messages").schema
+    for n in ("answer", "pivot_question", "resolved_model_id", "pivot_model_id", "error"):
+        schema = schema.add(n, "string")
 
     def run(batches):
         import pandas as pd
@@ -80,15 +84,16 @@ def generate(todo: DataFrame, client_factory: Callable[[], Client], retries: int
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                turns, pivot, answer, error = [dict(m) for m in row["messages"]], "", "", ""
+                turns, pivot, by, answer, of, error = [dict(m) for m in row["messages"]], "", "", "", "", ""
+                asked = row.get("model_id") or row["model"]
                 try:
                     if pivots and row.get("pivot_messages") is not None:
-                        pivot = call(client, row["model"], [dict(m) for m in row["pivot_messages"]], retries=retries, wait=wait)
+                        pivot, by = call(client, asked, [dict(m) for m in row["pivot_messages"]], retries=retries, wait=wait)
                         turns[-1]["content"] = pivot
-                    answer = call(client, row["model"], turns, retries=retries, wait=wait)
+                    answer, of = call(client, asked, turns, retries=retries, wait=wait)
                 except Exception as e:  # noqa: BLE001
                     error = str(e)[:300]
-                out.append({k: v for k, v in row.items() if k not in ("messages", "pivot_messages")} | {"answer": answer, "pivot_question": pivot, "error": error})
+                out.append({k: v for k, v in row.items() if k not in ("messages", "pivot_messages")} | {"answer": answer, "pivot_question": pivot, "resolved_model_id": of, "pivot_model_id": by, "error": error})
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return todo.mapInPandas(run, schema).withColumn("timestamp", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))

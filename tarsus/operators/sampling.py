@@ -12,8 +12,8 @@ from . import ranks
 
 
 def shuffled(seed: int, *cols: str) -> Column:
-    """A reproducible random order that doesn't depend on partitions."""
-    return F.xxhash64(F.lit(seed), *cols)
+    """A reproducible random order that doesn't depend on partitions, and that other engines can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 
 def _slots(strata: DataFrame, cost: Column, ties: list[Column], size: int, by: Sequence[str] = ()) -> DataFrame:

@@ -15,10 +15,62 @@ EPOCH_FIELDS = {"loss": "train_loss", "learning_rate": "learning_rate", "grad_no
 VARIANTS = ("answer_only", "gold_answer", "question_gold_answer")
 
 
+class Judge(Protocol):
+    """A fitted classifier: rows (with text) get a column ``probability``; it is saved to and loaded from a folder."""
+
+    def score(self, rows: DataFrame) -> DataFrame: ...
+
+    def save(self, path: str) -> None: ...
+
+
 class Trainer(Protocol):
-    """Fine-tuning of a transformer; none is installed here, so only the interface is given."""
+    """Fits a judge on rows with text, label and weight. Transformers aren't installed here; TfidfTrainer stands in for them."""
+
+    def fit(self, train: DataFrame, validation: DataFrame) -> Judge: ...
+
+    def load(self, path: str) -> Judge: ...
+
+
+class TfidfJudge:
+    def __init__(self, model) -> None:  # noqa: ANN001
+        self.model = model
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        p = self.model.transform(rows.withColumn("__chars", char_grams(F.col("text"))))
+        return p.select(*rows.columns, vector_to_array("probability")[1].alias("probability"))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
 
-    def fit(self, train: DataFrame, validation: DataFrame, weights: dict[int, float] | None = None) -> object: ...
+
+class TfidfTrainer:
+    """The tf-idf baseline as a trainer."""
+
+    def __init__(self, min_df: int = 2, size: int = 60_000) -> None:
+        self.min_df, self.size = min_df, size
+
+    def fit(self, train: DataFrame, validation: DataFrame) -> TfidfJudge:  # noqa: ARG002 - it has no epochs to choose from
+        return TfidfJudge(tfidf_pipeline(self.min_df, self.size).fit(train.withColumn("__chars", char_grams(F.col("text")))))
+
+    def load(self, path: str) -> TfidfJudge:
+        from pyspark.ml import PipelineModel
+
+        return TfidfJudge(PipelineModel.load(path))
+
+
+def judge_text(rows: DataFrame, variant: str) -> DataFrame:
+    """Rows with ``text``: what a judge of this variant sees of question, gold_answer and answer."""
+    from ..functions.labels import judge_input
+
+    pair = judge_input(variant, F.col("question"), F.col("gold_answer"), F.col("answer"))
+    return rows.withColumn("text", F.trim(F.concat_ws("\n", pair["context"], pair["answer"])))
+
+
+def weighted(rows: DataFrame, balanced: bool) -> DataFrame:
+    """Rows with ``weight``: that of their class, or 1."""
+    return rows.join(F.broadcast(agreement.class_weights(rows, "label").select("label", "weight")), "label") if balanced else rows.withColumn("weight", F.lit(1.0))
 
 
 class TextMetric(Protocol):
@@ -69,13 +121,7 @@ def tfidf_pipeline(min_df: int = 2, size: int = 60_000):
 
 def tfidf_fold(rows: DataFrame, train, test) -> DataFrame:
     """accuracy, f1 and roc_auc of the baseline on one fold; rows have text and label."""
-    from pyspark.ml.functions import vector_to_array
-
-    d = rows.withColumn("__chars", char_grams(F.col("text")))
-    tr = d.filter(train)
-    w = agreement.class_weights(tr, "label").select("label", "weight")
-    model = tfidf_pipeline().fit(tr.join(F.broadcast(w), "label"))
-    p = model.transform(d.filter(test)).select("label", vector_to_array("probability")[1].alias("p"))
+    p = TfidfTrainer().fit(weighted(rows.filter(train), True), rows.filter(test)).score(rows.filter(test)).select("label", F.col("probability").alias("p"))
     m = agreement.binary_metrics(p, "label", F.col("p") >= 0.5).select("accuracy", "precision", "recall", "f1")
     return m.crossJoin(agreement.roc_auc(p, "label", "p"))  # two single rows
 
@@ -83,7 +129,7 @@ def tfidf_fold(rows: DataFrame, train, test) -> DataFrame:
 def tfidf_cv(rows: DataFrame, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """A row a fold, groups kept whole."""
     f = sampling.grouped_folds(rows, group, "label", folds, seed)
-    d = rows.join(f, group)
+    d = rows.join(f, group).persist()  # every fold reads all of them; it is released with the session
     out = None
     for k in range(folds):
         one = tfidf_fold(d, F.col("fold") != k, F.col("fold") == k).withColumn("fold", F.lit(k))

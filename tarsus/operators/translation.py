@@ -52,13 +52,13 @@ def hard_filter(bt: Column, state: Column, min_back: float = 0.4) -> Column:
     return (F.coalesce(bt < min_back, F.lit(False)) & (state != "rewritten")) | (state == "dropped")
 
 
-def finalize_metrics(rows: DataFrame, min_back: float = 0.4) -> DataFrame:
-    """The summary of a reviewed set: rates over reviewed rows, distance over kept ones, edits over rewritten ones."""
+def finalize_metrics(rows: DataFrame, min_back: float = 0.4, seq: str = "qid") -> DataFrame:
+    """The summary of a reviewed set: rates over reviewed rows, distance over kept ones, edits over rewritten ones, the sub-variety of the first (by ``seq``)."""
     seen, kept, rewritten = F.col("state") != "unreviewed", ~F.col("excluded"), F.col("state") == "rewritten"
     n = F.count_if(seen)
     when = lambda c, v: F.when(c, F.col(v))
     return rows.agg(
-        n.alias("n_reviewed"), F.count_if(~seen).alias("n_unreviewed"),
+        F.coalesce(F.min_by("sub_variety", F.when(seen, F.col(seq))), F.lit("")).alias("sub_variety"), n.alias("n_reviewed"), F.count_if(~seen).alias("n_unreviewed"),
         F.bround(F.try_divide(F.count_if(F.col("state") == "approved"), n), 3).alias("acceptance_rate"), F.bround(F.try_divide(F.count_if(rewritten), n), 3).alias("rewrite_rate"),
         F.bround(F.avg(when(rewritten, "edit")), 3).alias("mean_edit_distance_on_rewrites"), F.bround(F.avg(when(seen, "bt")), 3).alias("mean_backtrans_similarity"),
         F.bround(F.avg(when(seen & kept, "dd")), 3).alias("mean_dialect_distance"), F.bround(F.avg(when(seen, "fluency")), 2).alias("mean_fluency_1_5"),

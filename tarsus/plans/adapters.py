@@ -9,7 +9,6 @@ of ``conversations`` are questions and answers; a document's share of a length i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import canonical
@@ -22,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if they come in fewer partitions than there are cores, as those of a single small file do; for work that costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The append log: qid, variety, condition, model, seq, value, ok, decision, degeneration_reasons."""
     e = table(spark, sf_dir, "events")
@@ -58,7 +63,3 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = canonical_generations(spark, sf_dir)
     p = F.when(F.col("decision") != "degeneration", F.least(F.lit(1.0), F.round(F.col("value") / 70.0, 3)))
     return g.withColumn("p", p).withColumn("threshold", F.lit(0.5))
-
-
-def first_turns(df: DataFrame) -> DataFrame:
-    return df.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).filter("r = 1").drop("r")

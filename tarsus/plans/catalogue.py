@@ -75,7 +75,7 @@ def decision_rollup(spark, d):
 
 
 def normalize_text(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", text.normalize_arabic(text.text_or_empty("text")).alias("normalized"))
+    return A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_arabic(text.text_or_empty("text")).alias("normalized"))
 
 
 def token_f1_turns(spark, d):
@@ -88,7 +88,7 @@ def token_coverage_turns(spark, d):
 
 def layer1_route(spark, d):
     reasons = text.degeneration_reasons(text.text_or_empty("text"), F.lit(""))
-    return A.table(spark, d, "documents").select("doc_id", F.array_join(reasons, "|").alias("reasons"), F.when(F.size(reasons) > 0, "degeneration").otherwise("defer").alias("decision"))
+    return A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(reasons, "|").alias("reasons"), F.when(F.size(reasons) > 0, "degeneration").otherwise("defer").alias("decision"))
 
 
 def reason_counts(spark, d):
@@ -122,7 +122,7 @@ def kappa_multi(spark, d):
 
 def audit_metrics(spark, d):
     t = agreement.class_metrics(_classes(spark, d), "truth", "pred")
-    return t.select("label", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1", "weighted_f1")))
+    return t.select("label", "support", *(F.round(c, 6).alias(c) for c in t.columns[2:]))
 
 
 def agreement_summary(spark, d):
@@ -131,8 +131,9 @@ def agreement_summary(spark, d):
     a = t.select("sample_id", cls("quality").alias("label"))
     b = t.filter("doc_id % 5 <> 0").select("sample_id", F.when(F.col("toxic") == 1, "factual_hallucination").otherwise("clean").alias("label"))
     j = t.filter("doc_id % 2 = 0").select("sample_id", cls("quality").alias("label"))
-    out = agreement.agreement_summary(t.select("sample_id", F.when(F.col("doc_id") % 7 == 0, "factual_hallucination").otherwise("clean").alias("predicted")), a, b, j)
-    return out.select("n_keyed", "n_double", "n_agree", "n_adjudicated", "n_consensus", "n_right", *(F.round(c, 6).alias(c) for c in ("coverage", "raw_agreement", "consensus_accuracy")))
+    said = t.select("sample_id", F.when(F.col("doc_id") % 7 == 0, "factual_hallucination").otherwise("clean").alias("predicted"))
+    rounded = lambda x: x.select(*(F.round(c, 6).alias(c) if k == "double" else c for c, k in x.dtypes))
+    return rounded(agreement.agreement_summary(said, a, b, j).withColumn("adjudicated", F.lit(True))).unionByName(rounded(agreement.agreement_summary(said, a, b).withColumn("adjudicated", F.lit(False))))
 
 
 def threshold_sweep(spark, d):
@@ -191,7 +192,7 @@ def _strata(spark, d):
 
 LAYERED = GEN + """,
 lay AS (SELECT *, CASE WHEN decision <> 'degeneration' THEN least(1.0, round(value / 70.0, 3)) END AS p FROM canon),
-strata AS (SELECT variety, CASE decision WHEN 'degeneration' THEN 'layer1_degeneration' WHEN 'clean' THEN 'layer2_clean' ELSE 'layer2_hallucination' END AS audit_route,
+strata AS (SELECT qid, variety, CASE decision WHEN 'degeneration' THEN 'layer1_degeneration' WHEN 'clean' THEN 'layer2_clean' ELSE 'layer2_hallucination' END AS audit_route,
   CASE WHEN p IS NULL THEN 'not_applicable' WHEN abs(p - 0.5) <= 0.05 THEN 'near_0.05' WHEN abs(p - 0.5) <= 0.2 THEN 'near_0.20' ELSE 'far' END AS threshold_band, model, decision, CASE WHEN p IS NULL THEN 'layer1' ELSE 'layer2' END AS route FROM lay)"""
 
 
@@ -209,11 +210,6 @@ def audit_sample(spark, d):
 
 
 def layer3_allocation(spark, d):
-    s = _strata(spark, d).filter("variety <> 'msa'").groupBy("model", "decision", "route").agg(F.count("*").alias("n"))
-    return sampling.layer3_allocation(s, 60)
-
-
-def layer3_allocation_dialects(spark, d):
     keys = ["variety", "model", "decision", "route"]
     s = _strata(spark, d).filter("variety <> 'msa'").groupBy(*keys).agg(F.count("*").alias("n"))
     return sampling.layer3_allocation(s, 150, by=["variety"])
@@ -222,7 +218,7 @@ def layer3_allocation_dialects(spark, d):
 def layer3_sample(spark, d):
     s = _strata(spark, d).filter("variety <> 'msa'")
     keys = ["variety", "model", "decision", "route"]
-    alloc = layer3_allocation_dialects(spark, d)
+    alloc = layer3_allocation(spark, d)
     t = sampling.take_allocated(s, alloc, keys, sampling.shuffled(42, "qid", "model"))
     return sampling.sample_ids(t, F.col("variety"), sampling.shuffled(43, "qid", "model"), ["variety"]).select("sample_id", *keys, "qid")
 
@@ -243,28 +239,17 @@ def group_ids(spark, d):
 
 
 def edit_distance(spark, d):
-    # DuckDB counts bytes where Spark counts characters, so both compare the ASCII characters of equal openings
-    ascii_ = lambda c: F.regexp_replace(F.lower(F.substring(c, 1, 120)), "[^ -~]", "")
-    t = A.turns(spark, d).select("conv_id", "turn", ascii_("question").alias("a"), ascii_("answer").alias("b"))
-    return t.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"))
-
-
-def edit_distance_turns(spark, d):
-    """Of whole questions and answers; no SQL, as DuckDB counts bytes."""
     return A.turns(spark, d).select("conv_id", "turn", F.round(text.edit_distance(text.text_or_empty("question"), text.text_or_empty("answer")), 6).alias("distance"))
 
 
-def _candidates(spark, d, first=True):
-    """The first turn pair of each conversation, as the SQL of the older queries has it, or every one, by conv_id-turn."""
-    t = A.turns(spark, d)
-    t = A.first_turns(t).withColumn("qid", F.col("conv_id")) if first else t.withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
-    return t.select("qid", "conv_id", F.col("question").alias("question_msa"), F.col("answer").alias("dialect_candidate"), F.when(F.col("conv_id") % 3 != 0, F.concat("question", F.lit(" "), "answer")).otherwise("").alias("backtranslation_msa"), F.lit("gold").alias("gold_answer"), F.lit("").alias("sub_variety"))
+def _candidates(spark, d):
+    """Every turn pair as a translation candidate, by conv_id-turn."""
+    t = A.turns(spark, d).withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
+    return t.select("qid", "conv_id", F.col("question").alias("question_msa"), F.col("answer").alias("dialect_candidate"), F.when(F.col("conv_id") % 3 != 0, F.concat("question", F.lit(" "), "answer")).otherwise("").alias("backtranslation_msa"), F.lit("gold").alias("gold_answer"), F.concat(F.lit("s"), F.col("conv_id") % 7).alias("sub_variety"))
 
 
 CAND = r"""turns AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
-cand AS (SELECT conv_id AS qid, question, answer, CASE WHEN conv_id % 3 <> 0 THEN question || ' ' || answer ELSE '' END AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM turns) WHERE rn = 1)"""
-CAND_TURNS = CAND.partition(",\ncand AS")[0] + """,
-cand AS (SELECT conv_id || '-' || turn AS qid, conv_id, question, answer, CASE WHEN conv_id % 3 <> 0 THEN question || ' ' || answer ELSE '' END AS back FROM turns)"""
+cand AS (SELECT conv_id || '-' || turn AS qid, conv_id, question, answer, CASE WHEN conv_id % 3 <> 0 THEN question || ' ' || answer ELSE '' END AS back, 's' || conv_id % 7 AS sub FROM turns)"""
 
 
 def _norm(x: str) -> str:
@@ -286,69 +271,52 @@ flg AS (SELECT *, list_filter([CASE WHEN bt < 0.5 THEN 'MEANING_DRIFT' END, CASE
   CASE WHEN regexp_matches(answer, '[A-Za-z]{{3,}}') THEN 'LATIN_TEXT' END], lambda w: w IS NOT NULL) AS flags FROM chk)"""
 
 
-CHECKED_TURNS = CHECKED.replace(CAND, CAND_TURNS)
+def qc_flags(spark, d):
+    return translation.check(_candidates(spark, d)).select("qid", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), F.array_join("flags", "|").alias("flags"))
 
 
-def qc_flags(spark, d, first=True):
-    return translation.check(_candidates(spark, d, first)).select("qid", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), F.array_join("flags", "|").alias("flags"))
+def qc_flag_counts(spark, d):
+    return translation.flag_counts(translation.check(_candidates(spark, d)))
 
 
-def qc_flag_counts(spark, d, first=True):
-    return translation.flag_counts(translation.check(_candidates(spark, d, first)))
-
-
-def qc_summary(spark, d, first=True):
-    t = translation.check_summary(translation.check(_candidates(spark, d, first)))
+def qc_summary(spark, d):
+    t = translation.check_summary(translation.check(_candidates(spark, d)))
     return t.select("n", F.round("mean_bt", 6).alias("mean_bt"), F.round("mean_dd", 6).alias("mean_dd"), "n_flagged")
 
 
-def _reviewed(spark, d, first=True):
-    c = _candidates(spark, d, first)
+def _reviewed(spark, d):
+    c = _candidates(spark, d)
     k = F.col("conv_id") % 5
     sheet = c.select("qid", F.when(k == 0, "approve").when(k == 1, " Rewrite").when(k == 2, "DROP").when(k == 3, "").otherwise("A").alias("APPROVE_or_REWRITE"), F.when(k == 1, F.concat(F.lit("new "), "dialect_candidate")).otherwise("").alias("your_rewrite"), F.when(k == 0, "4").when(k == 1, "x").otherwise("0").alias("fluency_1_5"))
     return translation.reviewed(c, sheet, 0.4)
 
 
-def finalize_filter(spark, d, first=True):
-    return _reviewed(spark, d, first).select("qid", "state", "excluded", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), "fluency")
-
-
-REVIEW = CAND + f""",
-rev AS (SELECT qid, question, answer, CASE WHEN qid % 5 IN (0, 4) THEN 'approved' WHEN qid % 5 = 1 THEN 'rewritten' WHEN qid % 5 = 2 THEN 'dropped' ELSE 'unreviewed' END AS state,
-  CASE WHEN qid % 5 = 1 THEN 'new ' || answer ELSE answer END AS final, CASE WHEN back <> '' THEN {_f1("question", "back")} END AS bt, CASE WHEN qid % 5 = 0 THEN 4.0::DOUBLE END AS fluency FROM cand),
-fin AS (SELECT *, {_f1("question", "final")} AS dd, (coalesce(bt < 0.4, false) AND state <> 'rewritten') OR state = 'dropped' AS excluded FROM rev)"""
-
-
-REVIEW_TURNS = REVIEW.replace(CAND, CAND_TURNS).replace("qid % 5", "conv_id % 5")
-
+def finalize_filter(spark, d):
+    return _reviewed(spark, d).select("qid", "state", "excluded", F.round("bt", 6).alias("bt"), F.round("dd", 6).alias("dd"), "fluency")
 
-def finalize_metrics(spark, d, first=True):
-    t = translation.finalize_metrics(_reviewed(spark, d, first))
-    return t.drop("mean_edit_distance_on_rewrites", "mean_backtrans_similarity", "mean_dialect_distance", "min_backtrans_threshold", "acceptance_rate", "rewrite_rate")
 
+def _distance(a: str, b: str) -> str:
+    """Levenshtein as a share of the longer. DuckDB counts bytes, so the other letters of the tables become capitals, which lower-cased texts don't have."""
+    plain = lambda x: f"translate({_norm(x)}, 'ßäçèéêëíïñóöúüáàâîôûœæ', 'ABCDEFGHIJKLMNOPQRSTUV')"
+    return f"(CASE WHEN greatest(length({_norm(a)}), length({_norm(b)})) = 0 THEN 0.0 ELSE levenshtein({plain(a)}, {plain(b)}) / greatest(length({_norm(a)}), length({_norm(b)})) END)"
 
-def finalize_means(spark, d):
-    return translation.finalize_metrics(_reviewed(spark, d, first=False))
 
-
-def qc_flags_turns(spark, d):
-    return qc_flags(spark, d, first=False)
-
-
-def qc_flag_counts_turns(spark, d):
-    return qc_flag_counts(spark, d, first=False)
+REVIEW = CAND + f""",
+rev AS (SELECT qid, sub, question, answer, CASE WHEN conv_id % 5 IN (0, 4) THEN 'approved' WHEN conv_id % 5 = 1 THEN 'rewritten' WHEN conv_id % 5 = 2 THEN 'dropped' ELSE 'unreviewed' END AS state,
+  CASE WHEN conv_id % 5 = 1 THEN trim('new ' || answer, ' ' || chr(10)) ELSE answer END AS final, CASE WHEN back <> '' THEN {_f1("question", "back")} END AS bt, CASE WHEN conv_id % 5 = 0 THEN 4.0::DOUBLE END AS fluency FROM cand),
+fin AS (SELECT *, {_f1("question", "final")} AS dd, (coalesce(bt < 0.4, false) AND state <> 'rewritten') OR state = 'dropped' AS excluded, CASE WHEN state = 'rewritten' THEN {_distance("answer", "final")} ELSE 0.0 END AS edit FROM rev)"""
 
 
-def qc_summary_turns(spark, d):
-    return qc_summary(spark, d, first=False)
+def finalize_metrics(spark, d):
+    return translation.finalize_metrics(_reviewed(spark, d))
 
 
-def finalize_filter_turns(spark, d):
-    return finalize_filter(spark, d, first=False)
+def final_arm(spark, d):
+    return translation.final_arm(_reviewed(spark, d), "gulf")
 
 
-def finalize_metrics_turns(spark, d):
-    return finalize_metrics(spark, d, first=False)
+def validation_sheet(spark, d):
+    return translation.validation_sheet(translation.check(_candidates(spark, d)))
 
 
 def cosine_pairs(spark, d):
@@ -417,8 +385,7 @@ def echo_generation(spark, d):
 QUERIES = {f.__name__: f for f in (
     canonical_generations, paired_hds, mcnemar_bh, headline_failure, percentile_ci, bootstrap_ci, bootstrap_ci_sequential, decision_rollup, normalize_text, token_f1_turns, token_coverage_turns, layer1_route, reason_counts, layer2_decisions,
     kappa_binary, kappa_multi, audit_metrics, agreement_summary, threshold_sweep, best_threshold, roc_auc, average_precision, binary_metrics, tag_recall, class_weights, fold_summary, router_against_labels,
-    audit_allocation, audit_sample, layer3_allocation, layer3_allocation_dialects, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, edit_distance_turns, qc_flags, qc_flag_counts, qc_summary, finalize_filter, finalize_metrics, finalize_means,
-    qc_flags_turns, qc_flag_counts_turns, qc_summary_turns, finalize_filter_turns, finalize_metrics_turns,
+    audit_allocation, audit_sample, layer3_allocation, layer3_sample, stratified_split, grouped_split, group_ids, edit_distance, qc_flags, qc_flag_counts, qc_summary, validation_sheet, finalize_filter, finalize_metrics, final_arm,
     cosine_pairs, todo_plan, first_per_variety, first_groups, variant_ranking, epoch_upsert, arm_seeds, scored_run, scored_run_checks, run_completeness, tfidf_cv, echo_generation,
 )}
 
@@ -428,11 +395,11 @@ _DRIFT = """SELECT model, variety, condition, n_paired_total, n_paired_factual,
   CASE WHEN n_paired_factual > 0 THEN round((ch + hh) / n_paired_factual - (hc + hh) / n_paired_factual, 6) END AS hds, CASE WHEN ch + hc + hh > 0 THEN round(hh / (ch + hc + hh), 6) END AS hallucination_iou, p AS mcnemar_exact_p, round(q, 6) AS mcnemar_bh_q FROM adj"""
 
 _REPEAT = "len(list_filter(range(1, len(w) - 4 * {k} + 2), lambda i: w[i:i + {k} - 1] = w[i + {k}:i + 2 * {k} - 1] AND w[i:i + {k} - 1] = w[i + 2 * {k}:i + 3 * {k} - 1] AND w[i:i + {k} - 1] = w[i + 3 * {k}:i + 4 * {k} - 1])) > 0"
-_LAYER1 = f"""WITH n AS (SELECT doc_id, text, list_filter(string_split({_norm("text")}, ' '), lambda x: x <> '') AS w FROM documents),
-  r AS (SELECT doc_id, list_filter([CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty_answer' END,
+_REASONS = f"""list_filter([CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty_answer' END,
     CASE WHEN length(regexp_replace(text, '[^\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}]', '', 'g')) >= greatest(3, 0.1 * length(regexp_replace(text, '[^\\pL]', '', 'g'))) THEN 'foreign_script_heavy' END,
     CASE WHEN regexp_matches(text, '(?i)(?:^|\\n)\\s*(?:assistant|user|system)\\s*:') THEN 'role_marker' END, CASE WHEN contains(text, '```') THEN 'code_fence' END,
-    CASE WHEN {_REPEAT.format(k=1)} OR {_REPEAT.format(k=2)} OR {_REPEAT.format(k=3)} THEN 'heavy_repetition' END], lambda x: x IS NOT NULL) AS reasons FROM n)"""
+    CASE WHEN {_REPEAT.format(k=1)} OR {_REPEAT.format(k=2)} OR {_REPEAT.format(k=3)} THEN 'heavy_repetition' END], lambda x: x IS NOT NULL)"""
+_LAYER1 = f"""WITH n AS (SELECT doc_id, text, list_filter(string_split({_norm("text")}, ' '), lambda x: x <> '') AS w FROM documents), r AS (SELECT doc_id, {_REASONS} AS reasons FROM n)"""
 _BIN = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r"
 _CONF = "count(*) FILTER (label = 0 AND NOT s) AS tn, count(*) FILTER (label = 0 AND s) AS fp, count(*) FILTER (label = 1 AND NOT s) AS fn, count(*) FILTER (label = 1 AND s) AS tp"
 _AUC = """au AS (SELECT p.lang, round(sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) / count(*), 6) AS roc_auc FROM sc p JOIN sc q ON p.lang = q.lang AND p.label = 1 AND q.label = 0 GROUP BY p.lang),
@@ -460,11 +427,16 @@ ORACLE_SQL = {
     "audit_metrics": f"""WITH {CLS}, k AS (SELECT unnest(['clean', 'factual_hallucination', 'degeneration']) AS label),
         c AS (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (pred = label) AS named, count(*) FILTER (truth = label AND pred = label) AS hit FROM k, cls GROUP BY label),
         m AS (SELECT *, CASE WHEN named = 0 THEN 0 ELSE hit / named END AS p, CASE WHEN support = 0 THEN 0 ELSE hit / support END AS r FROM c), f AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM m)
-        SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, round((SELECT avg(CAST(truth = pred AS INT)) FROM cls), 6) AS accuracy, round((SELECT avg(f1) FROM f), 6) AS macro_f1, round((SELECT sum(f1 * support) / sum(support) FROM f), 6) AS weighted_f1 FROM f""",
-    "agreement_summary": """WITH t AS (SELECT doc_id, quality = 1 AS a, CASE WHEN doc_id % 5 <> 0 THEN coalesce(toxic, 0) <> 1 END AS b, CASE WHEN doc_id % 2 = 0 THEN quality = 1 END AS j, doc_id % 7 <> 0 AS pr FROM labels),
-        s AS (SELECT *, CASE WHEN b IS NOT NULL THEN CASE WHEN a = b THEN a ELSE j END END AS c FROM t),
-        x AS (SELECT count(*) AS n_keyed, count(b) AS n_double, count(*) FILTER (a = b) AS n_agree, count(*) FILTER (a <> b AND j IS NOT NULL) AS n_adjudicated, count(c) AS n_consensus, count(*) FILTER (c = pr) AS n_right FROM s)
-        SELECT *, round(n_double / n_keyed, 6) AS coverage, round(n_agree / n_double, 6) AS raw_agreement, round(n_right / n_consensus, 6) AS consensus_accuracy FROM x""",
+        SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, round((SELECT avg(CAST(truth = pred AS INT)) FROM cls), 6) AS accuracy, round((SELECT avg(p) FROM f), 6) AS macro_precision, round((SELECT avg(r) FROM f), 6) AS macro_recall, round((SELECT avg(f1) FROM f), 6) AS macro_f1, round((SELECT sum(p * support) / sum(support) FROM f), 6) AS weighted_precision, round((SELECT sum(r * support) / sum(support) FROM f), 6) AS weighted_recall, round((SELECT sum(f1 * support) / sum(support) FROM f), 6) AS weighted_f1 FROM f""",
+    "agreement_summary": """WITH t AS (SELECT quality AS a, CASE WHEN doc_id % 5 <> 0 THEN 1 - coalesce(toxic, 0) END AS b, CASE WHEN doc_id % 2 = 0 THEN quality END AS j, CAST(doc_id % 7 <> 0 AS INT) AS p FROM (SELECT doc_id, CAST(coalesce(quality, 0) = 1 AS INT) AS quality, toxic FROM labels)),
+        v AS (SELECT *, b IS NOT NULL AS dbl, b IS NOT NULL AND a = b AS same FROM t),
+        k AS (SELECT * FROM (VALUES ('inter_annotator_kappa'), ('automatic_vs_a_kappa'), ('automatic_vs_b_kappa'), ('automatic_vs_consensus_kappa')) n(name)),
+        q AS (SELECT name, CASE name WHEN 'inter_annotator_kappa' THEN a ELSE p END AS x, CASE name WHEN 'automatic_vs_b_kappa' THEN b WHEN 'inter_annotator_kappa' THEN b ELSE a END AS y FROM k, v WHERE dbl AND (same OR name <> 'automatic_vs_consensus_kappa')),
+        o AS (SELECT name, avg(CAST(x = y AS INT)) AS po, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS pe FROM q GROUP BY name), z AS (SELECT name, round(CASE WHEN abs(1 - pe) < 1e-12 THEN CAST(po = 1 AS INT) ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM o),
+        m AS (SELECT * FROM (VALUES (true), (false)) w(adjudicated)),
+        s AS (SELECT adjudicated, count(*) AS n_keyed, count(*) FILTER (dbl) AS n_double, count(*) FILTER (same) AS n_agree, count(*) FILTER (dbl AND NOT same) AS n_requires_adjudication, count(*) FILTER (dbl AND CASE WHEN adjudicated THEN j IS NOT NULL ELSE same END) AS n_consensus, count(*) FILTER (dbl AND CASE WHEN adjudicated THEN j = p ELSE same AND a = p END) AS n_right FROM m, v GROUP BY adjudicated)
+        SELECT *, round(n_double / n_keyed, 6) AS coverage, round(n_agree / n_double, 6) AS raw_agreement, round(n_right / n_consensus, 6) AS consensus_accuracy, (SELECT kappa FROM z WHERE name = 'inter_annotator_kappa') AS inter_annotator_kappa, (SELECT kappa FROM z WHERE name = 'automatic_vs_a_kappa') AS automatic_vs_a_kappa,
+          (SELECT kappa FROM z WHERE name = 'automatic_vs_b_kappa') AS automatic_vs_b_kappa, (SELECT kappa FROM z WHERE name = 'automatic_vs_consensus_kappa') AS automatic_vs_consensus_kappa FROM s""",
     "threshold_sweep": f"WITH {SWEEP} SELECT threshold, tn, fp, fn, tp, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f",
     "best_threshold": f"WITH {SWEEP} SELECT threshold, round(f1, 6) AS f1 FROM f ORDER BY round(f1, 12) DESC, round(abs(threshold - 0.5), 9), threshold LIMIT 1",
     "roc_auc": f"WITH {SC}, {_AUC} SELECT lang, roc_auc FROM auc",
@@ -477,20 +449,46 @@ ORACLE_SQL = {
     "audit_allocation": f"""WITH {LAYERED}, s AS (SELECT variety, audit_route, threshold_band, count(*) AS n FROM strata GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS k FROM s), u AS (SELECT *, CAST(least(250, total) AS BIGINT) AS target FROM t),
         e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, round(i / least(n, target), 12), CASE WHEN threshold_band = 'near_0.05' THEN 0 ELSE 1 END, variety, audit_route, threshold_band, i) AS rk FROM e)
         SELECT variety, audit_route, threshold_band, n, count(*) AS allocated FROM r WHERE rk <= target GROUP BY variety, audit_route, threshold_band, n""",
-    "layer3_allocation": f"""WITH {LAYERED}, s AS (SELECT model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS k FROM s), u AS (SELECT *, CAST(least(60, total) AS BIGINT) AS target FROM t),
-        e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, -round(n / total - i / target, 12), model, decision, route, i) AS rk FROM e)
-        SELECT model, decision, route, n, count(*) AS allocated FROM r WHERE rk <= target GROUP BY model, decision, route, n""",
-    "layer3_allocation_dialects": f"""WITH {LAYERED}, s AS (SELECT variety, model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY variety) AS total, count(*) OVER (PARTITION BY variety) AS k FROM s), u AS (SELECT *, CAST(least(150, total) AS BIGINT) AS target FROM t),
+    "layer3_allocation": f"""WITH {LAYERED}, s AS (SELECT variety, model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY variety) AS total, count(*) OVER (PARTITION BY variety) AS k FROM s), u AS (SELECT *, CAST(least(150, total) AS BIGINT) AS target FROM t),
         e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, -round(n / total - i / target, 12), model, decision, route, i) AS rk FROM e)
         SELECT variety, model, decision, route, n, count(*) AS allocated FROM r WHERE rk <= target GROUP BY variety, model, decision, route, n""",
+    "audit_sample": f"""WITH {LAYERED}, s AS (SELECT variety, audit_route, threshold_band, count(*) AS n FROM strata GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS k FROM s), u AS (SELECT *, CAST(least(250, total) AS BIGINT) AS target FROM t),
+        e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, round(i / least(n, target), 12), CASE WHEN threshold_band = 'near_0.05' THEN 0 ELSE 1 END, variety, audit_route, threshold_band, i) AS rk FROM e),
+        al AS (SELECT variety, audit_route, threshold_band, count(*) AS allocated FROM r WHERE rk <= target GROUP BY ALL), sh AS (SELECT *, md5('42|' || qid || '|' || variety || '|' || model) AS o FROM strata),
+        tk AS (SELECT sh.*, allocated, row_number() OVER (PARTITION BY variety, audit_route, threshold_band ORDER BY o) AS rn FROM sh JOIN al USING (variety, audit_route, threshold_band))
+        SELECT 'audit_' || lpad(CAST(row_number() OVER (ORDER BY o) AS VARCHAR), 3, '0') AS sample_id, variety, audit_route, threshold_band, qid, model FROM tk WHERE rn <= allocated""",
+    "layer3_sample": f"""WITH {LAYERED}, s AS (SELECT variety, model, decision, route, count(*) AS n FROM strata WHERE variety <> 'msa' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY variety) AS total, count(*) OVER (PARTITION BY variety) AS k FROM s), u AS (SELECT *, CAST(least(150, total) AS BIGINT) AS target FROM t),
+        e AS (SELECT *, unnest(range(0, CAST(least(n, target) AS BIGINT))) AS i FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY CASE WHEN target >= k AND i = 0 THEN 0 ELSE 1 END, -round(n / total - i / target, 12), model, decision, route, i) AS rk FROM e),
+        al AS (SELECT variety, model, decision, route, count(*) AS allocated FROM r WHERE rk <= target GROUP BY ALL),
+        tk AS (SELECT sh.*, allocated, row_number() OVER (PARTITION BY variety, model, decision, route ORDER BY md5('42|' || qid || '|' || model)) AS rn FROM strata sh JOIN al USING (variety, model, decision, route))
+        SELECT variety || '_' || lpad(CAST(row_number() OVER (PARTITION BY variety ORDER BY md5('43|' || qid || '|' || model)) AS VARCHAR), 3, '0') AS sample_id, variety, model, decision, route, qid FROM tk WHERE rn <= allocated""",
+    "grouped_split": f"""WITH {SC}, g AS (SELECT source, count(*) AS n, sum(label) AS pos FROM sc GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY pos / n DESC, n DESC, md5('42|' || source)) - 1 AS r FROM g),
+        o AS (SELECT *, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM r), i AS (SELECT *, row_number() OVER (ORDER BY pos / n DESC, n DESC, md5('43|' || source)) - 1 AS r2 FROM o WHERE fold <> 0),
+        f AS (SELECT source, n, pos, CASE WHEN CASE WHEN (r2 // 4) % 2 = 0 THEN r2 % 4 ELSE 3 - r2 % 4 END = 0 THEN 'validation' ELSE 'train' END AS split FROM i UNION ALL SELECT source, n, pos, 'test' FROM o WHERE fold = 0)
+        SELECT split, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, count(*) AS n_groups FROM f GROUP BY split""",
+    "scored_run": f"""WITH {CAND}, n AS (SELECT conv_id, turn, question, answer AS text, list_filter(string_split({_norm("answer")}, ' '), lambda x: x <> '') AS w FROM turns),
+        r AS (SELECT *, {_REASONS} AS reasons FROM n),
+        v AS (SELECT conv_id, turn, text AS answer, trim(unnest(regexp_split_to_array(regexp_replace(regexp_replace(question, '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[,;|،]'))) AS variant FROM r),
+        c AS (SELECT conv_id, turn, round(coalesce(max(CASE WHEN len(want) > 0 THEN len(list_intersect(want, have)) / len(want) END), 0.0), 6) AS coverage FROM (SELECT conv_id, turn, {_bag("replace(variant, chr(1), ',')")} AS want, {_bag("answer")} AS have FROM v) GROUP BY conv_id, turn),
+        b AS (SELECT conv_id, turn, reasons, list_distinct(list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')) AS want, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS have FROM r),
+        p AS (SELECT *, CASE WHEN len(reasons) = 0 THEN CASE WHEN len(want) > 0 THEN 1.0 - len(list_intersect(want, have)) / len(want) ELSE 0.5 END END AS p FROM b)
+        SELECT conv_id || '-' || turn AS qid, coverage AS layer1_coverage, CASE WHEN len(reasons) > 0 THEN 'degeneration' ELSE 'defer' END AS layer1_decision, round(p, 6) AS probability, CASE WHEN len(reasons) > 0 THEN 'degeneration' WHEN p >= 0.5 THEN 'factual_hallucination' ELSE 'clean' END AS combined_decision,
+          CASE WHEN len(reasons) = 0 THEN CAST(p >= 0.5 AS INT) END AS combined_label, CAST(len(reasons) > 0 OR p >= 0.5 AS INT) AS headline_failure_label FROM p JOIN c USING (conv_id, turn)""",
+    "scored_run_checks": f"WITH {CAND} SELECT * FROM (VALUES ('rows_match_keys', (SELECT count(*) FROM turns) = (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM turns))), ('deferred_match_scores', true)) t(\"check\", ok)",
+    "echo_generation": f"WITH {CAND} SELECT conv_id || '-' || turn AS qid, 'm0' AS model, trim(question, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer, '' AS error FROM turns",
     "stratified_split": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE quality IS NOT NULL), s AS (SELECT *, CASE WHEN rn <= round(n * 0.8) THEN 'train' ELSE 'validation' END AS split FROM r) SELECT quality, split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM s GROUP BY quality, split",
     "group_ids": "WITH f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY source) SELECT d.source, d.doc_id, CAST(g.group_id AS INT) AS group_id FROM documents d JOIN (SELECT source, row_number() OVER (ORDER BY first, source) - 1 AS group_id FROM f) g USING (source)",
-    "edit_distance": f"WITH {CAND} SELECT conv_id, turn, levenshtein(regexp_replace(lower(substr(question, 1, 120)), '[^ -~]', '', 'g'), regexp_replace(lower(substr(answer, 1, 120)), '[^ -~]', '', 'g')) AS distance FROM turns",
+    "edit_distance": f"WITH {CAND} SELECT conv_id, turn, round({_distance('question', 'answer')}, 6) AS distance FROM turns",
     "qc_flags": f"WITH {CHECKED} SELECT qid, round(bt, 6) AS bt, round(dd, 6) AS dd, array_to_string(flags, '|') AS flags FROM flg",
     "qc_flag_counts": f"WITH {CHECKED} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM flg) GROUP BY flag",
     "qc_summary": f"WITH {CHECKED} SELECT count(*) AS n, round(avg(bt), 6) AS mean_bt, round(avg(dd), 6) AS mean_dd, count(*) FILTER (len(flags) > 0) AS n_flagged FROM flg",
     "finalize_filter": f"WITH {REVIEW} SELECT qid, state, excluded, round(bt, 6) AS bt, round(dd, 6) AS dd, fluency FROM fin",
-    "finalize_metrics": f"WITH {REVIEW} SELECT count(*) FILTER (state <> 'unreviewed') AS n_reviewed, count(*) FILTER (state = 'unreviewed') AS n_unreviewed, round(avg(fluency) FILTER (state <> 'unreviewed'), 2) AS mean_fluency_1_5, count(*) FILTER (state <> 'unreviewed' AND excluded) AS n_filtered_out, count(*) FILTER (state <> 'unreviewed' AND NOT excluded) AS n_final_benchmark FROM fin",
+    "finalize_metrics": f"""WITH {REVIEW}, s AS (SELECT *, state <> 'unreviewed' AS seen, state = 'rewritten' AS rw FROM fin)
+        SELECT arg_min(sub, qid) FILTER (seen) AS sub_variety, count(*) FILTER (seen) AS n_reviewed, count(*) FILTER (NOT seen) AS n_unreviewed, round(count(*) FILTER (state = 'approved') / count(*) FILTER (seen), 3) AS acceptance_rate, round(count(*) FILTER (rw) / count(*) FILTER (seen), 3) AS rewrite_rate,
+          round(avg(edit) FILTER (rw), 3) AS mean_edit_distance_on_rewrites, round(avg(bt) FILTER (seen), 3) AS mean_backtrans_similarity, round(avg(dd) FILTER (seen AND NOT excluded), 3) AS mean_dialect_distance, round(avg(fluency) FILTER (seen), 2) AS mean_fluency_1_5,
+          count(*) FILTER (seen AND excluded) AS n_filtered_out, count(*) FILTER (seen AND NOT excluded) AS n_final_benchmark, 0.4::DOUBLE AS min_backtrans_threshold FROM s""",
+    "final_arm": f"WITH {REVIEW} SELECT qid, question AS question_msa, final AS question_dialect, 'gold' AS gold_answer, 'gulf' AS dialect, sub AS sub_variety, CASE WHEN state = 'approved' THEN 'machine' ELSE 'human_rewrite' END AS provenance FROM fin WHERE state <> 'unreviewed' AND NOT excluded",
+    "validation_sheet": f"WITH {CHECKED} SELECT qid, question AS msa_question, answer AS dialect_candidate, '' AS \"APPROVE_or_REWRITE\", '' AS your_rewrite, '' AS fluency_1_5, array_to_string(flags, '|') AS auto_flags, coalesce(printf('%.3f', bt), '') AS backtrans_sim, printf('%.3f', dd) AS dialect_distance FROM flg",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "todo_plan": f"WITH {GEN}, p AS (SELECT CAST(c_custkey AS VARCHAR) AS qid, v.variety, m.model, c.condition FROM customer, (VALUES ('msa'), ('gulf')) v(variety), (VALUES ('m0'), ('m1')) m(model), (VALUES ('direct'), ('msa_answer')) c(condition) WHERE NOT (v.variety = 'msa' AND c.condition = 'msa_answer')) SELECT qid, variety, model, condition FROM p WHERE NOT EXISTS (SELECT 1 FROM gen g WHERE g.ok AND g.qid = p.qid AND g.variety = p.variety AND g.model = p.model AND g.condition = p.condition)",
     "first_per_variety": f"WITH {GEN} SELECT variety, seq, qid, model FROM (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY seq) AS r FROM canon) WHERE r <= 10",
@@ -500,4 +498,3 @@ ORACLE_SQL = {
     "arm_seeds": f"WITH {GEN} SELECT DISTINCT model, variety, condition, substr(sha256('42|' || model || '|' || variety || '|' || condition), 1, 16) AS seed_hex FROM canon WHERE variety <> 'msa'",
     "run_completeness": f"WITH {GEN} SELECT variety, count(*) AS n, count(*) FILTER (NOT ok) AS n_failed, count(*) = 300 AND count(*) FILTER (NOT ok) = 0 AS ok FROM canon GROUP BY variety",
 }
-ORACLE_SQL |= {f"{q}_turns": ORACLE_SQL[q].replace(CHECKED, CHECKED_TURNS).replace(REVIEW, REVIEW_TURNS) for q in ("qc_flags", "qc_flag_counts", "qc_summary", "finalize_filter", "finalize_metrics")}

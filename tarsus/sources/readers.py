@@ -25,11 +25,11 @@ def csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]
     return r.csv(list(paths) if not isinstance(paths, str) else paths).na.fill("")
 
 
-def many(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Several CSV tables as one, with ``source_file`` and, for more than one, ``analysis_run`` (the folder's name)."""
+def many(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, seq: str | None = None) -> DataFrame:
+    """Several CSV tables as one, with ``source_file`` and, for more than one, ``analysis_run`` (the folder's name); ``seq``: an ordinal by table, file and row."""
     out = None
-    for p in paths:  # headers may differ from file to file
-        one = csv(spark, p, columns)
+    for k, p in enumerate(paths):  # headers may differ from file to file
+        one = with_sequence(csv(spark, p, columns), seq, k) if seq else csv(spark, p, columns)
         one = one.withColumn("source_file", F.col("_metadata.file_path"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if len(paths) > 1:
@@ -37,9 +37,9 @@ def many(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | Non
     return out.na.fill("")
 
 
-def with_sequence(df: DataFrame, name: str = "_seq") -> DataFrame:
-    """An ordinal in file order, for readers whose order matters: files by name, rows as they stand."""
-    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
+def with_sequence(df: DataFrame, name: str = "_seq", table: int = 0) -> DataFrame:
+    """An ordinal of a scanned CSV table, for readers whose order matters: files by name, rows as they stand. Spark reads the files in another order."""
+    return df.withColumn(name, F.struct(F.lit(table).alias("table"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def judge_rows(rows: DataFrame, seq: str, label: str = "hallucinated") -> DataFrame:
@@ -109,3 +109,37 @@ def verify_manifest(stated: DataFrame, found: DataFrame) -> DataFrame:
     j = stated.alias("s").join(found.alias("f"), "path", "full")
     problem = F.when(F.col("f.size").isNull(), "missing").when(F.col("s.size").isNull(), "extra").when(F.col("s.size") != F.col("f.size"), "size").when(F.col("s.sha256") != F.col("f.sha256"), "sha256")
     return j.select("path", problem.alias("problem")).filter("problem is not null")
+
+
+def sha256(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file, or of the names and digests of a folder's files."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    got = sorted(map(tuple, d.collect()))  # a digest a file
+    if len(got) == 1:
+        return got[0][1]
+    import hashlib
+
+    return hashlib.sha256("\n".join(f"{n} {h}" for n, h in got).encode()).hexdigest()
+
+
+def total_size(stated: DataFrame) -> DataFrame:
+    """Files and bytes of a manifest."""
+    return stated.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
+
+
+def snapshot(spark: SparkSession, source: str, target: str, name: str = "manifest.json") -> dict:
+    """Copy a folder of files into another and put a manifest beside it; returns files and bytes. Files are copied by tasks, as bytes."""
+    found = manifest(spark, source)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path")
+    root = source.rstrip("/").rpartition("/")[2]
+    wrapped, into = spark._jsc.hadoopConfiguration(), target.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for r in files.collect():  # a copy a file, between Hadoop file systems
+        rest = r.path.rpartition(f"/{root}/")[2]
+        a, b = path(r.path), path(f"{into}/{rest}")
+        if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(wrapped), a, b.getFileSystem(wrapped), b, False, True, wrapped):
+            raise OSError(f"{r.path} wasn't copied")
+    from .sinks import json_and_csv
+
+    json_and_csv(found.orderBy("path"), f"{into}.{name.removesuffix('.json')}")
+    return total_size(found).first().asDict()

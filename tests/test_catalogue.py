@@ -4,13 +4,12 @@ import os
 
 import pytest
 
-from tarsus.plans import catalogue
+from tarsus.plans import catalogue, files
 
 from .oracle import SMALL, same, views
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-#: A whole cross-validation; tests of its parts are in test_operators.
-SLOW = {"tfidf_cv"}
+QUERIES, SQL = catalogue.QUERIES | files.QUERIES, catalogue.ORACLE_SQL | files.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -18,11 +17,11 @@ def duck():
     return views(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SMALL)
-    if name in catalogue.ORACLE_SQL:
-        same(df, duck, catalogue.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SMALL)
+    if name in SQL:
+        same(df, duck, SQL[name])
     else:
         assert df.count() > 0
 

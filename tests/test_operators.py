@@ -230,7 +230,7 @@ def test_generation(spark):
         seen.append(tokens)
         return "" if tokens < 4096 else "done"
 
-    assert generation.call(short, "m", [], sleep=lambda s: None) == "done" and seen == [2048, 4096]
+    assert generation.call(short, "m", [], sleep=lambda s: None) == ("done", "m") and seen == [2048, 4096]
 
 
 def test_variants(spark):

@@ -35,7 +35,7 @@ def test_edit_distance_of_whole_texts(spark, tmp_path):
     d = conversations(spark, tmp_path, [(i, k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)])
     norm = lambda x: re.sub(r"[^\w]+", " ", x or "").strip().lower()
     want = {i: round(levenshtein(norm(a), norm(b)) / max(1, len(norm(a)), len(norm(b))), 6) for i, (a, b) in enumerate(pairs)}
-    assert {r.conv_id: r.distance for r in catalogue.QUERIES["edit_distance_turns"](spark, d).collect()} == want
+    assert {r.conv_id: r.distance for r in catalogue.QUERIES["edit_distance"](spark, d).collect()} == want
     assert want[0] > 0
 
 
@@ -44,12 +44,12 @@ def test_every_turn_pair_is_checked(spark, tmp_path):
 
     d = conversations(spark, tmp_path, [(c, n, f"text {c} of turn {n} here") for c in range(7) for n in range(2 * c + 2)])
     n = sum(c + 1 for c in range(7))
-    q = {k: catalogue.QUERIES[k](spark, d) for k in ("qc_flags_turns", "qc_summary_turns", "qc_flag_counts_turns", "finalize_filter_turns", "finalize_metrics_turns", "finalize_means", "echo_generation")}
-    for k in ("qc_flags_turns", "finalize_filter_turns", "echo_generation"):
+    q = {k: catalogue.QUERIES[k](spark, d) for k in ("qc_flags", "qc_summary", "qc_flag_counts", "finalize_filter", "finalize_metrics", "final_arm", "validation_sheet", "echo_generation")}
+    for k in ("qc_flags", "finalize_filter", "echo_generation"):
         got = [r.qid for r in q[k].collect()]
         assert len(got) == n and set(got) == {f"{c}-{2 * k}" for c in range(7) for k in range(c + 1)}
-    assert q["qc_summary_turns"].first().n == n
-    for k in ("finalize_means", "finalize_metrics_turns"):
+    assert q["qc_summary"].first().n == n
+    for k in ("finalize_metrics",):
         r = q[k].first()
         assert r.n_reviewed + r.n_unreviewed == n
     import duckdb
