@@ -34,6 +34,9 @@ ARROW_BYTES = 16 << 20
 #: Partitions of an exchange at most: beyond, a partition has several buckets, one after another. Bytes of requests a task gathers before it sends them.
 MOST_PARTITIONS, SEND_BYTES = 1 << 14, 8_000_000
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; in local mode without it, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,10 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not (spark.sparkContext.master or "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tarsus-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tarsus-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 _paths: set[str] = set()
@@ -102,15 +105,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id (as long) and the text, renamed: other columns can't clash with an operator's own.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if they come in fewer partitions than there are cores, as those of a single small file do. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    Texts go to Python in batches of at most ARROW_BYTES, as both sides hold a batch at once.
-    """
-    conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b", "67108864", "64m", "64mb", "64MB"):  # the default
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ARROW_BYTES, as both sides hold a batch at once; a setting of the session's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b", "67108864", "64m", "64mb", "64MB"):  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Only the id (as long) and the text, renamed: other columns can't clash with an operator's own."""
+    small_batches(docs.sparkSession)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def text_hash(text_col: str = "text"):
@@ -137,7 +147,8 @@ def keep_rows(docs: DataFrame, verdict: Callable[[], Callable[[list[bytes]], np.
 
     ``verdict()`` is called once a task and gives a function from texts (null: empty) to booleans.
     """
-    two_columns(docs.withColumn("__tarsus_id", F.lit(0)), "__tarsus_id", text_col)  # sets the size of batches
+    small_batches(docs.sparkSession)
+    docs = spread(docs)
     at = docs.columns.index(text_col)
 
     def run(batches):
