@@ -1,7 +1,8 @@
 """Ranks and running sums over any number of rows, without sorting them in one task.
 
-Rows fall into buckets of equal width of a numeric order. Only bucket totals, at most BUCKETS a
-key, are summed in one place; the rest happens inside the buckets.
+Rows fall into buckets of about equal numbers, by quantiles of a numeric order. Only bucket totals,
+at most BUCKETS a key, are summed in one place; the rest happens inside the buckets. The
+quantiles are one aggregation of the order column, made when the plan is built.
 """
 
 from __future__ import annotations
@@ -12,16 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+#: Buckets at most, and the accuracy of their bounds.
+BUCKETS, ACCURACY = 500, 10_000
 
 
 def with_bucket(df: DataFrame, order: str, name: str = "__bucket", buckets: int = BUCKETS) -> DataFrame:
-    """A bucket number that never falls as ``order`` rises; nulls come first."""
-    lo, hi = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    if lo is None or hi <= lo:
+    """A bucket number that never falls as ``order`` rises; nulls come first. Equal values share a bucket."""
+    from pyspark.ml.feature import Bucketizer
+
+    x = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(x, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(ACCURACY))).first()[0]
+    cuts = sorted(set(cuts or []))
+    if not cuts:
         return df.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(0))
-    at = F.floor((F.col(order).cast("double") - lo) / (hi - lo) * buckets).cast("int")
-    return df.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(F.least(F.lit(buckets - 1), at)))
+    found = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__order", outputCol="__at").transform(df.withColumn("__order", F.coalesce(x, F.lit(0.0))))
+    return found.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(F.col("__at").cast("int"))).drop("__order", "__at")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], ties: Sequence[Column] = (), descending: bool = False) -> DataFrame:
