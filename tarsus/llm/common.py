@@ -107,6 +107,8 @@ def release(spark: SparkSession) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, if they come in fewer partitions than there are cores, as those of a single small file do. Larger tables stay as they are."""
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # it has a shuffle, and to count its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -86,6 +86,7 @@ def test_shards_merge():
             for i in range(len(x) - length + 1):
                 low[x[i : i + length]] = min(low.get(x[i : i + length], 99), m)
         assert got.tolist() == [i + length <= len(x) and low[x[i : i + length]] < m for x, m in zip(s, least) for i in range(len(x))]
+    assert suffix.merged["shards"] > 160 and suffix.merged["looked_up"] > 1000
 
 
 def brute(rows, length):
