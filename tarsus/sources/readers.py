@@ -18,9 +18,12 @@ def strings(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV table of text columns: quoted line feeds, doubled quotes, a byte-order mark; missing fields are empty texts."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+def csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, line_feeds: bool = True) -> DataFrame:
+    """A CSV table of text columns: quoted line feeds, doubled quotes, a byte-order mark; missing fields are empty texts.
+
+    A file with quoted line feeds is read by one task; ``line_feeds=False`` states that there are none, so that large files are split.
+    """
+    r = spark.read.option("header", True).option("multiLine", line_feeds).option("escape", '"').option("quote", '"')
     r = r.schema(strings(columns)) if columns else r.option("inferSchema", False)
     return r.csv(list(paths) if not isinstance(paths, str) else paths).na.fill("")
 
