@@ -89,11 +89,17 @@ def drop_path(path: str) -> None:
         fs.delete_dir(bare)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write a table to the shared folder and read it again: lineage is cut and survives lost executors."""
+def stage(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd", large_rows: bool = False) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it again: lineage is cut and survives lost executors.
+
+    ``large_rows``: of megabytes. Their sizes are looked at after each row; by default Parquet looks after a hundred, so that
+    row groups and pages, which the JVM holds whole, are of hundreds of MB.
+    """
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
-    w = df.write.option("compression", codec).option("parquet.block.size", str(16 << 20))
+    w = df.write.option("compression", codec).option("parquet.block.size", str((8 if large_rows else 16) << 20))
+    if large_rows:
+        w = w.option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     release(spark)
     return spark.read.schema(schema).parquet(path), path

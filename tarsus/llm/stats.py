@@ -44,7 +44,9 @@ class Hashed:
 
     def __init__(self, a: np.ndarray):
         p, self.back = _pow(len(a) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix(np.arange(1, 257, dtype=np.uint64))[a]) * p[: len(a)], dtype=np.uint64)])
+        self.sums = np.zeros(len(a) + 1, np.uint64)
+        np.multiply(mix(np.arange(1, 257, dtype=np.uint64))[a], p[: len(a)], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))

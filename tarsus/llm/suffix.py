@@ -27,6 +27,8 @@ from .stats import Hashed, mix
 
 #: Bytes of stretches in one suffix array of a bucket, and bytes handled at once while hashing.
 SHARD_BYTES, CHUNK_BYTES = 500_000, 200_000
+#: Bytes of stretches that a bucket settles at once.
+PART_BYTES = 2_000_000
 #: Blocks that hold an anchor from which on its stretches are parted by the bytes around it, too.
 HOT_BLOCKS = 500
 LAST = np.uint64(2**64 - 1)
@@ -468,7 +470,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
         if held[0]:
             yield flush()
 
-    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary, anchors binary"), "text-blocks")
+    return common.stage(rows.mapInArrow(run, "grp int, block long, ids binary, lens binary, hashes binary, text binary, anchors binary"), "text-blocks", large_rows=True)
 
 
 def answer_anchors(payloads: list[bytes], hot: int = HOT_BLOCKS) -> Iterator[bytes]:
@@ -484,17 +486,8 @@ def answer_anchors(payloads: list[bytes], hot: int = HOT_BLOCKS) -> Iterator[byt
         yield struct.pack("<Q", len(keys)) + pack_bits(np.stack([hit, hit & (n[at] >= hot) if len(again) else hit], 1).ravel())
 
 
-def answer_stretches(payloads: list[bytes], length: int) -> Iterator[bytes]:
-    """A bit for each window of the stretches that each block sent: whether it occurs with a smaller id."""
-    lens, ids, text = [], [], []
-    for p in payloads:
-        x, at = common.unplanes(p)
-        y, at = common.unplanes(p, at)
-        lens.append(x.astype(np.int64))
-        ids.append(y.view(np.int64))
-        text.append(np.frombuffer(p, np.uint8, offset=at))
-    n_each = list(map(len, lens))
-    lens, ids, text = np.concatenate(lens), np.concatenate(ids), np.concatenate(text)
+def settle(text: np.ndarray, lens: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each window of stretches joined in ``text``, one after another: whether it occurs with a smaller id."""
     begin = np.cumsum(lens) - lens
     order = np.argsort(Hashed(text).of(begin, begin + lens), kind="stable")
     new = np.flatnonzero(np.r_[True, ~like_before(text, begin[order], lens[order])]) if len(order) else order
@@ -506,10 +499,61 @@ def answer_stretches(payloads: list[bytes], length: int) -> Iterator[bytes]:
     distinct = text[np.repeat(begin[order][new] - at, size) + np.arange(int(size.sum()))]
     hit = seen_earlier(distinct, size, low, length)
     # a stretch with a larger id than the smallest of its kind is all seen; others as their kind
-    for s, e in zip(np.cumsum([0, *n_each[:-1]]), np.cumsum(n_each)):
-        own = lens[s:e] - length + 1
-        bits = hit[np.repeat(at[same[s:e]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] | np.repeat(ids[s:e] > low[same[s:e]], own)
-        yield struct.pack("<Q", len(bits)) + pack_bits(bits)
+    own = lens - length + 1
+    return hit[np.repeat(at[same] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] | np.repeat(ids > low[same], own)
+
+
+def pack_stretches(lens: np.ndarray, least: np.ndarray, sub: np.ndarray, text: np.ndarray) -> bytes:
+    """What a block sends to a bucket: its stretches in ascending order of key, each with the eight bits of its key after the bucket's."""
+    return common.planes(common.smallest(lens)) + common.planes(least.view(np.uint64)) + sub.astype(np.uint8).tobytes() + text.tobytes()
+
+
+def answer_stretches(payloads: list[bytes], length: int, part_bytes: int | None = None) -> Iterator[bytes]:
+    """A bit for each window of the stretches that each block sent: whether it occurs with a smaller id.
+
+    Equal windows have equal keys, so a bucket is settled in parts, runs of the next eight bits of the keys: the arrays,
+    tens of bytes for each byte of text, are of about ``part_bytes`` (PART_BYTES) of text, however much text the bucket has.
+    """
+    part_bytes = part_bytes or PART_BYTES
+    lens, ids, sub, text = [], [], [], []
+    for p in payloads:
+        x, at = common.unplanes(p)
+        y, at = common.unplanes(p, at)
+        lens.append(x)
+        ids.append(y.view(np.int64))
+        sub.append(np.frombuffer(p, np.uint8, len(x), at))
+        text.append(at + len(x))  # where it begins
+    n_each = np.array(list(map(len, lens)))
+    lens, ids, sub = np.concatenate(lens).astype(np.int64), np.concatenate(ids), np.concatenate(sub)
+    first = np.cumsum(n_each) - n_each
+    who = np.repeat(np.arange(len(payloads)), n_each)
+    begin = np.cumsum(lens) - lens
+    if len(lens):
+        begin += (np.array(text) - np.r_[begin, 0][np.minimum(first, len(lens))])[who]  # within the payload
+    own = lens - length + 1
+    window = np.cumsum(own) - own
+    bits = np.zeros(int(own.sum()), bool)
+
+    # parts: a key of more than part_bytes is one by itself
+    weight, part, n_parts, held = np.bincount(sub, lens, 256), np.zeros(256, np.int64), 0, 0.0
+    for k, w in enumerate(weight.tolist()):
+        if held and held + w > part_bytes:
+            n_parts, held = n_parts + 1, 0.0
+        part[k], held = n_parts, held + w
+    part = part[sub]
+    for k in range(n_parts + 1):
+        mine = np.flatnonzero(part == k)
+        if not len(mine):
+            continue
+        run = np.flatnonzero(np.r_[True, np.diff(who[mine]) > 0])  # what one payload has of a part lies together
+        last = np.r_[run[1:], len(mine)] - 1
+        got = b"".join([payloads[w][s:e] for w, s, e in zip(who[mine[run]].tolist(), begin[mine[run]].tolist(), (begin + lens)[mine[last]].tolist())])
+        hit = settle(np.frombuffer(got, np.uint8), lens[mine], ids[mine], length)
+        n = own[mine]
+        bits[np.repeat(window[mine] - (np.cumsum(n) - n), n) + np.arange(len(hit))] = hit
+    ends = np.cumsum(np.r_[0, own])[np.r_[first, len(own)]]
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield struct.pack("<Q", e - s) + pack_bits(bits[s:e])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
@@ -534,6 +578,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     shared = common.exchange(staged, ask_anchors, answer_anchors, n_buckets, "shared-anchors")
     n_fine = common.buckets_for(8 * n_bytes)
+    below = np.uint64(max(0, 56 - (n_fine.bit_length() - 1)))  # bits below the eight after the bucket's
 
     def ask_stretches(row, state={}) -> Iterator[tuple[int, bytes]]:  # noqa: B006
         b = Block(row, length)
@@ -543,7 +588,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             own = slice(cut[k], cut[k + 1])
             lens = x.last[own] - x.first[own] + length
             where = np.repeat(x.first[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-            yield k, common.planes(common.smallest(lens)) + common.planes(x.least[own].view(np.uint64)) + b.a[where].tobytes()
+            yield k, pack_stretches(lens, x.least[own], x.key[own] >> below & np.uint64(255), b.a[where])
 
     earlier = common.exchange(staged, ask_stretches, lambda p: answer_stretches(p, length), n_fine, "earlier-windows")
 

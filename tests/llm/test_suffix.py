@@ -140,5 +140,49 @@ def test_hot_anchors_keep_every_window(spark, monkeypatch):
         assert got == brute(rows, 50)
 
 
+def test_buckets_are_settled_in_parts(monkeypatch):
+    """However full a bucket is, hashes and suffix arrays are of about part_bytes at once; answers are those of all windows together."""
+    r = np.random.default_rng(9)
+    held = []
+
+    class Noted(suffix.Hashed):
+        def __init__(self, a):
+            held.append(len(a))
+            super().__init__(a)
+
+    monkeypatch.setattr(suffix, "Hashed", Noted)
+    length, payloads, sent, low = 20, [], [], {}
+    kinds = [bytes(r.integers(97, 123, r.integers(length, 2 * length)).astype(np.uint8)) for _ in range(256)]
+    for _ in range(60):
+        at = np.sort(r.integers(0, 256, r.integers(0, 40)))
+        mine = [(kinds[k][int(r.integers(0, len(kinds[k]) - length + 1)) :], int(r.integers(0, 50))) for k in at.tolist()]
+        lens, ids = np.array([len(t) for t, _ in mine], np.int64), np.array([i for _, i in mine], np.int64)
+        payloads.append(suffix.pack_stretches(lens, ids, at.astype(np.uint64), np.frombuffer(b"".join(t for t, _ in mine), np.uint8)))
+        sent.append(mine)
+        for t, i in mine:
+            for j in range(len(t) - length + 1):
+                low[t[j : j + length]] = min(low.get(t[j : j + length], 99), i)
+    want = [[low[t[j : j + length]] < i for t, i in mine for j in range(len(t) - length + 1)] for mine in sent]
+    for part_bytes in (3000, 1):  # 1: each key is a part
+        held.clear()
+        got = list(suffix.answer_stretches(payloads, length, part_bytes))
+        assert [suffix.unpack_bits({0: g}, len(w)).tolist() for g, w in zip(got, want, strict=True)] == want
+        assert len(held) > 5 and (max(held) <= part_bytes or part_bytes == 1)
+    assert list(suffix.answer_stretches([suffix.pack_stretches(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint8)))], 20)) == [bytes(8)]
+
+
+def test_staged_blocks_have_small_row_groups(spark):
+    """A row group is a few blocks: the JVM holds it whole while it is written and read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(10)
+    rows = [(i, r.integers(97, 123, 1_000_000).astype(np.uint8).tobytes().decode()) for i in range(64)]
+    _, path = suffix.blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text", 50)
+    sizes = [m.row_group(i).total_byte_size for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(sizes) > 64_000_000 and max(sizes) < 14_000_000
+
+
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
