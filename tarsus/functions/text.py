@@ -31,28 +31,35 @@ def ws_split(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS}+"), lambda x: x != "")
 
 
-#: Characters that compatibility composition leaves as they are, whatever is beside them; the Arabic marks among them are dropped anyway.
+#: Characters beyond ASCII that compatibility composition leaves as they are, whatever is beside them; the Arabic marks among them are dropped anyway.
 STABLE = (
-    "\u0000-\u007f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    "\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
     "\u0400-\u0482\u048a-\u052f\u0600-\u060f\u061b-\u064a\u064b-\u0652\u0660-\u0674\u0679-\u06d3\u06d5"
     "\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039-\u203b\u3001-\u3029\u3030-\u3035\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
 )
 
 
+def ascii_only(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(s):  # noqa: ANN001, ANN201
     return s.str.normalize("NFKC")
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition, which Spark lacks. Only texts with a character outside STABLE have to go to Python."""
-    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
+    """Compatibility composition, which Spark lacks. Only texts with a character outside STABLE have to go to Python.
+
+    ASCII is told first: it would be compared with all ranges of STABLE, one by one, and most characters are.
+    """
+    return F.coalesce(_nfkc(F.when(~ascii_only(c) & c.rlike(rf"[[^\x00-\x7f]&&[^{STABLE}]]"), c)), c)
 
 
 def normalize_arabic(c: Column, compatibility: bool = True, lower: bool = True) -> Column:
     """Compatibility composition, Arabic letter variants folded, diacritics dropped, non-word characters turned to single spaces."""
     c = nfkc(c) if compatibility else c
-    c = F.translate(F.regexp_replace(c, DIACRITICS, ""), "أإآىة", "ااايه")
+    c = F.when(ascii_only(c), c).otherwise(F.translate(F.regexp_replace(c, DIACRITICS, ""), "أإآىة", "ااايه"))
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
     return F.lower(c) if lower else c
 

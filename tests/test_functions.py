@@ -156,3 +156,29 @@ def test_composition_reaches_every_form(spark):
     assert [g[0] for g in values(spark, [(t,) for t in texts], "t string", text.normalize_arabic(F.col("t")))] == want
     got = values(spark, [("١٢ ＡＢＣ", "abc", "abc,ｘ"), ("x", "ﬁ", "q，x, ﬁ"), ("fi", "ﬁ", "a,ﬁ")], "a string, b string, g string", text.token_f1(F.col("a"), F.col("b")), text.token_coverage(F.col("a"), F.col("g")))
     assert [tuple(round(v, 6) for v in g) for g in got] == [(0.666667, 1.0), (0.0, 0.5), (1.0, 1.0)]
+
+
+def test_ascii_is_not_compared_with_every_stable_range(spark):
+    import time
+
+    rows = spark.range(0, 4000, 1, 4).select(F.repeat(F.concat(F.col("id"), F.lit(" plain words of a text, over and over. ")), 50).alias("t")).persist()
+    rows.count()
+
+    def seconds(c):
+        took = []
+        for _ in range(3):
+            at = time.perf_counter()
+            rows.agg(F.sum(F.hash(c))).collect()
+            took.append(time.perf_counter() - at)
+        return min(took)
+
+    assert seconds(text.nfkc(F.col("t"))) < 2 * seconds(F.regexp_replace("t", r"[^\p{L}\p{N}_]+", " "))
+    rows.unpersist()
+
+
+def test_only_texts_that_may_change_are_composed(spark):
+    import unicodedata
+
+    texts = ["plain", "", "ＡＢ１ mixed", "ﻻ إلى", "café", "漢字 かな", "ⅷ", "a b", "سؤال؟", "가", "\U0001d400x"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.nfkc(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == {t: unicodedata.normalize("NFKC", t) for t in texts} | {None: None}
