@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: White space as Python's str.strip and split see it.
 WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
+INK = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 DIACRITICS = "[\u064B-\u065F\u0670\u0640]"
 CJK = "[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF]"
 PROCLITICS = "وفبكل"
@@ -110,20 +111,22 @@ def token_coverage(answer: Column, gold: Column) -> Column:
 
 
 def heavy_foreign_script(c: Column, least: int = 3, density: float = 0.1) -> Column:
-    foreign, letters = F.regexp_count(c, F.lit(CJK)), F.regexp_count(c, F.lit(r"\p{L}"))
-    return c.rlike(CJK) & (letters > 0) & (foreign >= least) & (foreign >= density * letters)  # most texts have none, and aren't counted
+    count = lambda kind: F.length(F.regexp_replace(c, f"[^{kind}]+", ""))  # noqa: E731 - regexp_count makes an array of every match
+    foreign, letters = count(CJK[1:-1]), count(r"\p{L}")
+    return ~ascii_only(c) & c.rlike(CJK) & (foreign >= least) & (letters > 0) & (foreign >= density * letters)  # most texts have none, and aren't counted
 
 
 def heavy_repetition(normalized: Column, repeats: int = 4) -> Column:
-    """Whether a run of one to three words occurs ``repeats`` times in a row."""
-    return normalized.rlike(r"(?:^| )(\S+(?: \S+){0,2})(?: \1){%d}(?= |$)" % (repeats - 1))
+    """Whether a run of one to three words occurs ``repeats`` times in a row. Words are taken whole (possessively), so that none is tried letter by letter."""
+    again = "{%d}" % (repeats - 1)
+    return F.concat(F.lit(" "), normalized).rlike(rf" ([^ ]++)(?:(?: \1){again}|( [^ ]++)(?:(?: \1\2){again}|( [^ ]++)(?: \1\2\3){again}))(?= |$)")
 
 
 def degeneration_reasons(answer: Column, error: Column) -> Column:
     """Mechanical faults of an answer, in a fixed order."""
     tests = (
         ws_trim(error) != "",
-        ws_trim(answer) == "",
+        ~answer.rlike(INK),
         heavy_foreign_script(answer),
         answer.rlike(rf"(?i)(?:^|\n){WS}*(?:assistant|user|system){WS}*:"),
         answer.contains("```"),

@@ -182,3 +182,20 @@ def test_only_texts_that_may_change_are_composed(spark):
     texts = ["plain", "", "ＡＢ１ mixed", "ﻻ إلى", "café", "漢字 かな", "ⅷ", "a b", "سؤال؟", "가", "\U0001d400x"]
     got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.nfkc(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in got} == {t: unicodedata.normalize("NFKC", t) for t in texts} | {None: None}
+
+
+def test_repetition_is_that_of_whole_words(spark):
+    r = random.Random(7)
+    rows = [" ".join(r.choice(("a", "ab", "b", "a b")) for _ in range(r.randrange(0, 14))) for _ in range(600)] + ["", "a", "a a a a", "aa a a a", "a a a aa", "b a a a a", "x y x y x y x y", "x y x y x y x yz", "a b c " * 3 + "a b c", "a b c " * 3 + "a b cd"]
+    plain = re.compile(r"(?:^| )(\S+(?: \S+){0,2})(?: \1){3}(?= |$)")
+    got = values(spark, [(x,) for x in rows], "t string", text.heavy_repetition(F.col("t")))
+    assert [g[0] for g in got] == [bool(plain.search(x)) for x in rows] and {g[0] for g in got} == {True, False}
+
+
+def test_foreign_letters_are_counted_without_an_array_of_them(spark):
+    texts = ["漢字かな", "漢字かな" + "a" * 36, "漢字かな" + "a" * 37, "漢字", "漢字か", "゙゙゙", "abc", "", None, "가나다 abc", "𠀀漢字か"]
+    cjk, letter = re.compile(text.CJK), lambda x: sum(ch.isalpha() for ch in x)
+    want = [None if x is None else len(cjk.findall(x)) >= max(3, 0.1 * letter(x)) and letter(x) > 0 for x in texts]
+    e = text.heavy_foreign_script(F.col("t"))
+    assert [g[0] for g in values(spark, [(x,) for x in texts], "t string", e)] == want
+    assert "regexp_count" not in str(e)
