@@ -380,7 +380,7 @@ def translate_stage(spark, d):
 
 def layer1_against_labels(spark, d):
     root = shared.folder(spark, "judged-labels")
-    t = A.table(spark, d, "documents").select("doc_id", "text").join(A.table(spark, d, "labels").filter("quality is not null"), "doc_id")
+    t = A.spread(A.table(spark, d, "documents").select("doc_id", "text")).join(A.table(spark, d, "labels").filter("quality is not null"), "doc_id")
     sinks.csv(t.select(F.concat(F.lit("q"), "doc_id").alias("question"), F.lit("g").alias("gold_answer"), F.col("text").alias("answer"), (1 - F.col("quality")).alias("hallucinated")), f"{root}/data")
     stages.evaluate_layer1(spark, f"{root}/data", f"{root}/layer1.json")
     return readers.json(spark, f"{root}/layer1.json", "n long, n_resolved long, n_deferred long, resolution_rate double, reasons map<string,long>").select("n", "n_resolved", "n_deferred", "resolution_rate", F.coalesce(F.col("reasons")["heavy_repetition"], F.lit(0)).alias("n_heavy_repetition"))

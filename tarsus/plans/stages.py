@@ -281,12 +281,14 @@ def evaluate_layer1(spark: SparkSession, data: str, out: str) -> dict:
 
     Coverage never decides, so this router only defers or finds faults, and resolves no label by itself.
     """
-    rows = readers.judge_rows(_numbered(spark, data), "row_index")
+    rows = readers.labelled_rows(readers.csv(spark, data))  # the order of rows and groups of questions don't matter here
     s = text.score_answer(text.text_or_empty("answer"), text.text_or_empty("gold_answer"), F.lit(""))
-    routed = rows.select("label", s.alias("s")).select("label", F.col("s.decision").alias("decision"), F.col("s.reasons").alias("reasons"))
+    routed = rows.select("label", s.alias("s")).select("label", F.col("s.decision").alias("decision"), F.col("s.reasons").alias("reasons")).persist()
     counts = {r[0]: r[1] for r in routed.select(F.explode("reasons").alias("r")).groupBy("r").count().collect()}  # a handful of faults
     found = agreement.router_against_labels(routed, "decision", "label").withColumn("n_deferred", F.col("n") - F.col("n_resolved"))
-    return sinks.json_summary(found.withColumn("reasons", F.create_map(*(F.lit(x) for kv in sorted(counts.items()) for x in kv)) if counts else F.create_map().cast("map<string,long>")), out)
+    doc = sinks.json_summary(found.withColumn("reasons", F.create_map(*(F.lit(x) for kv in sorted(counts.items()) for x in kv)) if counts else F.create_map().cast("map<string,long>")), out)
+    routed.unpersist()
+    return doc
 
 
 def training_report(spark: SparkSession, state: str, out: str) -> DataFrame:

@@ -45,15 +45,19 @@ def with_sequence(df: DataFrame, name: str = "_seq", table: int = 0) -> DataFram
     return df.withColumn(name, F.struct(F.lit(table).alias("table"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
-def judge_rows(rows: DataFrame, seq: str, label: str = "hallucinated") -> DataFrame:
-    """Labelled answers: blank answers and bad tags are dropped, the label is derived, group ids follow first appearance of the question."""
-    from ..operators.dedupe import group_ordinals
-
+def labelled_rows(rows: DataFrame, label: str = "hallucinated") -> DataFrame:
+    """Labelled answers: blank answers and bad tags are dropped, the label is derived."""
     tags = [F.col(f"`{t}`") for t in labels.TAGS if t in rows.columns]
     d = rows.filter(text.ws_trim(text.text_or_empty("answer")) != "")
     d = d.filter(labels.valid_tags(tags)) if tags else d
-    d = d.withColumn("label", labels.binary_label(tags, F.col(label) if label in rows.columns else None))
-    return group_ordinals(d, "question", seq)
+    return d.withColumn("label", labels.binary_label(tags, F.col(label) if label in rows.columns else None))
+
+
+def judge_rows(rows: DataFrame, seq: str, label: str = "hallucinated") -> DataFrame:
+    """Labelled answers with group ids, which follow first appearance of the question."""
+    from ..operators.dedupe import group_ordinals
+
+    return group_ordinals(labelled_rows(rows, label), "question", seq)
 
 
 def benchmark(seed: DataFrame | None, arms: dict[str, DataFrame | None], limit: int | None = None, seq: str | None = None) -> DataFrame:

@@ -186,3 +186,11 @@ def test_training_to_one_test(spark, tmp_path):
     assert best["answer_only_auc"] > 0.95 and best["winner"] in ("answer_only", "gold_answer")
     smoke = stages.train_judge(spark, data, str(tmp_path / "smoke"), "answer_only", small, smoke_groups=5)
     assert smoke["smoke_test"] and [len(smoke[f"{p}_group_ids"]) for p in ("train", "validation", "test")] == [5, 5, 5]
+
+
+def test_answers_against_labels_are_not_numbered_in_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "_numbered", None)
+    rows = [("q1", "g", "fine", "0"), ("q1", "g", "a a a a", "1"), ("q2", "g", " ", "1"), ("q3", "g", "漢字かな a a a a", "1")]
+    stages.sinks.csv(spark.createDataFrame(rows, "question string, gold_answer string, answer string, hallucinated string"), f"{tmp_path}/data")
+    got = stages.evaluate_layer1(spark, f"{tmp_path}/data", f"{tmp_path}/out.json")
+    assert (got["n"], got["n_resolved"], got["n_deferred"]) == (3, 0, 3) and got["reasons"] == {"foreign_script_heavy": 1, "heavy_repetition": 2}
