@@ -126,21 +126,17 @@ def bootstrap_exact(paired: DataFrame, iterations: int = 2000, seed: int = 42, k
     """
     import pandas as pd
 
-    from ..functions.stats import percentile
+    from ..functions.stats import percentile, resampled
 
     names = [f"{m}_ci_{s}" for m in ("hallucination_rate_msa", "hallucination_rate_dialect", "hds") for s in ("low", "high")]
 
     def run(key, pdf):
         import hashlib
-        import random
-
-        got = list(pdf.sort_values("qid")[["label_msa", "label"]].itertuples(index=False, name=None))
-        r = random.Random(int(hashlib.sha256("|".join(map(str, [seed, *key])).encode()).hexdigest()[:16], 16))
-        draws = []
-        for _ in range(iterations):
-            sample = [got[r.randrange(len(got))] for _ in got]
-            base, arm = sum(x for x, _ in sample) / len(got), sum(y for _, y in sample) / len(got)
-            draws.append((base, arm, arm - base))
+
+        pdf = pdf.sort_values("qid")
+        n = len(pdf)
+        x, y = resampled(pdf["label_msa"].to_numpy(), pdf["label"].to_numpy(), iterations, int(hashlib.sha256("|".join(map(str, [seed, *key])).encode()).hexdigest()[:16], 16))
+        draws = [(a / n, b / n, b / n - a / n) for a, b in zip(x.tolist(), y.tolist())]
         ends = [round(percentile(list(c), p), 6) for c in zip(*draws) for p in (0.025, 0.975)]
         return pd.DataFrame([[*key, *ends]], columns=[*keys, *names])
 

@@ -199,3 +199,16 @@ def test_foreign_letters_are_counted_without_an_array_of_them(spark):
     e = text.heavy_foreign_script(F.col("t"))
     assert [g[0] for g in values(spark, [(x,) for x in texts], "t string", e)] == want
     assert "regexp_count" not in str(e)
+
+
+def test_bulk_draws_are_those_of_pythons_generator():
+    import numpy as np
+
+    for n, iterations, seed in ((1, 5, 0), (2, 9, 1), (7, 50, 2**63), (64, 20, 3), (1000, 11, 4)):
+        r, got = random.Random(seed), np.random.default_rng(n).integers(0, 2, (2, n))
+        want = []
+        for _ in range(iterations):
+            at = [r.randrange(n) for _ in range(n)]
+            want.append((int(got[0][at].sum()), int(got[1][at].sum())))
+        x, y = stats.resampled(got[0], got[1], iterations, seed, chunk=37)
+        assert list(zip(x.tolist(), y.tolist())) == want
