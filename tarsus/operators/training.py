@@ -79,21 +79,26 @@ class TextMetric(Protocol):
     def load(self) -> object | None: ...
 
 
-def metric_column(df: DataFrame, metric: TextMetric, left: str, right: str, name: str) -> DataFrame:
-    """A column of a learned metric, null where the metric can't be loaded or a side is blank; one load a task."""
+def metric_column(df: DataFrame, metric: TextMetric, left: str, right: str, name: str, rows: int = 256) -> DataFrame:
+    """A column of a learned metric, null where the metric can't be loaded or a side is blank; one load a task, ``rows`` pairs at a time."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
+        import pyarrow as pa
+
         fn = metric.load()
-        for pdf in batches:
-            ok = (pdf[left].fillna("").str.strip() != "") & (pdf[right].fillna("").str.strip() != "")
-            out = pdf.assign(**{name: None})
-            if fn is not None and ok.any():
-                out.loc[ok, name] = [float(v) for v in fn(pdf.loc[ok, left].tolist(), pdf.loc[ok, right].tolist())]
-            out[name] = out[name].astype("float64")
-            yield out
-
-    return df.mapInPandas(run, schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):  # the other columns pass as they are, and few texts are Python's at a time
+                b = whole.slice(lo, rows)
+                pairs = list(zip(b.column(left).to_pylist(), b.column(right).to_pylist()))
+                ok = [i for i, (x, y) in enumerate(pairs) if (x or "").strip() and (y or "").strip()] if fn is not None else []
+                out = [None] * len(pairs)
+                if ok:
+                    for i, v in zip(ok, fn([pairs[i][0] for i in ok], [pairs[i][1] for i in ok])):
+                        out[i] = None if v is None or v != v else float(v)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
 
 
 def char_grams(c, low: int = 3, high: int = 5):

@@ -305,3 +305,17 @@ def test_stream(spark, tmp_path):
 def test_char_grams(spark):
     got = spark.createDataFrame([("Ab  cde",)], "t string").select(training.char_grams(F.col("t"), 3, 4)).first()[0]
     assert sorted(got) == sorted([" ab", "ab ", " ab ", " cd", "cde", "de ", " cde", "cde "])
+
+
+class _AtMost(training.TextMetric):
+    """Says how many pairs it was given at once."""
+
+    def load(self):
+        return lambda a, b: [float(len(a)) for _ in a]
+
+
+def test_metric_sees_few_texts_at_a_time(spark):
+    d = spark.range(0, 1000, 1, 1).select(F.col("id"), F.lit("x").alias("a"), F.when(F.col("id") % 10 > 0, "y").otherwise(" ").alias("b"))
+    got = training.metric_column(d, _AtMost(), "a", "b", "m").collect()
+    assert len(got) == 1000 and all((r.m is None) == (r.id % 10 == 0) for r in got)
+    assert max(r.m for r in got if r.m) <= 256
